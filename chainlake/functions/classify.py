@@ -61,9 +61,9 @@ def dte_calendar(expiry, as_of_date) -> Column:
 def dte_elapsed(expiry, as_of_ts) -> Column:
     """floor((expiry midnight - as_of instant) / 1 day): one less than the
     calendar count whenever ``as_of`` is past midnight."""
-    secs = (F.unix_micros(F.to_timestamp(as_col(expiry).cast("date")).cast("timestamp_ltz"))
-            - F.unix_micros(lit_ts(as_of_ts).cast("timestamp_ltz")))
-    return F.floor(secs / F.lit(86400 * 1_000_000)).cast("long")
+    micros = F.timestamp_diff("MICROSECOND", lit_ts(as_of_ts),
+                              as_col(expiry).cast("date").cast("timestamp_ntz"))
+    return F.floor(micros / F.lit(86400 * 1_000_000)).cast("long")
 
 
 def dte_bucket(days) -> Column:
@@ -88,8 +88,8 @@ def freshness(hours_ago) -> Column:
 
 
 def hours_between(later, earlier) -> Column:
-    micros = (F.unix_micros(as_col(later).cast("timestamp_ltz"))
-              - F.unix_micros(as_col(earlier).cast("timestamp_ltz")))
+    micros = F.timestamp_diff("MICROSECOND", as_col(earlier).cast("timestamp_ntz"),
+                              as_col(later).cast("timestamp_ntz"))
     return micros / F.lit(3600.0 * 1_000_000)
 
 

@@ -77,17 +77,25 @@ def norm_pdf(x) -> Column:
     return F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
 
 
+def to_utc_wall(ts, tz: str) -> Column:
+    """A naive wall-clock timestamp in ``tz`` as naive UTC.  Works on
+    TIMESTAMP_NTZ only, so the session time zone never enters."""
+    ntz = as_col(ts).cast("timestamp_ntz")
+    if tz.upper() in ("UTC", "Z", "GMT"):
+        return ntz
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), ntz)
+
+
 def time_to_expiry(expiry, as_of, market_tz: str = "America/New_York") -> Column:
     """Years from ``as_of`` to 16:00 market time on ``expiry``, floored at one
     day.  Both instants are read as wall-clock times in ``market_tz`` and the
     difference is taken in absolute seconds (so DST shifts count)."""
-    close_local = F.to_timestamp(as_col(expiry).cast("date")) + F.expr(
-        f"INTERVAL {EXPIRY_CLOSE_HOUR} HOURS")
-    start_local = as_col(as_of)
-    close_utc = F.to_utc_timestamp(close_local.cast("timestamp_ltz"), market_tz)
-    start_utc = F.to_utc_timestamp(start_local.cast("timestamp_ltz"), market_tz)
-    secs = F.unix_micros(close_utc) - F.unix_micros(start_utc)
-    years = secs.cast("double") / 1e6 / SECONDS_PER_YEAR
+    close_local = F.make_timestamp_ntz(
+        F.year(as_col(expiry)), F.month(as_col(expiry)), F.dayofmonth(as_col(expiry)),
+        F.lit(EXPIRY_CLOSE_HOUR), F.lit(0), F.lit(0))
+    micros = F.timestamp_diff("MICROSECOND", to_utc_wall(as_of, market_tz),
+                              to_utc_wall(close_local, market_tz))
+    years = micros.cast("double") / 1e6 / SECONDS_PER_YEAR
     return F.greatest(years, F.lit(1.0 / 365.0))
 
 

@@ -11,10 +11,16 @@ def as_col(c) -> Column:
 
 
 def lit_date(d) -> Column:
+    """A date literal from text/date, or a Column cast to DATE."""
+    if isinstance(d, Column):
+        return d.cast("date")
     return F.lit(str(d)).cast("date")
 
 
 def lit_ts(ts) -> Column:
+    """A naive timestamp literal from text/datetime, or a Column cast."""
+    if isinstance(ts, Column):
+        return ts.cast("timestamp_ntz")
     return F.lit(str(ts)).cast("timestamp_ntz")
 
 

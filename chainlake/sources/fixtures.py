@@ -122,3 +122,19 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (o.groupBy(F.col("o_orderdate").cast("date").alias("Date"),
                       F.when(F.col("o_custkey") % 2 == 0, "TKA").otherwise("TKB").alias("ticker"))
             .agg((F.avg("o_totalprice") / 1000).alias("Close")))
+
+
+# A flow alert (volume above this) makes the user save a manual high/low
+# override for that contract-day: the quoted ask/bid of that snapshot.
+OVERRIDE_VOLUME = 340
+
+
+def override_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append-only log of manual OHLC overrides derived from the option
+    snapshots (several writes per contract-day; crossed quotes give
+    high < low, which validation rejects)."""
+    land = options_landing(spark, sf_dir)
+    return land.filter(F.col("volume") > OVERRIDE_VOLUME).select(
+        F.col("contractSymbol").alias("symbol"), F.to_date("snapshot_time").alias("date"),
+        F.col("ask").alias("high"), F.col("bid").alias("low"),
+        F.col("snapshot_time").alias("updated_at"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainlake.functions.pricing import RISK_FREE, time_to_expiry, with_greeks
+
 PRICE_COLS = ("Open", "High", "Low", "Close")
 TRADING_DAYS = 252
 
@@ -37,3 +39,17 @@ def hv(df: DataFrame, windows=(20, 252), partition_by=("ticker",),
         vol = F.stddev_samp("_lr").over(frame) * math.sqrt(TRADING_DAYS)
         out = out.withColumn(f"HV_{n}", F.when(F.count("_lr").over(frame) == n, F.bround(vol, 4)))
     return out.drop("_lr")
+
+
+def greeks(opts: DataFrame, px: DataFrame, r: float = RISK_FREE, as_of="snapshot_time",
+           market_tz: str = "America/New_York") -> DataFrame:
+    """Black-Scholes delta, gamma, theta, vega for every option row, priced
+    from its ticker's newest close (one row per ticker, broadcast) with time
+    to the 16:00 ``market_tz`` close of expiry, measured from ``as_of`` (a
+    column, default the snapshot's own time).  Native expressions only."""
+    from chainlake.operators.silver import spot
+
+    s = F.broadcast(spot(px).select("ticker", F.col("spot").alias("_spot")))
+    j = opts.join(s, "ticker", "left")
+    t = time_to_expiry("expiry", as_of, market_tz)
+    return with_greeks(j, "_spot", "strike", "impliedVolatility", "option_type", t, r).drop("_spot")

@@ -37,7 +37,7 @@ def null_double() -> Column:
 
 def count_if(cond: Column) -> Column:
     """Count of rows where ``cond`` is TRUE (NULL is not counted)."""
-    return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    return F.count(F.when(cond, F.lit(1)))
 
 
 def select_existing(df: DataFrame, keep) -> DataFrame:

@@ -1 +1,123 @@
-"""Registered queries."""
+"""Registered queries: landing -> Bronze ingestion (Structured Streaming),
+Silver merge, snapshot sink, table replacement, column stamping.
+
+The ingest queries write landing CSV files derived from the driver's
+tables into a fresh folder under the shared checkpoint directory, in two
+collection runs (snapshots through ``RUN1_THROUGH``, then the rest), run
+the streaming ingest after each, and once more with nothing new: every
+row must land exactly once.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from chainlake.functions.util import lit_date, select_existing
+from chainlake.plans import medallion
+from chainlake.plans.catalog import register
+from chainlake.plans.oracle import sql
+from chainlake.plans.tables import Tables
+from chainlake.session import checkpoint_path, ensure_checkpoint_dir
+from chainlake.sources import fixtures, ingest, schemas
+from chainlake.streaming import ingest as stream
+
+RUN1_THROUGH = "2024-01-15"
+OPTION_COLS = [f.name for f in schemas.OPTIONS_CSV.fields]
+PRICE_COLS = [f.name for f in schemas.PRICE_CSV.fields]
+# Columns of a contract that do not depend on which of several rows tied
+# on (contract, time) wins.
+TIE_FREE = ["contractSymbol", "expiry", "option_type", "strike", "snapshot_time", "snapshot_str", "ticker"]
+
+
+def _workdir(spark, name: str) -> str:
+    ensure_checkpoint_dir(spark)
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _runs(rows):
+    d = F.to_date("snapshot_time")
+    cut = lit_date(RUN1_THROUGH)
+    return [rows.filter(d <= cut), rows.filter(d > cut)]
+
+
+def _ingest(spark, sf_dir: str, kind: str):
+    base = _workdir(spark, f"ingest-{kind}")
+    landing, bronze, ckpt = f"{base}/landing", f"{base}/bronze", f"{base}/_ckpt"
+    rows = (fixtures.options_csv_rows if kind == "options" else fixtures.price_csv_rows)(spark, sf_dir)
+    for part in _runs(rows):
+        stream.write_landing(part, landing)
+        stream.ingest_to_bronze(spark, landing, kind, bronze, ckpt)
+    stream.ingest_to_bronze(spark, landing, kind, bronze, ckpt)  # nothing new: adds 0 rows
+    return stream.read_bronze(spark, bronze)
+
+
+@register("ingest_options", sql(f"""
+SELECT {", ".join(c for c in OPTION_COLS)} FROM bronze_options_raw"""))
+def q_ingest_options(spark, sf_dir):
+    return _ingest(spark, sf_dir, "options").select(*OPTION_COLS)
+
+
+@register("ingest_price", sql(f"""
+SELECT {", ".join(f'"{c}"' for c in PRICE_COLS)} FROM bronze_price_raw"""))
+def q_ingest_price(spark, sf_dir):
+    return _ingest(spark, sf_dir, "price").select(*PRICE_COLS)
+
+
+@register("stream_silver_merge", sql(f"""
+SELECT {", ".join(TIE_FREE)} FROM silver_options_latest"""))
+def q_stream_silver_merge(spark, sf_dir):
+    """Two micro-batch runs merged into a partitioned Silver table; must
+    equal the one-shot batch rebuild."""
+    base = _workdir(spark, "silver-merge")
+    landing, silver_dir, ckpt = f"{base}/landing", f"{base}/silver", f"{base}/_ckpt"
+    rows = fixtures.options_csv_rows(spark, sf_dir)
+    # the later run first: the earlier snapshots then arrive late
+    for part in reversed(_runs(rows)):
+        stream.write_landing(part, landing)
+        stream.stream_silver_merge(spark, landing, "options", silver_dir, ckpt)
+    return stream.read_silver(spark, silver_dir, "options").select(*TIE_FREE)
+
+
+@register("csv_snapshot_sink", sql("""
+SELECT ticker, CAST(snapshot_time AS DATE) AS snapshot_date, count(*) AS n_rows,
+       count(DISTINCT snapshot_str) AS n_runs
+FROM bronze_options_raw GROUP BY 1, 2"""))
+def q_csv_snapshot_sink(spark, sf_dir):
+    base = _workdir(spark, "snapshot-sink")
+    ingest.csv_snapshot_sink(Tables(spark, sf_dir).bronze_options(), base)
+    back = spark.read.parquet(base)
+    return back.groupBy("ticker", "snapshot_date").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("snapshot_str").alias("n_runs"))
+
+
+@register("replace_table")
+def q_replace_table(spark, sf_dir):
+    """Validate-then-publish build of the six Silver/Gold tables; one row
+    per table with its row count, failed checks and whether it was
+    published (rows-only check: the report mixes counts and check names)."""
+    t = Tables(spark, sf_dir)
+    out = _workdir(spark, "medallion-out")
+    return medallion.build(spark, t.bronze_options(), t.bronze_price(), out_dir=out)
+
+
+@register("add_metadata", sql(r"""
+SELECT contractSymbol, snapshot_time, strftime(snapshot_time, '%Y%m%d_%H%M%S') AS snapshot_str, ticker
+FROM landing_rows"""))
+def q_add_metadata(spark, sf_dir):
+    """Stamp every landing row with its run clock and ticker (Column form:
+    a run clock per row instead of one literal per run)."""
+    land = fixtures.options_landing(spark, sf_dir).select("contractSymbol", "snapshot_time", "ticker")
+    stamped = ingest.add_metadata(land, F.col("snapshot_time"), F.col("ticker"))
+    return stamped.select("contractSymbol", "snapshot_time", "snapshot_str", "ticker")
+
+
+@register("select_existing", sql(f"""
+SELECT {", ".join(c for c in OPTION_COLS if c not in ("theta", "vega", "inTheMoney"))}, inTheMoney
+FROM (SELECT *, inTheMoney_text AS inTheMoney FROM landing_rows)"""))
+def q_select_existing(spark, sf_dir):
+    """The collector keeps its 18 columns where present; the landing rows
+    lack theta and vega, which are dropped silently."""
+    land = fixtures.options_landing(spark, sf_dir)
+    return select_existing(land, OPTION_COLS)

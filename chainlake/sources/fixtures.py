@@ -96,9 +96,9 @@ def bronze_price_raw(spark: SparkSession, sf_dir: str, with_hv: bool = True) ->
                     "snapshot_str").alias("_source_file"))
 
 
-def bronze_options_raw(spark: SparkSession, sf_dir: str, market_tz: str = "UTC") -> DataFrame:
-    """Bronze option rows: landing rows with ``inTheMoney`` normalised and
-    theta/vega priced from the newest spot of each ticker."""
+def priced_landing(spark: SparkSession, sf_dir: str, market_tz: str = "UTC") -> DataFrame:
+    """Landing rows with theta/vega priced from the newest spot of each
+    ticker (what the collector writes to CSV; ``inTheMoney`` still text)."""
     from chainlake.operators.silver import silver_price, spot
 
     land = options_landing(spark, sf_dir)
@@ -107,14 +107,43 @@ def bronze_options_raw(spark: SparkSession, sf_dir: str, market_tz: str = "UTC")
                        "ticker", "left")
     priced = with_greeks(priced, "_spot", "strike", "impliedVolatility", "option_type",
                          time_to_expiry("expiry", "snapshot_time", market_tz), prefix="_g_")
+    return priced.withColumnRenamed("_g_theta", "theta").withColumnRenamed("_g_vega", "vega") \
+        .drop("_g_delta", "_g_gamma", "_spot")
+
+
+def bronze_options_raw(spark: SparkSession, sf_dir: str, market_tz: str = "UTC") -> DataFrame:
+    """Bronze option rows: landing rows with ``inTheMoney`` normalised and
+    theta/vega priced from the newest spot of each ticker."""
+    priced = priced_landing(spark, sf_dir, market_tz)
     return priced.select(
         "contractSymbol", "expiry", "option_type", "strike", "bid", "ask", "lastPrice",
-        "volume", "openInterest", "impliedVolatility", "delta", "gamma",
-        F.col("_g_theta").alias("theta"), F.col("_g_vega").alias("vega"),
+        "volume", "openInterest", "impliedVolatility", "delta", "gamma", "theta", "vega",
         normalize_itm("inTheMoney").alias("inTheMoney"),
         "snapshot_time", "snapshot_str", "ticker", "_source_file")
 
 
+def options_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the option snapshot CSV files in landing layout: integer
+    fields written as doubles (``12.0``) and the flag as text."""
+    from chainlake.sources.schemas import OPTIONS_CSV
+
+    p = priced_landing(spark, sf_dir)
+    cols = []
+    for fld in OPTIONS_CSV.fields:
+        c = F.col(fld.name)
+        cols.append(c.cast("double").alias(fld.name) if fld.name in ("volume", "openInterest") else c)
+    return p.select(*cols)
+
+
+def price_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the price snapshot CSV files (Volume written as double)."""
+    from chainlake.sources.schemas import PRICE_CSV
+
+    b = bronze_price_raw(spark, sf_dir)
+    return b.select(*[F.col(f.name).cast("double").alias(f.name) if f.name == "Volume" else F.col(f.name)
+                      for f in PRICE_CSV.fields])
+
+
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily close series per ticker from ``orders`` (long enough for the
     252-row volatility window)."""

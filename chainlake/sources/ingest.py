@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.functions.util import as_col, select_existing
+from chainlake.functions.util import as_col, lit_ts, select_existing
 from chainlake.sources import schemas
 
 # Accepted spellings of the in-the-money flag (case-insensitive).
@@ -36,12 +36,14 @@ def to_long(c) -> Column:
     return F.bround(as_col(c), 0).cast("long")
 
 
-def add_metadata(df: DataFrame, snapshot_time, ticker: str) -> DataFrame:
-    """Stamp one run: snapshot_time, its ``YYYYMMDD_HHMMSS`` id, ticker."""
-    ts = F.lit(str(snapshot_time)).cast("timestamp_ntz")
+def add_metadata(df: DataFrame, snapshot_time, ticker) -> DataFrame:
+    """Stamp a run: snapshot_time, its ``YYYYMMDD_HHMMSS`` id, ticker.  Values
+    may be literals (one run) or Columns (a run clock per row)."""
+    ts = lit_ts(snapshot_time)
+    tk = ticker if isinstance(ticker, Column) else F.lit(ticker)
     return (df.withColumn("snapshot_time", ts)
             .withColumn("snapshot_str", F.date_format(ts, "yyyyMMdd_HHmmss"))
-            .withColumn("ticker", F.lit(ticker)))
+            .withColumn("ticker", tk))
 
 
 def chain_union(calls: list[DataFrame], puts: list[DataFrame]) -> DataFrame | None:
@@ -71,12 +73,17 @@ def _price_columns(raw: DataFrame) -> DataFrame:
         F.col("_metadata.file_path").alias("_source_file"))
 
 
+def typed_bronze(raw: DataFrame, kind: str) -> DataFrame:
+    """CSV rows (batch or stream) typed as Bronze, with the file path."""
+    return _price_columns(raw) if kind == "price" else _options_columns(raw)
+
+
 def read_landing(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Batch read of a landing folder of CSV snapshots (``kind`` is
     ``'price'`` or ``'options'``), by header name, typed as Bronze."""
     schema = schemas.PRICE_CSV if kind == "price" else schemas.OPTIONS_CSV
     raw = (spark.read.schema(schema).option("header", True)
-           .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+           .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
            .csv(path))
     return _price_columns(raw) if kind == "price" else _options_columns(raw)
 

@@ -205,40 +205,39 @@ def box_stats(sample: DataFrame, by=("ticker",), x: str = "iv", whisker: float =
     """Quartiles (linear interpolation between order statistics), whiskers
     at the most extreme points within ``whisker`` x IQR of the box, and the
     outlier count -- exact, without holding a group in one task."""
-    ranked = ranked_values(sample, by, x, buckets)
-    sizes = ranked.groupBy(*by).agg(F.max("n").alias("n"))
     probs = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-    tg = []
+    ranked = ranked_values(sample, by, x, buckets)
+    # the two order statistics around each quartile position h = (n-1)p + 1,
+    # as a literal fan-out of 6 target rows per group
+    n = F.col("n")
+    tgt = []
     for name, p in probs:
-        h = (F.col("n") - 1) * p + 1
-        tg.append(sizes.select(*by, F.lit(name).alias("name"), F.floor(h).cast("long").alias("k"),
-                               (h - F.floor(h)).alias("_frac"), F.lit("lo").alias("_end")))
-        tg.append(sizes.select(*by, F.lit(name).alias("name"),
-                               F.least(F.ceil(h), F.col("n")).cast("long").alias("k"),
-                               (h - F.floor(h)).alias("_frac"), F.lit("hi").alias("_end")))
-    targets = tg[0]
-    for t in tg[1:]:
-        targets = targets.unionByName(t)
-    vals = value_at_rank(ranked, targets.select(*by, F.concat_ws(":", "name", "_end").alias("name"),
-                                                "k"), by, x)
-    pv = vals.groupBy(*by).pivot("name", [f"{n}:{e}" for n, _ in probs for e in ("lo", "hi")]) \
-        .agg(F.first("value"))
-    fr = sizes.select(*by, *[(((F.col("n") - 1) * p + 1) - F.floor((F.col("n") - 1) * p + 1))
-                             .alias(f"_f_{n}") for n, p in probs])
-    q = pv.join(fr, list(by))
-    qcols = [(F.col(f"`{n}:lo`") + F.col(f"_f_{n}") * (F.col(f"`{n}:hi`") - F.col(f"`{n}:lo`")))
-             .alias(n) for n, _ in probs]
-    quart = q.select(*by, *qcols)
+        h = (n - 1) * p + 1
+        tgt.append(F.struct(F.lit(name).alias("q"), F.lit("lo").alias("end"),
+                            F.floor(h).cast("long").alias("k"), (h - F.floor(h)).alias("frac")))
+        tgt.append(F.struct(F.lit(name).alias("q"), F.lit("hi").alias("end"),
+                            F.least(F.ceil(h), n).cast("long").alias("k"), (h - F.floor(h)).alias("frac")))
+    sizes = sample.filter(F.col(x).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    targets = sizes.select(*by, F.inline(F.array(*tgt)))
+    hit = (ranked.join(F.broadcast(targets), list(by))
+           .filter((F.col("k") >= F.col("start")) & (F.col("k") < F.col("start") + F.col("m"))))
+    aggs = []
+    for name, _ in probs:
+        lo_v = F.max(F.when((F.col("q") == name) & (F.col("end") == "lo"), F.col(x)))
+        hi_v = F.max(F.when((F.col("q") == name) & (F.col("end") == "hi"), F.col(x)))
+        fr = F.max(F.when(F.col("q") == name, F.col("frac")))
+        aggs.append((lo_v + fr * (hi_v - lo_v)).alias(name))
+    quart = hit.groupBy(*by).agg(*aggs)
     iqr = F.col("q3") - F.col("q1")
     fences = quart.select("*", (F.col("q1") - whisker * iqr).alias("_lf"),
                           (F.col("q3") + whisker * iqr).alias("_uf"))
     v = F.col(x)
     inside = (v >= F.col("_lf")) & (v <= F.col("_uf"))
-    agg = (sample.join(F.broadcast(fences), list(by)).groupBy(*by)
-           .agg(F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
-                F.count(F.when(~inside, F.lit(1))).alias("outliers")))
-    return quart.join(agg, list(by)).select(*by, "q1", "median", "q3", (iqr).alias("iqr"),
-                                            "whisker_lo", "whisker_hi", "outliers")
+    return (sample.join(F.broadcast(fences), list(by)).groupBy(*by, "q1", "median", "q3")
+            .agg(F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
+                 F.count(F.when(~inside, F.lit(1))).alias("outliers"))
+            .select(*by, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
+                    "whisker_lo", "whisker_hi", "outliers"))
 
 
 def kde(sample: DataFrame, by=("ticker",), x: str = "iv", grid: int = KDE_GRID,

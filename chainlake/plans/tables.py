@@ -1,26 +1,87 @@
 """Named Bronze/Silver/Gold DataFrames over a data folder.
 
-A small memo per (session, folder) so one query plan references each
-fixture view once; nothing here is cached in memory or collected.
+Bronze is the stored input layer (the reference keeps it as a database
+table): the Bronze views derived from the driver's tables are written once
+per data folder as Parquet under the shared ``spark.checkpoint.dir``,
+partitioned by (ticker, snapshot_date) like the streaming ingest writes
+them, and every query reads that table.  Silver and Gold are computed by
+each query from Bronze.  Set ``CHAINLAKE_MATERIALIZE_BRONZE=0`` to derive
+Bronze inline instead.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chainlake.operators import gold, silver
+from chainlake.session import checkpoint_path, ensure_checkpoint_dir
 from chainlake.sources import fixtures
 
+_LOCK = threading.Lock()
+_SOURCES = {"options": ("events",), "price": ("events",), "history": ("orders",)}
+
+
+def _signature(sf_dir: str, names) -> str:
+    parts = [os.path.abspath(sf_dir)]
+    for n in names:
+        p = os.path.join(sf_dir, f"{n}.parquet")
+        try:
+            st = os.stat(p)
+            parts.append(f"{n}:{st.st_size}:{int(st.st_mtime)}")
+        except OSError:
+            parts.append(f"{n}:?")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_by) -> DataFrame:
+    """Write ``build()`` once to the shared folder (keyed by the source
+    files' identity) and read it back; concurrent callers wait for the first
+    writer.  The ``_SUCCESS`` marker means a complete write."""
+    if os.environ.get("CHAINLAKE_MATERIALIZE_BRONZE", "1") == "0":
+        return build()
+    ensure_checkpoint_dir(spark)
+    path = checkpoint_path(spark, f"bronze-{kind}-{_signature(sf_dir, _SOURCES[kind])}")
+    with _LOCK:
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            df = build()
+            w = df.write.mode("overwrite")
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.parquet(path)
+    out = spark.read.parquet(path)
+    return out
+
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def bronze_options(self) -> DataFrame:
-        return fixtures.bronze_options_raw(self.spark, self.sf_dir)
+        cols = fixtures.BRONZE_OPTION_COLS
+
+        def build():
+            b = fixtures.bronze_options_raw(self.spark, self.sf_dir)
+            return b.withColumn("snapshot_date", F.to_date("snapshot_time"))
+
+        df = materialized(self.spark, self.sf_dir, "options", build, ["ticker", "snapshot_date"])
+        return df.select(*cols)
 
     def bronze_price(self) -> DataFrame:
-        return fixtures.bronze_price_raw(self.spark, self.sf_dir)
+        cols = fixtures.BRONZE_PRICE_COLS
+        df = materialized(self.spark, self.sf_dir, "price",
+                          lambda: fixtures.bronze_price_raw(self.spark, self.sf_dir), ["ticker"])
+        return df.select(*cols)
 
     def silver_price(self) -> DataFrame:
         return silver.silver_price(self.bronze_price())
@@ -47,4 +108,6 @@ class Tables:
         return gold.greeks_exposure(self.silver_options())
 
     def price_history(self) -> DataFrame:
-        return fixtures.price_history(self.spark, self.sf_dir)
+        df = materialized(self.spark, self.sf_dir, "history",
+                          lambda: fixtures.price_history(self.spark, self.sf_dir), ["ticker"])
+        return df.select("Date", "ticker", "Close")

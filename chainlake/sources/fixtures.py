@@ -167,3 +167,10 @@ def override_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("contractSymbol").alias("symbol"), F.to_date("snapshot_time").alias("date"),
         F.col("ask").alias("high"), F.col("bid").alias("low"),
         F.col("snapshot_time").alias("updated_at"))
+
+
+BRONZE_OPTION_COLS = ["contractSymbol", "expiry", "option_type", "strike", "bid", "ask", "lastPrice",
+                      "volume", "openInterest", "impliedVolatility", "delta", "gamma", "theta", "vega",
+                      "inTheMoney", "snapshot_time", "snapshot_str", "ticker", "_source_file"]
+BRONZE_PRICE_COLS = ["Date", "Open", "High", "Low", "Close", "Volume", "HV_20", "HV_252",
+                     "snapshot_time", "snapshot_str", "ticker", "_source_file"]

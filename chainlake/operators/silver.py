@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 # Newest-row order.  The reference orders by snapshot_time only; ties are
 # broken by run id, then source file, all descending, so results are
 # deterministic.
-NEWEST = (F.col("snapshot_time").desc_nulls_last(), F.col("snapshot_str").desc_nulls_last(),
-          F.col("_source_file").desc_nulls_last())
+NEWEST_COLS = ("snapshot_time", "snapshot_str", "_source_file")
+
+
+def newest_order(cols=NEWEST_COLS):
+    return [F.col(c).desc_nulls_last() for c in cols]
 
 SILVER_PRICE_COLS = ["Date", "ticker", "Open", "High", "Low", "Close", "Volume", "HV_20",
                      "HV_252", "snapshot_time", "snapshot_str"]
@@ -24,9 +27,10 @@ SILVER_OPTION_COLS = ["contractSymbol", "expiry", "option_type", "strike", "bid"
                       "ticker", "_source_file"]
 
 
-def newest_per_key(df: DataFrame, keys, order=NEWEST) -> DataFrame:
-    """One row per ``keys``: the first under ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def newest_per_key(df: DataFrame, keys, order=None) -> DataFrame:
+    """One row per ``keys``: the first under ``order`` (default: newest
+    snapshot, ties by run id then source file)."""
+    w = Window.partitionBy(*keys).orderBy(*(order if order is not None else newest_order()))
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -35,7 +39,7 @@ def silver_price(bronze_price: DataFrame) -> DataFrame:
     removed before ranking."""
     ok = bronze_price.filter(F.col("ticker").isNotNull() & F.col("Date").isNotNull()
                              & F.col("Close").isNotNull() & F.col("snapshot_time").isNotNull())
-    order = NEWEST if "_source_file" in bronze_price.columns else NEWEST[:2]
+    order = newest_order(NEWEST_COLS if "_source_file" in bronze_price.columns else NEWEST_COLS[:2])
     return newest_per_key(ok, ["ticker", "Date"], order).select(SILVER_PRICE_COLS)
 
 

@@ -301,12 +301,16 @@ def two_sample(sample: DataFrame, by=("ticker",), side: str = "option_type", x:
     return sample.groupBy(*by).agg(*aggs)
 
 
-@F.pandas_udf("double")
-def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+def _t_p_values(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b))
                       for a, b in zip(t, df)], dtype="float64")
 
 
+def _t_p(t, df):
+    # built on first use: declaring a pandas UDF needs an active session
+    return F.pandas_udf(_t_p_values, T.DoubleType())(t, df)
+
+
 def welch_ttest(sample: DataFrame, by=("ticker",), alpha: float = ALPHA) -> DataFrame:
     """Welch's unequal-variance t-test, calls minus puts: t, Welch-Satterthwaite
     df, two-sided p.  The p-value is the only Python step and runs on one

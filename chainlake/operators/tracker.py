@@ -9,10 +9,8 @@ day of its life -- so no window ever spans a whole ticker.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chainlake.functions.classify import candle_direction, market_hours, pm_only
 from chainlake.functions.util import count_if
@@ -138,26 +136,32 @@ def today_ohlc(bars: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def ema(bars: DataFrame, spans=EMA_SPANS, value: str = "close", order: str = "date") -> DataFrame:
-    """Exponential moving averages (alpha = 2 / (span + 1), first value =
-    first observation) of each contract's bars.
-
-    The recursion is not a window function, so each contract's series runs
-    through pandas ``ewm`` inside ``applyInPandas``: Arrow batches, one group
-    per contract (bounded by the contract's trading days), all contracts in
-    parallel."""
-    cols = [KEY, order, value]
-    names = [f"ema_{s}" for s in spans]
-    schema = T.StructType([bars.schema[c] for c in cols]
-                          + [T.StructField(n, T.DoubleType()) for n in names])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        x = pdf[value].astype("float64")
-        for s, n in zip(spans, names):
-            pdf[n] = x.ewm(span=s, adjust=False).mean()
-        return pdf[cols + names]
-
-    return bars.select(*cols).groupBy(KEY).applyInPandas(run, schema)
+    """Exponential moving averages of each contract's bars: alpha = 2 / (span
+    + 1), first value = first observation, y = ((1 - alpha) y' + alpha x) /
+    ((1 - alpha) + alpha) as pandas ``ewm(adjust=False)`` computes it.
+
+    The recursion is not a window function.  Each contract's bars (one per
+    trading day of its life, so a bounded list) are gathered in date order
+    and folded with the SQL ``aggregate`` higher-order function -- JVM only,
+    no Python worker -- then unnested back to rows."""
+    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("d"), F.col(value).alias("v"))))
+    g = bars.groupBy(KEY).agg(arr.alias("_s"))
+    xs = F.transform("_s", lambda e: e["v"])
+    names = [f"ema_{s_}" for s_ in spans]
+    cols = [F.col("_s")]
+    for s_ in spans:
+        a = 2.0 / (s_ + 1)
+        start = F.array(F.element_at(xs, 1))
+        step = F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), start,
+                           lambda acc, x: F.array_append(
+                               acc, (F.lit(1.0 - a) * F.element_at(acc, -1) + F.lit(a) * x)
+                               / F.lit((1.0 - a) + a)))
+        cols.append(step)
+    z = g.select(KEY, F.arrays_zip(*cols).alias("_z"))
+    z = z.select(KEY, F.inline("_z"))
+    fields = z.columns[1:]
+    return z.select(KEY, F.col(fields[0])["d"].alias(order), F.col(fields[0])["v"].alias(value),
+                    *[F.col(f).alias(n) for f, n in zip(fields[1:], names)])
 
 
 def oi_change(opts: DataFrame, days: int | None = None) -> DataFrame:

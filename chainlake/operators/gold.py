@@ -29,28 +29,25 @@ PCR_COLS = ["ticker", "expiry", "put_volume", "call_volume", "pcr_volume", "put_
 
 def pcr(latest: DataFrame, as_of=None) -> DataFrame:
     """Put/call volume and OI ratios per (ticker, expiry) plus one ``'ALL'``
-    row per ticker; ``expiry`` is text.  The ticker level re-aggregates the
-    per-expiry result (sum of sums), so the contract rows are scanned once
-    and the second aggregation runs on a table of tickers x expiries.
+    row per ticker; ``expiry`` is text.  Both levels come from one
+    ``rollup`` (grouping sets (ticker, expiry) and (ticker)): one scan, one
+    partial aggregation, one shuffle; the grand-total level is dropped.
+    Sums over contracts equal the reference's sums of per-expiry sums.
     ``as_of`` (optional) drops contracts that expired before that date."""
     if as_of is not None:
         latest = latest.filter(F.col("expiry") >= lit_date(as_of))
-    by_exp = (latest.groupBy("ticker", "expiry")
-              .agg(_side_sum("volume", "put").alias("put_volume"),
-                   _side_sum("volume", "call").alias("call_volume"),
-                   _side_sum("openInterest", "put").alias("put_oi"),
-                   _side_sum("openInterest", "call").alias("call_oi"),
-                   F.max("snapshot_time").alias("snapshot_time"),
-                   F.max("snapshot_str").alias("snapshot_str")))
-    by_exp = by_exp.withColumn("expiry", F.col("expiry").cast("string"))
-    all_rows = (by_exp.groupBy("ticker")
-                .agg(*(F.sum(c).alias(c) for c in ("put_volume", "call_volume", "put_oi", "call_oi")),
-                     F.max("snapshot_time").alias("snapshot_time"),
-                     F.max("snapshot_str").alias("snapshot_str"))
-                .withColumn("expiry", F.lit("ALL")))
-    both = by_exp.unionByName(all_rows)
-    return both.select(
-        "ticker", "expiry", F.col("put_volume").cast("long").alias("put_volume"),
+    agg = (latest.rollup("ticker", "expiry")
+           .agg(_side_sum("volume", "put").alias("put_volume"),
+                _side_sum("volume", "call").alias("call_volume"),
+                _side_sum("openInterest", "put").alias("put_oi"),
+                _side_sum("openInterest", "call").alias("call_oi"),
+                F.max("snapshot_time").alias("snapshot_time"),
+                F.max("snapshot_str").alias("snapshot_str"),
+                F.grouping("ticker").alias("_gt"), F.grouping("expiry").alias("_ge"))
+           .filter(F.col("_gt") == 0))
+    expiry = F.when(F.col("_ge") == 1, F.lit("ALL")).otherwise(F.col("expiry").cast("string"))
+    return agg.select(
+        "ticker", expiry.alias("expiry"), F.col("put_volume").cast("long").alias("put_volume"),
         F.col("call_volume").cast("long").alias("call_volume"),
         _ratio(F.col("put_volume"), F.col("call_volume")).alias("pcr_volume"),
         F.col("put_oi").cast("long").alias("put_oi"), F.col("call_oi").cast("long").alias("call_oi"),
@@ -110,25 +107,27 @@ def snapshot_vs_stats(per_snapshot: DataFrame) -> DataFrame:
 
 def iv_rank(per_snapshot: DataFrame) -> DataFrame:
     """Per ticker: current (newest run), min, max, rank, percentile (share
-    strictly below current), population z-score, run count, newest time."""
-    newest = F.max(F.struct(F.col("snapshot_time"), F.col("atm_iv")))
-    stats = (per_snapshot.groupBy("ticker")
+    strictly below current), population z-score, run count, newest time.
+
+    One pass over the per-run table (already one row per ticker and run):
+    the current IV comes from a window over each ticker's runs, and every
+    statistic, the percentile included, from a single aggregation."""
+    w = Window.partitionBy("ticker")
+    newest = F.max(F.struct(F.col("snapshot_time"), F.col("atm_iv"))).over(w)
+    x = per_snapshot.withColumn("_cur", newest.getField("atm_iv"))
+    stats = (x.groupBy("ticker")
              .agg(F.min("atm_iv").alias("iv_min"), F.max("atm_iv").alias("iv_max"),
-                  newest.getField("atm_iv").alias("iv_current"),
+                  F.first("_cur").alias("iv_current"),
                   F.count(F.lit(1)).alias("snapshot_count"),
+                  count_if(F.col("atm_iv") < F.col("_cur")).alias("_below"),
                   F.avg("atm_iv").alias("_mean"), F.stddev_pop("atm_iv").alias("_sd"),
                   F.max("snapshot_time").alias("snapshot_time")))
-    # Second pass for the percentile: per-snapshot rows (one per run) joined
-    # to one row per ticker.
-    below = (per_snapshot.join(stats.select("ticker", "iv_current"), "ticker")
-             .groupBy("ticker")
-             .agg(_ratio(count_if(F.col("atm_iv") < F.col("iv_current")),
-                         F.count(F.lit(1))).alias("iv_percentile")))
     cur, lo, hi = F.col("iv_current"), F.col("iv_min"), F.col("iv_max")
-    return stats.join(below, "ticker").select(
+    return stats.select(
         "ticker", F.round(cur, 4).alias("iv_current"), F.round(lo, 4).alias("iv_min"),
         F.round(hi, 4).alias("iv_max"), F.round(safe_div(cur - lo, hi - lo), 4).alias("iv_rank"),
-        "iv_percentile", F.round(safe_div(cur - F.col("_mean"), F.col("_sd")), 4).alias("iv_zscore"),
+        _ratio(F.col("_below"), F.col("snapshot_count")).alias("iv_percentile"),
+        F.round(safe_div(cur - F.col("_mean"), F.col("_sd")), 4).alias("iv_zscore"),
         "snapshot_count", "snapshot_time")
 
 
@@ -140,7 +139,7 @@ def iv_change(opts: DataFrame, rank: DataFrame, iv_floor: float = 0.01, digits:
     w = Window.partitionBy("ticker").orderBy(F.col("_t").desc(), F.col("snapshot_str").desc())
     prev_run = runs.withColumn("_r", F.row_number().over(w)).filter("_r = 2").select("ticker", "snapshot_str")
     prev = (opts.filter((F.col("impliedVolatility") > iv_floor) & (F.col("option_type") == "call"))
-            .join(prev_run, ["ticker", "snapshot_str"], "left_semi")
+            .join(F.broadcast(prev_run), ["ticker", "snapshot_str"], "left_semi")
             .groupBy("ticker").agg(F.avg("impliedVolatility").alias("prev_iv")))
     out = rank.select("ticker", "iv_current").join(prev, "ticker", "left")
     p = F.col("prev_iv")

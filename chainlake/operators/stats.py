@@ -126,6 +126,17 @@ def lognormal_fit(sample: DataFrame, by=("ticker",), x: str = "iv", points: int
     return g.select(*by, "shape", F.lit(0.0).alias("loc"), "scale", "k", "x", pdf.alias("pdf"))
 
 
+# Budget for the broadcast table of bucket cut points (groups x buckets
+# doubles); the bucket count shrinks to fit it.
+CUTS_BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def bucket_count(groups: int, wanted: int, budget: int = CUTS_BROADCAST_BYTES) -> int:
+    """Largest bucket count <= ``wanted`` whose cut table (groups x buckets
+    x 8 bytes) fits the broadcast budget."""
+    return max(1, min(wanted, budget // (8 * max(groups, 1))))
+
+
 def ranked_values(sample: DataFrame, by=("ticker",), x: str = "iv", buckets: int = 1024,
                   accuracy: int = 100_000) -> DataFrame:
     """Distinct values per group with their multiplicity ``m`` and first
@@ -135,6 +146,10 @@ def ranked_values(sample: DataFrame, by=("ticker",), x: str = "iv", buckets: int
     ranks inside a bucket use a window over (group, bucket); bucket offsets
     use a window over the (groups x buckets) table."""
     vals = sample.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("m"))
+    if buckets > 1:
+        # size check before broadcasting one array of cut points per group
+        groups = vals.select(*by).distinct().count()
+        buckets = bucket_count(groups, buckets)
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
         cuts = vals.groupBy(*by).agg(F.percentile_approx(x, probs, accuracy).alias("_cuts"))

@@ -318,3 +318,10 @@ SELECT ticker, expiry, strike,
 FROM gold_latest_snapshot GROUP BY ticker, expiry, strike"""))
 def q_chain_ladder(spark, sf_dir):
     return chain.chain_ladder(Tables(spark, sf_dir).gold_latest(), AS_OF_DATE)
+
+
+@register("oi_vol_ratio", sql(f"""
+SELECT contractSymbol, {_ratio_sql('openInterest', 'volume')} AS oi_vol_ratio FROM gold_latest_snapshot"""))
+def q_oi_vol_ratio(spark, sf_dir):
+    g = chain.with_ratios(Tables(spark, sf_dir).gold_latest())
+    return g.select("contractSymbol", "oi_vol_ratio")

@@ -60,6 +60,29 @@ def norm_ppf(p) -> Column:
             .when(F.abs(q) <= PPF_SPLIT1, central).otherwise(tail))
 
 
+def with_norm_ppf(df, p: str, out: str):
+    """``norm_ppf`` in stages: p, then q and r as columns, then the rational
+    functions over those columns -- the optimizer keeps the projections
+    apart, so each input is computed once and codegen stays small."""
+    from pyspark.sql import DataFrame  # noqa: F401
+
+    pc = F.col(p)
+    staged = df.withColumn("_pq", pc - 0.5)
+    staged = staged.withColumn(
+        "_pr", F.when(F.abs(F.col("_pq")) > PPF_SPLIT1,
+                      F.sqrt(-F.log(F.when(F.col("_pq") < 0, pc).otherwise(1.0 - pc)))))
+    staged = staged.withColumn("_pr1", F.lit(PPF_CONST1) - F.col("_pq") * F.col("_pq"))
+    q, r, r1 = F.col("_pq"), F.col("_pr"), F.col("_pr1")
+    central = q * poly(PPF_A, r1) / poly(PPF_B, r1)
+    mid = poly(PPF_C, r - PPF_CONST2) / poly(PPF_D, r - PPF_CONST2)
+    far = poly(PPF_E, r - PPF_SPLIT2) / poly(PPF_F, r - PPF_SPLIT2)
+    tail = F.when(r <= PPF_SPLIT2, mid).otherwise(far)
+    tail = F.when(q < 0, -tail).otherwise(tail)
+    val = (F.when((pc <= 0) | (pc >= 1) | pc.isNull(), F.lit(None).cast("double"))
+           .when(F.abs(q) <= PPF_SPLIT1, central).otherwise(tail))
+    return staged.withColumn(out, val).drop("_pq", "_pr", "_pr1")
+
+
 def norm_ppf_py(p: float) -> float:
     """The same algorithm in Python (tests and driver-side checks)."""
     def pv(cs, x):

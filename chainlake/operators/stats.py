@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from chainlake.functions.classify import market_hours
 from chainlake.functions.pricing import norm_cdf
-from chainlake.functions.stats import norm_ppf, t_two_sided_p
+from chainlake.functions.stats import norm_ppf, t_two_sided_p, with_norm_ppf
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 # Chart parameters of the reference's notebook.
@@ -138,22 +138,28 @@ def bucket_count(groups: int, wanted: int, budget: int = CUTS_BROADCAST_BYTES) -
 
 
 def ranked_values(sample: DataFrame, by=("ticker",), x: str = "iv", buckets: int = 1024,
-                  accuracy: int = 100_000) -> DataFrame:
+                  accuracy: int | None = None) -> DataFrame:
     """Distinct values per group with their multiplicity ``m`` and first
     1-based rank ``start`` in ascending order, plus the group size ``n``.
 
+    The value counts are written once with a reliable ``checkpoint()`` (the
+    shared checkpoint folder): the cut points, the bucket totals and the
+    ranks all read them instead of re-running the sample's lineage.
     Equal-depth buckets over the distinct values keep every window bounded:
     ranks inside a bucket use a window over (group, bucket); bucket offsets
-    use a window over the (groups x buckets) table."""
+    use a window over the (groups x buckets) table.  Cut points only need to
+    balance buckets, so ``percentile_approx`` runs at 10 x buckets accuracy."""
     vals = sample.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("m"))
+    vals = vals.checkpoint(eager=True)
     if buckets > 1:
         # size check before broadcasting one array of cut points per group
         groups = vals.select(*by).distinct().count()
         buckets = bucket_count(groups, buckets)
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
-        cuts = vals.groupBy(*by).agg(F.percentile_approx(x, probs, accuracy).alias("_cuts"))
-        # one row per group (an array of buckets-1 cut points): bounded by groups
+        acc = accuracy or 10 * buckets
+        cuts = vals.groupBy(*by).agg(F.percentile_approx(x, probs, acc).alias("_cuts"))
+        # one row per group, an array of buckets-1 doubles: size checked above
         vals = vals.join(F.broadcast(cuts), list(by))
         b = F.size(F.filter("_cuts", lambda c: c < F.col(x)))
         vals = vals.withColumn("_b", b).drop("_cuts")
@@ -194,8 +200,8 @@ def qq_points(sample: DataFrame, by=("ticker",), x: str = "iv", buckets: int = 1
     """Normal probability plot points: theoretical quantile ``osm`` (inverse
     normal of Filliben's medians) against the ordered sample ``osr``."""
     r = expand_ranks(ranked_values(sample, by, x, buckets))
-    return r.select(*by, "i", "n", norm_ppf(filliben("i", "n")).alias("osm"),
-                    F.col(x).alias("osr"))
+    r = r.select(*by, "i", "n", filliben("i", "n").alias("_m"), F.col(x).alias("osr"))
+    return with_norm_ppf(r, "_m", "osm").select(*by, "i", "n", "osm", "osr")
 
 
 def qq_fit(points: DataFrame, by=("ticker",)) -> DataFrame:

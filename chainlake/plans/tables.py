@@ -51,11 +51,16 @@ def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_b
     if os.environ.get("CHAINLAKE_MATERIALIZE_BRONZE", "1") == "0":
         return build()
     ensure_checkpoint_dir(spark)
-    path = checkpoint_path(spark, f"bronze-{kind}-{_signature(sf_dir, _SOURCES[kind])}")
+    path = checkpoint_path(spark, f"bronze-v3-{kind}-{_signature(sf_dir, _SOURCES[kind])}")
     with _LOCK:
         if not _exists(spark, f"{path}/_SUCCESS"):
             df = build()
-            w = df.write.mode("overwrite")
+            if partition_by:
+                # cluster by the partition columns (few files per folder);
+                # the rebalance hint lets AQE split a hot (ticker, day) over
+                # several writers and merge small ones
+                df = df.hint("rebalance", *partition_by)
+            w = df.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
             if partition_by:
                 w = w.partitionBy(*partition_by)
             w.parquet(path)

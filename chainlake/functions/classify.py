@@ -55,7 +55,7 @@ def zscore_label(z) -> Column:
 
 def dte_calendar(expiry, as_of_date) -> Column:
     """Calendar days from ``as_of_date`` to expiry."""
-    return F.datediff(as_col(expiry), lit_date(as_of_date))
+    return F.datediff(as_col(expiry), lit_date(as_of_date)).cast("long")
 
 
 def dte_elapsed(expiry, as_of_ts) -> Column:

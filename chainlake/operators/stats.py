@@ -82,10 +82,11 @@ def histogram(sample: DataFrame, bins: int = HIST_BINS, by=("ticker",), x: str =
     lo, hi = F.col("_lo"), F.col("_hi")
     width = (hi - lo) / bins
     scaled = (F.col(x) - lo) * (F.lit(float(bins)) / (hi - lo))
-    idx = F.when(hi > lo, F.least(F.floor(scaled), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    idx = F.when(hi > lo, F.least(F.floor(scaled), F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
     counts = (sample.join(F.broadcast(rng), list(by)).groupBy(*by, idx.alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
-    grid = rng.select(*by, "_lo", "_hi", "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = rng.select(*by, "_lo", "_hi", "_n",
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     out = grid.join(counts, [*by, "bin"], "left").fillna(0, ["count"])
     w = F.when(hi > lo, width).otherwise(F.lit(1.0))
     return out.select(*by, "bin", (lo + F.col("bin") * width).alias("bin_lo"),
@@ -98,7 +99,7 @@ def _grid(stats: DataFrame, by, points: int, lo: str, hi: str) -> DataFrame:
     (numpy ``linspace``: the last point is exactly hi)."""
     k = F.col("k")
     step = (F.col(hi) - F.col(lo)) / (points - 1)
-    g = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
+    g = stats.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("k"))
     return g.withColumn("x", F.when(k == points - 1, F.col(hi)).otherwise(F.col(lo) + k * step))
 
 
@@ -280,7 +281,7 @@ def kde(sample: DataFrame, by=("ticker",), x: str = "iv", grid: int = KDE_GRID,
     counts = (s.join(F.broadcast(st), list(by)).groupBy(*by, "_lo", "_hi", "_n", "_sd", idx.alias("_b"))
               .agg(F.count(F.lit(1)).alias("_c")))
     key_fields = [counts.schema[c] for c in by]
-    schema = T.StructType(key_fields + [T.StructField("k", T.IntegerType()),
+    schema = T.StructType(key_fields + [T.StructField("k", T.LongType()),
                                         T.StructField("x", T.DoubleType()),
                                         T.StructField("density", T.DoubleType()),
                                         T.StructField("bandwidth", T.DoubleType())])
@@ -300,7 +301,7 @@ def kde(sample: DataFrame, by=("ticker",), x: str = "iv", grid: int = KDE_GRID,
             dens = (np.exp(-0.5 * z * z) @ c) / (n * h * SQRT_2PI)
         else:
             dens = np.full(grid, np.nan)
-        out = pd.DataFrame({"k": np.arange(grid, dtype="int32"), "x": xs, "density": dens,
+        out = pd.DataFrame({"k": np.arange(grid, dtype="int64"), "x": xs, "density": dens,
                             "bandwidth": h})
         for kcol in keys:
             out.insert(0, kcol, pdf[kcol].iloc[0])

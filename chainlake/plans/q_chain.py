@@ -244,7 +244,7 @@ SELECT ticker, hour(snapshot_time) AS hour, hour(snapshot_time) BETWEEN 9 AND 18
        count(*) AS n_rows FROM bronze_options_raw GROUP BY 1, 2, 3"""))
 def q_market_hours(spark, sf_dir):
     b = Tables(spark, sf_dir).bronze_options()
-    return (b.groupBy("ticker", F.hour("snapshot_time").alias("hour"),
+    return (b.groupBy("ticker", F.hour("snapshot_time").cast("long").alias("hour"),
                       C.market_hours("snapshot_time").alias("in_market"))
             .agg(F.count(F.lit(1)).alias("n_rows")))
 

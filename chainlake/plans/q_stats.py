@@ -104,7 +104,7 @@ def q_normal_fit(spark, sf_dir):
 
 
 @register("lognormal_fit", sql(f"""
-SELECT ticker, round(shape, 8) AS shape, 0.0 AS loc, round(scale, 8) AS scale, k, round(x, 8) AS x,
+SELECT ticker, round(shape, 8) AS shape, CAST(0.0 AS DOUBLE) AS loc, round(scale, 8) AS scale, k, round(x, 8) AS x,
        round(CASE WHEN x > 0 THEN exp(-(ln(x / scale) / shape) * (ln(x / scale) / shape) / 2.0)
                   / (x * shape * {f(math.sqrt(2 * math.pi))}) ELSE 0.0 END, 10) AS pdf
 FROM (SELECT *, {_grid_sql(S.FIT_GRID, 'lo', 'hi')} AS x

@@ -51,6 +51,25 @@ def _norm_value(v):
     return v
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE",
+                 "StringType": "VARCHAR", "DateType": "DATE", "TimestampNTZType": "TIMESTAMP",
+                 "TimestampType": "TIMESTAMP WITH TIME ZONE", "BooleanType": "BOOLEAN",
+                 "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT"}
+
+
+def schema_diff(sdf, con, sql: str) -> list[str]:
+    """Columns whose Spark type maps to a different DuckDB type."""
+    duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = []
+    for f in sdf.schema.fields:
+        st = type(f.dataType).__name__
+        want = SPARK_TO_DUCK.get(st, st)
+        got = duck.get(f.name)
+        if got is not None and not (got == want or (st == "DecimalType" and got.startswith("DECIMAL"))):
+            out.append(f"{f.name}: spark {st} vs duckdb {got}")
+    return out
+
+
 def normalise(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
     rows = []
@@ -80,7 +99,8 @@ def main() -> int:
     for k in keys:
         t0 = time.time()
         try:
-            sdf = qs[k](spark, args.sf).toPandas()
+            sframe = qs[k](spark, args.sf)
+            sdf = sframe.toPandas()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {k}: spark error {type(e).__name__}: {str(e)[:300]}")
             bad += 1
@@ -95,6 +115,9 @@ def main() -> int:
             print(f"FAIL {k}: duckdb error {str(e)[:300]}")
             bad += 1
             continue
+        types = schema_diff(sframe, con, orc[k])
+        if types:
+            print(f"TYPE {k}: " + "; ".join(types))
         same_cols = sorted(sdf.columns) == sorted(odf.columns)
         same_rows = len(sdf) == len(odf)
         same_vals = same_cols and same_rows and normalise(sdf) == normalise(odf)

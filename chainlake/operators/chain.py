@@ -30,7 +30,7 @@ FLOW_FILTERS = (
 )
 # The dated catalyst events shown on the term structure; a
 # leading "~" marks an estimated date.
-CATALYST_EVENTS = (
+DATED_EVENTS = (
     ("WWDC 2026", "2026-06-09"),
     ("Q3 Earnings", "2026-07-30"),
     ("~CEO Transition", "2026-09-01"),
@@ -140,7 +140,7 @@ def term_structure(gold: DataFrame, as_of_ts, band: float = 0.05, min_volume: fl
                       .alias("shape"))
 
 
-def event_markers(as_of: DataFrame, events=CATALYST_EVENTS, dte_range=DTE_WINDOW) -> DataFrame:
+def event_markers(as_of: DataFrame, events=DATED_EVENTS, dte_range=DTE_WINDOW) -> DataFrame:
     """Each event's elapsed DTE relative to each row of ``as_of`` (columns
     ``ticker``, ``as_of``), with ``shown`` = DTE inside ``dte_range``.  The
     events are a literal array attached to every as-of row and inlined (a

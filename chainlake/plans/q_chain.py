@@ -164,7 +164,7 @@ def q_term_slope(spark, sf_dir):
 
 def _events_sql() -> str:
     rows = ", ".join(f"('{n.lstrip('~')}', DATE '{d}', {str(n.startswith('~')).upper()})"
-                     for n, d in chain.CATALYST_EVENTS)
+                     for n, d in chain.DATED_EVENTS)
     return f"""
 ev(event, event_date, estimated) AS (VALUES {rows}),
 as_of AS (SELECT ticker, max(snapshot_time) AS as_of FROM bronze_options_raw GROUP BY ticker)"""

@@ -27,6 +27,16 @@ PARTITIONS = {
 }
 
 
+# Tables each table is built from: a table whose input failed validation is
+# held back as well.
+DEPENDS = {
+    "gold_latest_snapshot": ("silver_options_latest", "silver_price_daily"),
+    "gold_pcr": ("silver_options_latest",),
+    "gold_iv_rank": ("silver_price_daily",),
+    "gold_greeks_exposure": ("silver_options_latest",),
+}
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -85,6 +95,10 @@ def build(spark: SparkSession, bronze_options: DataFrame, bronze_price: DataFram
         if bad and strict:
             raise ValueError(f"{name} failed checks: {bad}")
         verdicts[name] = (df.count(), bad)
+    for name, deps in DEPENDS.items():
+        n, bad = verdicts[name]
+        verdicts[name] = (n, bad + [f"upstream:{d}" for d in deps if verdicts[d][1]
+                                    and not any(b.startswith("upstream:") for b in verdicts[d][1])])
     for name, (n, bad) in verdicts.items():
         published = not bad and out_dir is not None
         if published:
@@ -93,3 +107,21 @@ def build(spark: SparkSession, bronze_options: DataFrame, bronze_price: DataFram
         report.append((name, n, len(bad), ",".join(bad), published))
     return spark.createDataFrame(
         report, "table string, rows long, failed_checks int, failed string, published boolean")
+
+
+def run(spark: SparkSession, landing_root: str, warehouse: str, strict: bool = False) -> DataFrame:
+    """End-to-end scheduled job: ingest every new file under
+    ``landing_root/options`` and ``landing_root/price`` into Bronze
+    (Structured Streaming, ``availableNow``, checkpoints under the
+    warehouse), then rebuild and publish the Silver/Gold tables under
+    ``warehouse`` after validating them.  Safe to re-run: files already
+    ingested are skipped by the streaming file log."""
+    from chainlake.streaming import ingest as stream
+
+    root = warehouse.rstrip("/")
+    for kind in ("options", "price"):
+        stream.ingest_to_bronze(spark, f"{landing_root.rstrip('/')}/{kind}", kind,
+                                f"{root}/bronze_{kind}", f"{root}/_checkpoints/bronze_{kind}")
+    b_opts = stream.read_bronze(spark, f"{root}/bronze_options")
+    b_px = stream.read_bronze(spark, f"{root}/bronze_price")
+    return build(spark, b_opts, b_px, out_dir=root, strict=strict)

@@ -21,6 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 import pandas as pd  # noqa: E402
 
+EXACT = False
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -37,7 +38,7 @@ def _norm_value(v):
             return None
         if v == 0:
             return 0.0
-        return float(f"{v:.9g}")
+        return v if EXACT else float(f"{v:.9g}")
     if isinstance(v, (pd.Timestamp,)):
         return str(v.to_pydatetime())
     if isinstance(v, datetime.datetime):
@@ -81,8 +82,11 @@ def normalise(df: pd.DataFrame) -> list[tuple]:
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--exact", action="store_true", help="compare floats bit for bit")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args()
+    global EXACT
+    EXACT = args.exact
 
     from chainlake.plans.catalog import oracle_sql, queries
     from chainlake.session import get_spark

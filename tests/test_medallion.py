@@ -78,3 +78,21 @@ def test_latest_snapshot_left_join_keeps_options(spark):
 
 def test_bronze_columns_constant_matches_schema():
     assert BRONZE_OPTION_COLS == [f.split()[0] for f in SCHEMA.split(", ")]
+
+
+def test_silver_price_drops_null_criticals_and_hv_needs_full_window(spark):
+    from chainlake.operators.prices import hv
+
+    d0 = dt.date(2024, 1, 1)
+    rows = [(d0 + dt.timedelta(days=i), "T", 100.0 + i) for i in range(25)]
+    df = spark.createDataFrame(rows, "Date date, ticker string, Close double")
+    out = hv(df, windows=(20,)).orderBy("Date").collect()
+    assert all(r.HV_20 is None for r in out[:20]) and out[20].HV_20 is not None
+    raw = spark.createDataFrame(
+        [(d0, 1.0, 2.0, 0.5, None, 10, None, None, T0, "AM", "T", "f1"),
+         (d0, 1.0, 2.0, 0.5, 1.5, 10, None, None, T0, "PM", "T", "f2"),
+         (d0, 1.0, 2.0, 0.5, 1.6, 10, None, None, None, "PM", "T", "f3")],
+        "Date date, Open double, High double, Low double, Close double, Volume long, HV_20 double, "
+        "HV_252 double, snapshot_time timestamp_ntz, snapshot_str string, ticker string, _source_file string")
+    (r,) = silver.silver_price(raw).collect()
+    assert r.Close == 1.5

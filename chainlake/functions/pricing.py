@@ -55,23 +55,33 @@ def _horner(coeffs, x: Column) -> Column:
     return acc
 
 
-def norm_cdf(x) -> Column:
-    """Standard normal CDF, absolute error ~1e-16, without ``erf``."""
-    x = as_col(x)
-    a = F.abs(x)
+def normal_tail(a) -> Column:
+    """P(Z > a) for a >= 0 (the upper tail), absolute error ~1e-16."""
+    a = as_col(a)
     e = F.exp(-a * a / 2.0)
     near = e * _horner(CDF_NUM, a) / _horner(CDF_DEN, a)
     b = a + 0.65
     for k in (4.0, 3.0, 2.0, 1.0):
         b = a + F.lit(k) / b
     far = e / b / SQRT_2PI
-    tail = (F.when(a > CDF_ZERO_BEYOND, F.lit(0.0))
+    return (F.when(a > CDF_ZERO_BEYOND, F.lit(0.0))
             .when(a < CDF_SWITCH, near)
             .otherwise(far))
+
+
+def cdf_from_tail(x, tail) -> Column:
+    """N(x) given ``tail`` = P(Z > |x|)."""
+    x, tail = as_col(x), as_col(tail)
     return F.when(x.isNull(), F.lit(None).cast("double")) \
         .when(x > 0, 1.0 - tail).otherwise(tail)
 
 
+def norm_cdf(x) -> Column:
+    """Standard normal CDF, absolute error ~1e-16, without ``erf``."""
+    x = as_col(x)
+    return cdf_from_tail(x, normal_tail(F.abs(x)))
+
+
 def norm_pdf(x) -> Column:
     x = as_col(x)
     return F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
@@ -122,18 +132,24 @@ def with_greeks(df: DataFrame, spot, strike, sigma, option_type, t_years,
     d1 = (F.log(S / K) + (F.lit(r) + sig * sig / 2.0) * T) / (sig * sqrt_t)
     staged = staged.withColumn("_gd1", F.when(F.col("_gok"), d1))
     staged = staged.withColumn("_gd2", F.col("_gd1") - sig * sqrt_t)
+    # the two normal tails and the density, once each: N(d1), N(d2) and
+    # N(-d2) all follow from P(Z > |d1|) and P(Z > |d2|)
+    staged = (staged.withColumn("_gt1", normal_tail(F.abs(F.col("_gd1"))))
+              .withColumn("_gt2", normal_tail(F.abs(F.col("_gd2"))))
+              .withColumn("_gp1", norm_pdf(F.col("_gd1"))))
     d1, d2, is_call = F.col("_gd1"), F.col("_gd2"), F.col("_gcall")
-    pdf1 = norm_pdf(d1)
-    cdf1 = norm_cdf(d1)
+    pdf1 = F.col("_gp1")
+    cdf1 = cdf_from_tail(d1, "_gt1")
     delta = F.when(is_call, cdf1).otherwise(cdf1 - 1.0)
     gamma = pdf1 / (S * sig * sqrt_t)
     decay = -S * pdf1 * sig / (2.0 * sqrt_t)
     carry = F.lit(r) * K * F.exp(-F.lit(r) * T)
-    theta = F.when(is_call, decay - carry * norm_cdf(d2)) \
-        .otherwise(decay + carry * norm_cdf(-d2)) / 365.0
+    theta = F.when(is_call, decay - carry * cdf_from_tail(d2, "_gt2")) \
+        .otherwise(decay + carry * cdf_from_tail(-d2, "_gt2")) / 365.0
     vega = S * pdf1 * sqrt_t / 100.0
     out = staged
     for name, c in (("delta", delta), ("gamma", gamma), ("theta", theta), ("vega", vega)):
         out = out.withColumn(prefix + name,
                              F.when(F.col("_gok"), F.bround(c, 4)).otherwise(F.lit(None).cast("double")))
-    return out.drop("_gS", "_gK", "_gsig", "_gT", "_gcall", "_gok", "_gd1", "_gd2")
+    return out.drop("_gS", "_gK", "_gsig", "_gT", "_gcall", "_gok", "_gd1", "_gd2", "_gt1", "_gt2",
+                    "_gp1")

@@ -26,8 +26,21 @@ _LOCK = threading.Lock()
 _SOURCES = {"options": ("events",), "price": ("events",), "history": ("orders",)}
 
 
+def _code_version() -> str:
+    """Hash of the modules that define the derived Bronze tables, so a code
+    change never reads a stale materialisation."""
+    from chainlake.functions import pricing
+    from chainlake.sources import ingest
+
+    h = hashlib.sha1()
+    for mod in (fixtures, pricing, ingest):
+        with open(mod.__file__, "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:8]
+
+
 def _signature(sf_dir: str, names) -> str:
-    parts = [os.path.abspath(sf_dir)]
+    parts = [os.path.abspath(sf_dir), _code_version()]
     for n in names:
         p = os.path.join(sf_dir, f"{n}.parquet")
         try:
@@ -51,7 +64,7 @@ def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_b
     if os.environ.get("CHAINLAKE_MATERIALIZE_BRONZE", "1") == "0":
         return build()
     ensure_checkpoint_dir(spark)
-    path = checkpoint_path(spark, f"bronze-v3-{kind}-{_signature(sf_dir, _SOURCES[kind])}")
+    path = checkpoint_path(spark, f"bronze-{kind}-{_signature(sf_dir, _SOURCES[kind])}")
     with _LOCK:
         if not _exists(spark, f"{path}/_SUCCESS"):
             df = build()

@@ -72,3 +72,24 @@ def test_add_metadata_literal(spark):
     df = spark.range(1).select(F.lit(1).alias("x"))
     (r,) = ingest.add_metadata(df, "2026-06-01 09:35:07", "AAPL").collect()
     assert r.snapshot_str == "20260601_093507" and r.ticker == "AAPL"
+
+
+PRICE_HEADER = "Date,Open,High,Low,Close,Volume,HV_20,HV_252,snapshot_time,snapshot_str,ticker\n"
+
+
+def test_stream_silver_merge_price_path(spark, tmp_path):
+    landing, silver_dir, ckpt = str(tmp_path / "l"), str(tmp_path / "s"), str(tmp_path / "c")
+    os.makedirs(landing)
+
+    def put(name, rows):
+        with open(os.path.join(landing, name), "w") as fh:
+            fh.write(PRICE_HEADER + "".join(rows))
+
+    put("run2.csv", ["2024-01-02,1,2,0.5,1.5,10.0,,,2024-01-02 16:15:00.000000,r2,TKA\n",
+                     "2023-12-29,1,2,0.5,1.1,10.0,,,2024-01-02 16:15:00.000000,r2,TKA\n"])
+    stream.stream_silver_merge(spark, landing, "price", silver_dir, ckpt)
+    put("run1.csv", ["2024-01-02,1,2,0.5,1.4,10.0,,,2024-01-02 09:35:00.000000,r1,TKA\n",
+                     "2024-01-01,1,2,0.5,,10.0,,,2024-01-02 09:35:00.000000,r1,TKA\n"])   # NULL close: dropped
+    stream.stream_silver_merge(spark, landing, "price", silver_dir, ckpt)
+    got = {r.Date: r.Close for r in stream.read_silver(spark, silver_dir, "price").collect()}
+    assert got == {dt.date(2024, 1, 2): 1.5, dt.date(2023, 12, 29): 1.1}

@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from chainlake.operators import gold, quality, silver
 from chainlake.session import checkpoint_path
 
+# Silver/Gold are one row per contract, ticker-day or less: only the
+# contract-level table is partitioned (by expiry); the rest are single
+# folders.
 PARTITIONS = {
-    "silver_price_daily": ["ticker"],
-    "silver_options_latest": ["ticker", "expiry"],
-    "gold_latest_snapshot": ["ticker"],
-    "gold_pcr": ["ticker"],
+    "silver_price_daily": [],
+    "silver_options_latest": ["expiry"],
+    "gold_latest_snapshot": ["expiry"],
+    "gold_pcr": [],
     "gold_iv_rank": [],
-    "gold_greeks_exposure": ["ticker"],
+    "gold_greeks_exposure": [],
 }
 
 

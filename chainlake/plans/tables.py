@@ -3,8 +3,9 @@
 Bronze is the stored input layer (the reference keeps it as a database
 table): the Bronze views derived from the driver's tables are written once
 per data folder as Parquet under the shared ``spark.checkpoint.dir``,
-partitioned by (ticker, snapshot_date) like the streaming ingest writes
-them, and every query reads that table.  Silver and Gold are computed by
+partitioned by snapshot_date like the streaming ingest writes them (rows
+sorted by ticker and contract inside the files), and every query reads
+that table.  Silver and Gold are computed by
 each query from Bronze.  Set ``CHAINLAKE_MATERIALIZE_BRONZE=0`` to derive
 Bronze inline instead.
 """
@@ -57,7 +58,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_by) -> DataFrame:
+def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_by,
+                 sort_by=()) -> DataFrame:
     """Write ``build()`` once to the shared folder (keyed by the source
     files' identity) and read it back; concurrent callers wait for the first
     writer.  The ``_SUCCESS`` marker means a complete write."""
@@ -73,6 +75,10 @@ def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_b
                 # the rebalance hint lets AQE split a hot (ticker, day) over
                 # several writers and merge small ones
                 df = df.hint("rebalance", *partition_by)
+            if sort_by:
+                # rows of a ticker/contract sit together, so Parquet
+                # min/max statistics skip row groups on those columns
+                df = df.sortWithinPartitions(*sort_by)
             w = df.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
             if partition_by:
                 w = w.partitionBy(*partition_by)
@@ -92,13 +98,15 @@ class Tables:
             b = fixtures.bronze_options_raw(self.spark, self.sf_dir)
             return b.withColumn("snapshot_date", F.to_date("snapshot_time"))
 
-        df = materialized(self.spark, self.sf_dir, "options", build, ["ticker", "snapshot_date"])
+        df = materialized(self.spark, self.sf_dir, "options", build, ["snapshot_date"],
+                          sort_by=("ticker", "contractSymbol", "snapshot_time"))
         return df.select(*cols)
 
     def bronze_price(self) -> DataFrame:
         cols = fixtures.BRONZE_PRICE_COLS
         df = materialized(self.spark, self.sf_dir, "price",
-                          lambda: fixtures.bronze_price_raw(self.spark, self.sf_dir), ["ticker"])
+                          lambda: fixtures.bronze_price_raw(self.spark, self.sf_dir), [],
+                          sort_by=("ticker", "Date"))
         return df.select(*cols)
 
     def silver_price(self) -> DataFrame:
@@ -127,5 +135,6 @@ class Tables:
 
     def price_history(self) -> DataFrame:
         df = materialized(self.spark, self.sf_dir, "history",
-                          lambda: fixtures.price_history(self.spark, self.sf_dir), ["ticker"])
+                          lambda: fixtures.price_history(self.spark, self.sf_dir), [],
+                          sort_by=("ticker", "Date"))
         return df.select("Date", "ticker", "Close")

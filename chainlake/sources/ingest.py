@@ -98,9 +98,11 @@ def new_files_only(incoming: DataFrame, bronze: DataFrame | None) -> DataFrame:
 
 
 def csv_snapshot_sink(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write snapshots partitioned by ticker and snapshot date (append)."""
+    """Append snapshots partitioned by snapshot date, rows of a ticker
+    together inside the files (one folder per day, not per ticker and day)."""
     (df.withColumn("snapshot_date", F.to_date("snapshot_time"))
-     .write.mode("append").partitionBy("ticker", "snapshot_date").format(fmt).save(path))
+     .sortWithinPartitions("ticker", "snapshot_time")
+     .write.mode("append").partitionBy("snapshot_date").format(fmt).save(path))
 
 
 def keep_option_columns(df: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ to Bronze exactly once however often the job runs (the reference's
 everything present and stops, which suits a scheduled job; the same code
 runs continuously with a processing-time trigger.
 
-Bronze is Parquet partitioned by (ticker, snapshot_date), so per-day and
-per-ticker reads prune files.  Silver is maintained by ``foreachBatch``:
+Bronze is Parquet partitioned by snapshot_date (a ticker x day layout would
+mean millions of folders at scale); the file sink appends within the day
+folder.  Silver is maintained by ``foreachBatch``:
 only the partitions a micro-batch touches are read back, merged with the
 batch under "newest valid row per key", cut from lineage with a reliable
 checkpoint, and rewritten with dynamic partition overwrite.  The merge is
@@ -26,12 +27,13 @@ from chainlake.session import checkpoint_path, ensure_checkpoint_dir
 from chainlake.sources import ingest, schemas
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-# Silver layouts: (key, partition columns).  Options are partitioned by
-# (ticker, expiry): a contract never changes expiry, and one expiry of one
-# ticker is a bounded set of strikes.  Prices by (ticker, year).
+# Silver layouts: (key, partition columns).  Silver holds one row per
+# contract (or per ticker and day), so it is small next to Bronze; options
+# are partitioned by expiry (a contract never changes expiry, and a batch
+# touches only the live expiries), prices by year.
 SILVER_LAYOUT = {
-    "options": (["contractSymbol"], ["ticker", "expiry"]),
-    "price": (["ticker", "Date"], ["ticker", "_year"]),
+    "options": (["contractSymbol"], ["expiry"]),
+    "price": (["ticker", "Date"], ["_year"]),
 }
 
 
@@ -58,7 +60,7 @@ def ingest_to_bronze(spark: SparkSession, landing_dir: str, kind: str, bronze_di
         "snapshot_date", F.to_date("snapshot_time"))
     q = (rows.writeStream.format("parquet").outputMode("append")
          .option("path", bronze_dir).option("checkpointLocation", ckpt)
-         .partitionBy("ticker", "snapshot_date").trigger(availableNow=True).start())
+         .partitionBy("snapshot_date").trigger(availableNow=True).start())
     q.awaitTermination()
 
 

@@ -59,6 +59,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return configure(spark)
 
 
+def size_shuffle_partitions(spark: SparkSession, input_bytes: int,
+                            target_bytes: int = 256 * 1024 * 1024, floor: int = 200) -> int:
+    """Set ``spark.sql.shuffle.partitions`` from the input size (about one
+    partition per ``target_bytes`` of shuffled input, e.g. ~400,000 for
+    100 TB).  AQE then coalesces small partitions and splits skewed ones, so
+    the setting is an upper bound on parallelism rather than a guess."""
+    n = max(floor, int(input_bytes // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

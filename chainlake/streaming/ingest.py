@@ -52,16 +52,21 @@ def read_landing_stream(spark: SparkSession, landing_dir: str, kind: str) -> Dat
 
 
 def ingest_to_bronze(spark: SparkSession, landing_dir: str, kind: str, bronze_dir: str,
-                     checkpoint: str | None = None) -> None:
-    """Append every landing file not yet seen to Bronze and stop."""
+                     checkpoint: str | None = None, processing_time: str | None = None):
+    """Append every landing file not yet seen to Bronze.  By default the
+    query processes what is there and stops (``availableNow``); with
+    ``processing_time`` (e.g. ``"5 minutes"``) it keeps running and the
+    started query is returned."""
     ensure_checkpoint_dir(spark)
     ckpt = checkpoint or checkpoint_path(spark, f"bronze-{kind}")
     rows = read_landing_stream(spark, landing_dir, kind).withColumn(
         "snapshot_date", F.to_date("snapshot_time"))
-    q = (rows.writeStream.format("parquet").outputMode("append")
-         .option("path", bronze_dir).option("checkpointLocation", ckpt)
-         .partitionBy("snapshot_date").trigger(availableNow=True).start())
-    q.awaitTermination()
+    w = (rows.writeStream.format("parquet").outputMode("append")
+         .option("path", bronze_dir).option("checkpointLocation", ckpt).partitionBy("snapshot_date"))
+    if processing_time:
+        return w.trigger(processingTime=processing_time).start()
+    w.trigger(availableNow=True).start().awaitTermination()
+    return None
 
 
 def read_bronze(spark: SparkSession, bronze_dir: str) -> DataFrame:

@@ -64,8 +64,6 @@ def with_norm_ppf(df, p: str, out: str):
     """``norm_ppf`` in stages: p, then q and r as columns, then the rational
     functions over those columns -- the optimizer keeps the projections
     apart, so each input is computed once and codegen stays small."""
-    from pyspark.sql import DataFrame  # noqa: F401
-
     pc = F.col(p)
     staged = df.withColumn("_pq", pc - 0.5)
     staged = staged.withColumn(

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from chainlake.functions.classify import market_hours
 from chainlake.functions.pricing import norm_cdf
-from chainlake.functions.stats import norm_ppf, t_two_sided_p, with_norm_ppf
+from chainlake.functions.stats import t_two_sided_p, with_norm_ppf
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 # Chart parameters of the reference's notebook.

@@ -135,6 +135,17 @@ def today_ohlc(bars: DataFrame, overrides: DataFrame) -> DataFrame:
                     (F.col("low") - F.col("open")).alias("low_vs_open"))
 
 
+def ema_over(bars: DataFrame, days: int | None = None, warmup: bool = False, **kw) -> DataFrame:
+    """EMA for a timeframe of ``days``: the reference cuts the bars first and
+    starts the averages at the first bar of the window (``warmup=False``);
+    ``warmup=True`` runs them over the whole history and cuts afterwards."""
+    if days is None:
+        return ema(bars, **kw)
+    if warmup:
+        return last_days(ema(bars, **kw), days, ts="date")
+    return ema(last_days(bars, days, ts="date"), **kw)
+
+
 def ema(bars: DataFrame, spans=EMA_SPANS, value: str = "close", order: str = "date") -> DataFrame:
     """Exponential moving averages of each contract's bars: alpha = 2 / (span
     + 1), first value = first observation, y = ((1 - alpha) y' + alpha x) /

@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chainlake.operators import gold, quality, silver
 from chainlake.session import checkpoint_path

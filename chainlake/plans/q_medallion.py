@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainlake.functions.util import lit_date
-from chainlake.operators import gold, silver
+from chainlake.operators import gold
 from chainlake.plans.catalog import register
 from chainlake.plans.oracle import f, sql
 from chainlake.plans.tables import Tables

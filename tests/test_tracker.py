@@ -67,3 +67,16 @@ def test_timeframe_relative_to_series_max(spark):
                                 ("B", d(2023, 1, 1))], "contractSymbol string, snapshot_time timestamp_ntz")
     kept = sorted((r.contractSymbol, r.snapshot_time) for r in tracker.last_days(df, 7).collect())
     assert kept == [("A", d(2024, 1, 8)), ("A", d(2024, 1, 10)), ("B", d(2023, 1, 1))]
+
+
+def test_ema_timeframe_warmup(spark):
+    closes = [1.0, 2.0, 4.0, 8.0, 16.0]
+    days = [dt.date(2024, 1, i + 1) for i in range(5)]
+    df = spark.createDataFrame([("A", d, c) for d, c in zip(days, closes)],
+                               "contractSymbol string, date date, close double")
+    cut = tracker.ema_over(df, 2, spans=(3,)).orderBy("date").collect()
+    warm = tracker.ema_over(df, 2, warmup=True, spans=(3,)).orderBy("date").collect()
+    assert [r.date for r in cut] == days[2:] and [r.date for r in warm] == days[2:]
+    assert cut[0].ema_3 == 4.0  # restarts at the first bar of the window
+    full = pd.Series(closes).ewm(span=3, adjust=False).mean().tolist()
+    assert [r.ema_3 for r in warm] == pytest.approx(full[2:])

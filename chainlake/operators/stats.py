@@ -329,7 +329,17 @@ def _t_p_values(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def _t_p(t, df):
-    # built on first use: declaring a pandas UDF needs an active session
+    # built on first use: declaring a pandas UDF needs an active session.
+    # The function and its helpers are shipped by value, so Python workers
+    # need no installed copy of this package.
+    import sys
+
+    from pyspark import cloudpickle
+
+    from chainlake.functions import stats as fstats
+
+    for mod in (fstats, sys.modules[__name__]):
+        cloudpickle.register_pickle_by_value(mod)
     return F.pandas_udf(_t_p_values, T.DoubleType())(t, df)
 
 

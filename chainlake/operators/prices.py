@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlake.functions.pricing import RISK_FREE, time_to_expiry, with_greeks
+from chainlake.functions.util import per_key_broadcast
 
 PRICE_COLS = ("Open", "High", "Low", "Close")
 TRADING_DAYS = 252
@@ -49,7 +50,7 @@ def greeks(opts: DataFrame, px: DataFrame, r: float = RISK_FREE, as_of="snapshot
     column, default the snapshot's own time).  Native expressions only."""
     from chainlake.operators.silver import spot
 
-    s = F.broadcast(spot(px).select("ticker", F.col("spot").alias("_spot")))
+    s = per_key_broadcast(spot(px).select("ticker", F.col("spot").alias("_spot")))
     j = opts.join(s, "ticker", "left")
     t = time_to_expiry("expiry", as_of, market_tz)
     return with_greeks(j, "_spot", "strike", "impliedVolatility", "option_type", t, r).drop("_spot")

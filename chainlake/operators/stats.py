@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from chainlake.functions.classify import market_hours
 from chainlake.functions.pricing import norm_cdf
 from chainlake.functions.stats import t_two_sided_p, with_norm_ppf
+from chainlake.functions.util import per_key_broadcast
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 # Chart parameters of the reference's notebook.
@@ -83,7 +84,7 @@ def histogram(sample: DataFrame, bins: int = HIST_BINS, by=("ticker",), x: str =
     width = (hi - lo) / bins
     scaled = (F.col(x) - lo) * (F.lit(float(bins)) / (hi - lo))
     idx = F.when(hi > lo, F.least(F.floor(scaled), F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
-    counts = (sample.join(F.broadcast(rng), list(by)).groupBy(*by, idx.alias("bin"))
+    counts = (sample.join(per_key_broadcast(rng), list(by)).groupBy(*by, idx.alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     grid = rng.select(*by, "_lo", "_hi", "_n",
                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
@@ -216,7 +217,7 @@ def value_at_rank(ranked: DataFrame, targets: DataFrame, by=("ticker",), x: str
     """For target ranks (columns by..., ``name``, ``k``) the value holding
     that rank.  Targets are a few rows per group (broadcast); each value row
     checks them with an equi-join on the group and a range condition."""
-    t = F.broadcast(targets)
+    t = per_key_broadcast(targets)
     j = ranked.join(t, list(by)).filter((F.col("k") >= F.col("start"))
                                         & (F.col("k") < F.col("start") + F.col("m")))
     return j.select(*by, "name", "k", F.col(x).alias("value"))
@@ -241,7 +242,7 @@ def box_stats(sample: DataFrame, by=("ticker",), x: str = "iv", whisker: float =
                             F.least(F.ceil(h), n).cast("long").alias("k"), (h - F.floor(h)).alias("frac")))
     sizes = sample.filter(F.col(x).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     targets = sizes.select(*by, F.inline(F.array(*tgt)))
-    hit = (ranked.join(F.broadcast(targets), list(by))
+    hit = (ranked.join(per_key_broadcast(targets), list(by))
            .filter((F.col("k") >= F.col("start")) & (F.col("k") < F.col("start") + F.col("m"))))
     aggs = []
     for name, _ in probs:
@@ -255,7 +256,7 @@ def box_stats(sample: DataFrame, by=("ticker",), x: str = "iv", whisker: float =
                           (F.col("q3") + whisker * iqr).alias("_uf"))
     v = F.col(x)
     inside = (v >= F.col("_lf")) & (v <= F.col("_uf"))
-    return (sample.join(F.broadcast(fences), list(by)).groupBy(*by, "q1", "median", "q3")
+    return (sample.join(per_key_broadcast(fences), list(by)).groupBy(*by, "q1", "median", "q3")
             .agg(F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
                  F.count(F.when(~inside, F.lit(1))).alias("outliers"))
             .select(*by, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
@@ -278,7 +279,7 @@ def kde(sample: DataFrame, by=("ticker",), x: str = "iv", grid: int = KDE_GRID,
     lo, hi = F.col("_lo"), F.col("_hi")
     idx = F.when(hi > lo, F.least(F.floor((F.col("_v") - lo) * (F.lit(float(bins)) / (hi - lo))),
                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counts = (s.join(F.broadcast(st), list(by)).groupBy(*by, "_lo", "_hi", "_n", "_sd", idx.alias("_b"))
+    counts = (s.join(per_key_broadcast(st), list(by)).groupBy(*by, "_lo", "_hi", "_n", "_sd", idx.alias("_b"))
               .agg(F.count(F.lit(1)).alias("_c")))
     key_fields = [counts.schema[c] for c in by]
     schema = T.StructType(key_fields + [T.StructField("k", T.LongType()),

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainlake.functions.util import per_key_broadcast
 from chainlake.operators import silver
 from chainlake.session import checkpoint_path, ensure_checkpoint_dir
 from chainlake.sources import ingest, schemas
@@ -92,7 +93,7 @@ def merge_into_silver(batch: DataFrame, silver_dir: str, kind: str) -> None:
     if _path_exists(spark, silver_dir):
         # semi-join on partition columns: dynamic partition pruning reads
         # only the touched partitions of the existing table
-        old = spark.read.parquet(silver_dir).join(F.broadcast(touched), parts, "left_semi")
+        old = spark.read.parquet(silver_dir).join(per_key_broadcast(touched), parts, "left_semi")
         cand = cand.unionByName(old, allowMissingColumns=True)
     merged = with_parts(newest(cand.drop("_year") if kind == "price" else cand))
     merged = merged.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chainlake.functions.util import as_col, lit_date, lit_ts
+from chainlake.functions.util import as_col, lit_date, lit_ts, pandas_round
 
 # Thresholds and labels of the reference's classifiers.
 PCR_BULLISH_BELOW = 0.7
@@ -75,10 +75,10 @@ def dte_bucket(days) -> Column:
 
 
 def flow_ratio(num, den, digits: int = 2) -> Column:
-    """NULL -> 0 on both sides, zero denominator -> 0, rounded half-even."""
+    """NULL -> 0 on both sides, zero denominator -> 0, rounded as pandas does."""
     n = F.coalesce(as_col(num), F.lit(0)).cast("double")
     d = F.coalesce(as_col(den), F.lit(0)).cast("double")
-    return F.coalesce(F.bround(n / F.when(d != 0, d), digits), F.lit(0.0))
+    return F.coalesce(pandas_round(n / F.when(d != 0, d), digits), F.lit(0.0))
 
 
 def freshness(hours_ago) -> Column:

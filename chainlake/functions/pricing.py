@@ -97,14 +97,14 @@ def to_utc_wall(ts, tz: str) -> Column:
 
 
 def time_to_expiry(expiry, as_of, market_tz: str = "America/New_York") -> Column:
-    """Years from ``as_of`` to 16:00 market time on ``expiry``, floored at one
-    day.  Both instants are read as wall-clock times in ``market_tz`` and the
-    difference is taken in absolute seconds (so DST shifts count)."""
-    close_local = F.make_timestamp_ntz(
-        F.year(as_col(expiry)), F.month(as_col(expiry)), F.dayofmonth(as_col(expiry)),
-        F.lit(EXPIRY_CLOSE_HOUR), F.lit(0), F.lit(0))
-    micros = F.timestamp_diff("MICROSECOND", to_utc_wall(as_of, market_tz),
-                              to_utc_wall(close_local, market_tz))
+    """Years from ``as_of`` to the market close of ``expiry``, floored at one
+    day.  The close is the expiry's midnight in ``market_tz`` plus 16 hours of
+    elapsed time (so on a DST-switch day it falls at 15:00 or 17:00 local),
+    ``as_of`` is a wall-clock time in ``market_tz``, and the difference is
+    taken in absolute seconds."""
+    midnight = as_col(expiry).cast("date").cast("timestamp_ntz")
+    close_utc = to_utc_wall(midnight, market_tz) + F.expr(f"INTERVAL {EXPIRY_CLOSE_HOUR} HOURS")
+    micros = F.timestamp_diff("MICROSECOND", to_utc_wall(as_of, market_tz), close_utc)
     years = micros.cast("double") / 1e6 / SECONDS_PER_YEAR
     return F.greatest(years, F.lit(1.0 / 365.0))
 

@@ -55,3 +55,11 @@ def per_key_broadcast(df: DataFrame) -> DataFrame:
     data volume, so shipping it to every executor is safe; the large side is
     then joined where it lies, with no shuffle and no skew from a hot key."""
     return F.broadcast(df)
+
+
+def pandas_round(c, digits: int) -> Column:
+    """Round as pandas/numpy ``round(digits)`` does: scale by 10**digits,
+    round half to even, scale back (so 2.675 -> 2.67, because 2.675 * 100 is
+    267.49999999999997 in binary)."""
+    p = float(10 ** digits)
+    return F.bround(as_col(c) * p, 0) / p

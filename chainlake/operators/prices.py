@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlake.functions.pricing import RISK_FREE, time_to_expiry, with_greeks
-from chainlake.functions.util import per_key_broadcast
+from chainlake.functions.util import pandas_round, per_key_broadcast
 
 PRICE_COLS = ("Open", "High", "Low", "Close")
 TRADING_DAYS = 252
 
 
 def clean_price(df: DataFrame, date_col: str = "Date") -> DataFrame:
-    """Date -> DATE, OHLC rounded to 2 (half-even like pandas), corporate
+    """Date -> DATE, OHLC rounded to 2 the way pandas rounds, corporate
     action columns dropped if present."""
     out = df.withColumn(date_col, F.to_date(F.col(date_col)))
     for c in PRICE_COLS:
         if c in out.columns:
-            out = out.withColumn(c, F.bround(F.col(c), 2))
+            out = out.withColumn(c, pandas_round(F.col(c), 2))
     return out.drop("Dividends", "Stock Splits")
 
 
@@ -38,7 +38,7 @@ def hv(df: DataFrame, windows=(20, 252), partition_by=("ticker",),
     for n in windows:
         frame = w.rowsBetween(-(n - 1), Window.currentRow)
         vol = F.stddev_samp("_lr").over(frame) * math.sqrt(TRADING_DAYS)
-        out = out.withColumn(f"HV_{n}", F.when(F.count("_lr").over(frame) == n, F.bround(vol, 4)))
+        out = out.withColumn(f"HV_{n}", F.when(F.count("_lr").over(frame) == n, pandas_round(vol, 4)))
     return out.drop("_lr")
 
 

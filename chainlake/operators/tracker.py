@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlake.functions.classify import candle_direction, market_hours, pm_only
-from chainlake.functions.util import count_if
+from chainlake.functions.util import count_if, pandas_round
 
 KEY = "contractSymbol"
 # Order of snapshots within a contract; the source file breaks ties on time.
@@ -217,14 +217,14 @@ def contract_summary(opts: DataFrame, min_snapshots: int = 3, iv_floor: float =
 
 
 def contract_detail(opts: DataFrame, iv_floor: float = 0.01) -> DataFrame:
-    """Every valid snapshot of every contract, rounded for reading (half-even
-    like pandas), IV in percent."""
+    """Every valid snapshot of every contract, rounded for reading the way
+    pandas rounds, IV in percent."""
     rows = opts.filter((F.col("lastPrice") > 0) & (F.col("impliedVolatility") > iv_floor))
     return rows.select(
-        KEY, "snapshot_time", F.bround("lastPrice", 2).alias("last_price"),
-        F.bround(F.col("impliedVolatility") * 100, 2).alias("iv_pct"),
-        F.bround("delta", 4).alias("delta"), F.bround("gamma", 4).alias("gamma"),
-        F.bround("theta", 4).alias("theta"), "volume", "openInterest", "bid", "ask")
+        KEY, "snapshot_time", pandas_round("lastPrice", 2).alias("last_price"),
+        pandas_round(F.col("impliedVolatility") * 100, 2).alias("iv_pct"),
+        pandas_round("delta", 4).alias("delta"), pandas_round("gamma", 4).alias("gamma"),
+        pandas_round("theta", 4).alias("theta"), "volume", "openInterest", "bid", "ask")
 
 
 def contract_detail_footer(opts: DataFrame, iv_floor: float = 0.01) -> DataFrame:

@@ -21,7 +21,7 @@ SKEW_MIN_VOLUME = 50
 
 def _ratio_sql(num: str, den: str) -> str:
     return (f"coalesce(round_even(CAST(coalesce({num}, 0) AS DOUBLE) / "
-            f"nullif(CAST(coalesce({den}, 0) AS DOUBLE), 0), 2), 0.0)")
+            f"nullif(CAST(coalesce({den}, 0) AS DOUBLE), 0) * 100.0, 0) / 100.0, 0.0)")
 
 
 DTE_SQL = f"datediff('day', {AS_OF_DATE_SQL}, expiry)"

@@ -16,8 +16,9 @@ MARKET_TZ = "America/New_York"
 
 
 @register("clean_price", sql("""
-SELECT "Date", ticker, snapshot_str, round_even("Open", 2) AS "Open", round_even("High", 2) AS "High",
-       round_even("Low", 2) AS "Low", round_even("Close", 2) AS "Close"
+SELECT "Date", ticker, snapshot_str, round_even("Open" * 100.0, 0) / 100.0 AS "Open",
+       round_even("High" * 100.0, 0) / 100.0 AS "High", round_even("Low" * 100.0, 0) / 100.0 AS "Low",
+       round_even("Close" * 100.0, 0) / 100.0 AS "Close"
 FROM bronze_price_raw"""))
 def q_clean_price(spark, sf_dir):
     c = prices.clean_price(Tables(spark, sf_dir).bronze_price())

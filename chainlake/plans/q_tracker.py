@@ -141,9 +141,10 @@ def q_contract_summary(spark, sf_dir):
 
 
 @register("contract_detail", sql("""
-SELECT contractSymbol, snapshot_time, round_even(lastPrice, 2) AS last_price,
-       round_even(impliedVolatility * 100, 2) AS iv_pct, round_even(delta, 4) AS delta,
-       round_even(gamma, 4) AS gamma, round_even(theta, 4) AS theta, volume, openInterest, bid, ask
+SELECT contractSymbol, snapshot_time, round_even(lastPrice * 100.0, 0) / 100.0 AS last_price,
+       round_even(impliedVolatility * 100 * 100.0, 0) / 100.0 AS iv_pct,
+       round_even(delta * 10000.0, 0) / 10000.0 AS delta, round_even(gamma * 10000.0, 0) / 10000.0 AS gamma,
+       round_even(theta * 10000.0, 0) / 10000.0 AS theta, volume, openInterest, bid, ask
 FROM bronze_options_raw WHERE lastPrice > 0 AND impliedVolatility > 0.01"""))
 def q_contract_detail(spark, sf_dir):
     return tracker.contract_detail(_t(spark, sf_dir).bronze_options())

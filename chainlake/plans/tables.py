@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,23 +53,31 @@ def _signature(sf_dir: str, names) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
 
 
 def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_by,
                  sort_by=()) -> DataFrame:
     """Write ``build()`` once to the shared folder (keyed by the source
-    files' identity) and read it back; concurrent callers wait for the first
-    writer.  The ``_SUCCESS`` marker means a complete write."""
+    files' identity and the code version) and read it back.  The table is
+    written to a private folder and renamed into place, so concurrent
+    writers (threads or processes) never see a half-written table: the first
+    rename wins and the others drop their copy."""
     if os.environ.get("CHAINLAKE_MATERIALIZE_BRONZE", "1") == "0":
         return build()
     ensure_checkpoint_dir(spark)
     path = checkpoint_path(spark, f"bronze-{kind}-{_signature(sf_dir, _SOURCES[kind])}")
     with _LOCK:
         if not _exists(spark, f"{path}/_SUCCESS"):
+            tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
             df = build()
             if partition_by:
                 # cluster by the partition columns (few files per folder);
@@ -82,7 +91,13 @@ def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_b
             w = df.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
             if partition_by:
                 w = w.partitionBy(*partition_by)
-            w.parquet(path)
+            w.parquet(tmp)
+            src, fs = _fs(spark, tmp)
+            dst, _ = _fs(spark, path)
+            if not fs.rename(src, dst):
+                fs.delete(src, True)        # another writer published first
+                if not _exists(spark, f"{path}/_SUCCESS"):
+                    raise IOError(f"could not publish {tmp} -> {path}")
     out = spark.read.parquet(path)
     return out
 

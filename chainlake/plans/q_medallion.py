@@ -203,3 +203,13 @@ def q_watchlist_explode(spark, sf_dir):
             .select(F.to_json(F.create_map("ticker", F.array("contractSymbol"))).alias("value")))
     pinned = ingest.watchlist_explode(docs)
     return t.gold_latest().join(pinned, ["ticker", "contractSymbol"], "left_semi")
+
+
+@register("bronze_sample_price", sql("""
+SELECT ticker, "Date", snapshot_time, snapshot_str, "Close", _source_file
+FROM bronze_price_raw
+ORDER BY snapshot_time DESC, _source_file DESC LIMIT 5"""))
+def q_bronze_sample_price(spark, sf_dir):
+    b = Tables(spark, sf_dir).bronze_price()
+    return ingest.bronze_sample(b, 5).select("ticker", "Date", "snapshot_time", "snapshot_str", "Close",
+                                             "_source_file")

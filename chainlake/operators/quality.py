@@ -74,7 +74,8 @@ def dq_silver_price(silver: DataFrame, bronze: DataFrame) -> DataFrame:
                     _checks(silver, specs), bronze_nulls, keys_gap])
 
 
-def dq_silver_options(silver: DataFrame, bronze: DataFrame) -> DataFrame:
+def dq_silver_options(silver: DataFrame, bronze: DataFrame | None) -> DataFrame:
+    """Silver option checks; ``bronze=None`` skips the Bronze-based warning."""
     c = F.col
     specs = [
         ("null_critical_fields", count_if(
@@ -86,10 +87,11 @@ def dq_silver_options(silver: DataFrame, bronze: DataFrame) -> DataFrame:
             | (c("volume") < 0) | (c("openInterest") < 0) | (c("impliedVolatility") < 0)
             | (c("gamma") < 0) | (c("vega") < 0)), ABORT),
     ]
-    crossed = _checks(bronze, [("ask_below_bid", count_if(
-        c("bid").isNotNull() & c("ask").isNotNull() & (c("ask") < c("bid"))), WARN)])
-    return _finish([_duplicates(silver, ["contractSymbol"], "duplicate_contracts"),
-                    _checks(silver, specs), crossed])
+    parts = [_duplicates(silver, ["contractSymbol"], "duplicate_contracts"), _checks(silver, specs)]
+    if bronze is not None:
+        parts.append(_checks(bronze, [("ask_below_bid", count_if(
+            c("bid").isNotNull() & c("ask").isNotNull() & (c("ask") < c("bid"))), WARN)]))
+    return _finish(parts)
 
 
 def dq_latest_snapshot(gold: DataFrame, silver: DataFrame) -> DataFrame:

@@ -112,6 +112,22 @@ def stream_silver_merge(spark: SparkSession, landing_dir: str, kind: str, silver
     q.awaitTermination()
 
 
+def silver_from_bronze(spark: SparkSession, bronze_dir: str, kind: str, silver_dir: str,
+                       checkpoint: str) -> None:
+    """Merge the Bronze files added since the last run into Silver.  The
+    Bronze folder is the output of a streaming file sink, so the file source
+    reads its committed-file log: every file exactly once, never a partial
+    one."""
+    from pyspark.sql import types as T
+
+    base = schemas.BRONZE_OPTIONS if kind == "options" else schemas.BRONZE_PRICE
+    schema = T.StructType(list(base.fields) + [T.StructField("snapshot_date", T.DateType())])
+    rows = spark.readStream.schema(schema).parquet(bronze_dir).drop("snapshot_date")
+    q = (rows.writeStream.foreachBatch(lambda df, _id: merge_into_silver(df, silver_dir, kind))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def read_silver(spark: SparkSession, silver_dir: str, kind: str) -> DataFrame:
     df = spark.read.parquet(silver_dir)
     return df.drop("_year") if kind == "price" else df

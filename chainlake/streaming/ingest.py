@@ -38,6 +38,10 @@ SILVER_LAYOUT = {
 }
 
 
+# Upper bound on touched partition values fetched for static pruning.
+MAX_PRUNE_KEYS = 10_000
+
+
 def write_landing(df: DataFrame, landing_dir: str, files: int = 8) -> None:
     """Append snapshot rows to a landing folder as headed CSV files (what the
     collector produces; used by tests and the registered ingest queries)."""
@@ -91,9 +95,16 @@ def merge_into_silver(batch: DataFrame, silver_dir: str, kind: str) -> None:
     touched = b.select(*parts).distinct()
     cand = b
     if _path_exists(spark, silver_dir):
-        # semi-join on partition columns: dynamic partition pruning reads
-        # only the touched partitions of the existing table
-        old = spark.read.parquet(silver_dir).join(per_key_broadcast(touched), parts, "left_semi")
+        existing = spark.read.parquet(silver_dir)
+        # The partitions a micro-batch touches are few (live expiries, or
+        # years): fetch that bounded list and filter on it, which the scan
+        # turns into partition pruning.  Past the bound, fall back to a
+        # broadcast semi-join (correct, but reads every partition).
+        keys = touched.limit(MAX_PRUNE_KEYS + 1).collect()
+        if len(parts) == 1 and len(keys) <= MAX_PRUNE_KEYS:
+            old = existing.filter(F.col(parts[0]).isin([r[0] for r in keys]))
+        else:
+            old = existing.join(per_key_broadcast(touched), parts, "left_semi")
         cand = cand.unionByName(old, allowMissingColumns=True)
     merged = with_parts(newest(cand.drop("_year") if kind == "price" else cand))
     merged = merged.checkpoint(eager=True)

@@ -39,10 +39,13 @@ def contract_history(opts: DataFrame, metric: str = "lastPrice", hours=(9, 18))
     rows = opts.filter(market_hours("snapshot_time", *hours))
     if metric == "lastPrice":
         return rows.select(HISTORY_COLS)
-    w = Window.partitionBy(KEY, F.to_date("snapshot_time"))
-    newest = rows.withColumn("_mx", F.max("snapshot_time").over(w)) \
-        .filter(F.col("snapshot_time") == F.col("_mx"))
-    return newest.filter(F.col(metric).isNotNull()).select(HISTORY_COLS)
+    # newest time per (contract, day) by a partial aggregate, then a semi-join
+    # back on (contract, day, time): a hot contract-day is combined map-side
+    # and split by AQE's skew join instead of sorted in one window task
+    rows = rows.withColumn("_d", F.to_date("snapshot_time"))
+    newest = rows.groupBy(KEY, "_d").agg(F.max("snapshot_time").alias("snapshot_time"))
+    kept = rows.join(newest, [KEY, "_d", "snapshot_time"], "left_semi")
+    return kept.filter(F.col(metric).isNotNull()).select(HISTORY_COLS)
 
 
 def last_days(df: DataFrame, days: int | None, ts: str = "snapshot_time",
@@ -52,12 +55,21 @@ def last_days(df: DataFrame, days: int | None, ts: str = "snapshot_time",
     everything."""
     if days is None:
         return df
-    w = Window.partitionBy(by) if by else Window.partitionBy()
     mx = F.col("_series_max")
     is_date = dict(df.dtypes).get(ts) == "date"
     cutoff = F.date_sub(mx, days) if is_date else mx - F.make_dt_interval(F.lit(days))
-    return (df.withColumn("_series_max", F.max(ts).over(w))
-            .filter(F.col(ts) >= cutoff).drop("_series_max"))
+    if by is None:
+        # one series: its newest time is a single scalar
+        top = df.agg(F.max(ts)).first()[0]
+        if top is None:
+            return df
+        lit_top = F.lit(top)
+        return df.filter(F.col(ts) >= (F.date_sub(lit_top, days) if is_date
+                                       else lit_top - F.make_dt_interval(F.lit(days))))
+    # newest time per series by a partial aggregate joined back on the key
+    # (no window holding a whole series in one task)
+    newest = df.groupBy(by).agg(F.max(ts).alias("_series_max"))
+    return df.join(newest, by).filter(F.col(ts) >= cutoff).drop("_series_max")
 
 
 def ohlc(opts: DataFrame, iv_floor: float = 0.01, noon: int = 12, use_all: bool = False) -> DataFrame:
@@ -117,8 +129,8 @@ def apply_overrides(bars: DataFrame, overrides: DataFrame, scope: str = "last")
     equi-join, never a broadcast of an unbounded log."""
     b = bars
     if scope == "last":
-        w = Window.partitionBy(KEY)
-        b = b.withColumn("_mx", F.max("date").over(w)).filter(F.col("date") == F.col("_mx")).drop("_mx")
+        newest = b.groupBy(KEY).agg(F.max("date").alias("date"))
+        b = b.join(newest, [KEY, "date"], "left_semi")
     ov = overrides.select(F.col("symbol").alias(KEY), "date", F.col("high").alias("_ovh"),
                           F.col("low").alias("_ovl"))
     j = b.join(ov, [KEY, "date"], "left")
@@ -180,6 +192,8 @@ def oi_change(opts: DataFrame, days: int | None = None) -> DataFrame:
     afternoon snapshot of the contract (after the timeframe cut), and its
     direction (first row counts as ``up``)."""
     pm = last_days(opts.filter(pm_only("snapshot_time")), days)
+    # ``lag`` needs each contract's afternoon snapshots in order: at most one
+    # or two per trading day of the contract's life, so the window is bounded
     w = Window.partitionBy(KEY).orderBy(*[c for c in TIME_ORDER if c in pm.columns])
     prev = F.lag("openInterest").over(w)
     out = pm.select(KEY, "snapshot_time", "volume", "openInterest", prev.alias("oi_prev"))

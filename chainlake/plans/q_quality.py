@@ -1,4 +1,4 @@
-"""Registered queries: data-quality checks, pipeline health, IV report."""
+"""Registered queries: data-quality checks, table health, IV report."""
 
 from __future__ import annotations
 

@@ -121,3 +121,21 @@ def q_select_existing(spark, sf_dir):
     lack theta and vega, which are dropped silently."""
     land = fixtures.options_landing(spark, sf_dir)
     return select_existing(land, OPTION_COLS)
+
+
+PRICE_SILVER_COLS = ["Date", "ticker", "Open", "High", "Low", "Close", "Volume", "HV_20", "HV_252",
+                     "snapshot_time", "snapshot_str"]
+
+
+@register("stream_silver_merge_price", sql(f"""
+SELECT {", ".join(f'"{c}"' for c in PRICE_SILVER_COLS)} FROM silver_price_daily"""))
+def q_stream_silver_merge_price(spark, sf_dir):
+    """Price snapshots merged into Silver (newest run per ticker and day) in
+    two micro-batch runs, the later run first; equals the batch rebuild."""
+    base = _workdir(spark, "silver-merge-price")
+    landing, silver_dir, ckpt = f"{base}/landing", f"{base}/silver", f"{base}/_ckpt"
+    rows = fixtures.price_csv_rows(spark, sf_dir)
+    for part in reversed(_runs(rows)):
+        stream.write_landing(part, landing, files=2)
+        stream.stream_silver_merge(spark, landing, "price", silver_dir, ckpt)
+    return stream.read_silver(spark, silver_dir, "price").select(*PRICE_SILVER_COLS)

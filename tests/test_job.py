@@ -50,3 +50,25 @@ def test_incremental_job_matches_full_rebuild(spark, tmp_path):
     inc = spark.read.parquet(f"{wh}/silver_options_latest").select("contractSymbol", "snapshot_time")
     full = S.silver_options(stream.read_bronze(spark, f"{wh}/bronze_options")).select("contractSymbol", "snapshot_time")
     assert sorted(map(tuple, inc.collect())) == sorted(map(tuple, full.collect()))
+
+
+def test_strict_build_raises_on_failed_checks(spark):
+    import pytest
+
+    from chainlake.plans.tables import Tables
+
+    t = Tables(spark, SF)
+    # the fixture's half-day bars fail the price-logic check at this scale
+    with pytest.raises(ValueError, match="invalid_price_logic"):
+        medallion.build(spark, t.bronze_options(), t.bronze_price(), strict=True)
+
+
+def test_shuffle_partition_sizing(spark):
+    from chainlake.session import size_shuffle_partitions
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffle_partitions(spark, 100 * 1024 ** 4) == 409_600   # 100 TB / 256 MB
+        assert size_shuffle_partitions(spark, 10 * 1024 ** 2) == 200         # floor
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from chainlake.llm import line_dedup, mixing, tool_calls, url_filter
+from chainlake.llm import (decontaminate, jaccard_join, line_dedup, lm_score, mixing, quality_rules, tool_calls, toxicity,
+                           url_filter, warc)
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+    "op2_warc": warc.op2_warc,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_lm_score": lm_score.op7_lm_score,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_tool_calls": tool_calls.op9_tool_calls,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
+#: The others have no SQL form: drawn slots, trained models, canonical JSON.
 ORACLES = {
+    "op1_jaccard_join": jaccard_join.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
+    "op3_decontamination": decontaminate.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
 }

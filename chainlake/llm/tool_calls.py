@@ -3,10 +3,10 @@ arguments and serialise canonical JSON.
 
 * Calls and results meet in an equi-join on (conversation, identifier).
 * The topological level of a call is 0 without dependencies, else one more
-  than the highest level among them.  Each round resolves the calls whose
-  dependencies are all resolved and keeps only the rest, so the rounds are as
-  many as the longest chain.  Sorting a conversation by (level, call_id) is a
-  topological order; no task needs a whole conversation.
+  than the highest level among them.  Chains of calls with one dependency are
+  shortened by pointer jumping (log2 of their length in rounds); calls with
+  several are then resolved round by round.  Sorting a conversation by (level,
+  call_id) is a topological order; no task needs a whole conversation.
 * Arguments are parsed to VARIANT, which sorts object keys; its JSON text is
   the canonical form (sorted keys, no blanks, normalised numbers).
 
@@ -60,53 +60,84 @@ def validate(name: Column, arguments: Column, schemas=SCHEMAS) -> Column:
     return checks.when(~F.coalesce(known, F.lit(False)), F.lit("unknown_tool")).otherwise(F.lit("ok"))
 
 
+def _key(conv: Column, call: Column) -> Column:
+    return F.concat(F.coalesce(conv.cast("string"), F.lit("\u0000")), F.lit("\u001f"), call)
+
+
+def _jumped(singles: DataFrame) -> DataFrame:
+    """Pointer jumping over calls with one dependency: (k, p, dist, done).  In
+    each round a call takes over its parent's pointer, so a chain of n calls
+    needs about log2(n) rounds.  ``done``: p is no call of one dependency."""
+    keys = singles.select(F.col("k").alias("pk"))
+    state = staged(singles.join(keys, F.col("p") == F.col("pk"), "left")
+                   .select("k", "p", F.lit(1).cast("long").alias("dist"), F.col("pk").isNull().alias("done")), "tool-jump")
+    left = state.where("NOT done").count()
+    while left:
+        ahead = state.select(F.col("k").alias("bk"), F.col("p").alias("bp"), F.col("dist").alias("bd"), F.col("done").alias("bdone"))
+        moved = (state.where("NOT done").join(ahead, F.col("p") == F.col("bk"))
+                 .select("k", F.col("bp").alias("p"), (F.col("dist") + F.col("bd")).alias("dist"), F.col("bdone").alias("done")))
+        state = staged(state.where("done").unionByName(moved), "tool-jump")
+        now = state.where("NOT done").count()
+        if now == left:  # what is left runs in circles
+            break
+        left = now
+    return state
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, state) for each identified call; ``calls``
-    has conv_id, call_id and depends_on (array of call ids)."""
-    nodes = (calls.where(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id")
-             .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(
-                 F.coalesce("depends_on", F.array().cast("array<string>")))))).alias("deps")))
+    """(k, level, state) of each identified call; ``calls`` has conv_id,
+    call_id and depends_on (array of call ids)."""
+    none = F.array().cast("array<string>")
+    nodes = (calls.where(F.col("call_id").isNotNull())
+             .select(_key(F.col("conv_id"), F.col("call_id")).alias("k"),
+                     F.explode_outer(F.transform(F.filter(F.coalesce("depends_on", none), lambda d: d.isNotNull()),
+                                                 lambda d: _key(F.col("conv_id"), d))).alias("p"))
+             .groupBy("k").agg(F.collect_set("p").alias("deps")))
     nodes = staged(nodes, "tool-nodes")
-    edges = nodes.select("conv_id", "call_id", F.explode("deps").alias("dep")).where("dep IS NOT NULL")
-    done = nodes.where(~F.exists("deps", lambda d: d.isNotNull())).select(
-        "conv_id", "call_id", F.lit(0).alias("level"), F.lit("ok").alias("state"))
-    parts, new, best = [done], done, None
-    rest = staged(edges.withColumn("dep_level", F.lit(None).cast("int")), "tool-edges")
-    while True:  # one round per link of the longest chain
-        known = new.select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), F.col("level").alias("l"))
-        rest = (rest.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("dep") == F.col("d")), "left")
-                .select("conv_id", "call_id", "dep", F.coalesce("dep_level", "l").alias("dep_level")))
-        ready = (rest.groupBy("conv_id", "call_id")
-                 .agg(F.max("dep_level").alias("m"), F.sum(F.col("dep_level").isNull().cast("int")).alias("open")))
-        state = staged(ready, "tool-round")
-        new = state.where("open = 0").select("conv_id", "call_id", (F.col("m") + 1).alias("level"), F.lit("ok").alias("state"))
+    roots = nodes.where(F.size("deps") == 0).select("k", F.lit(0).cast("long").alias("level"), F.lit("ok").alias("state"))
+    jump = _jumped(nodes.where(F.size("deps") == 1).select("k", F.col("deps")[0].alias("p")))
+    many = nodes.where(F.size("deps") > 1).select("k", F.explode("deps").alias("p"))
+    j = jump.select(F.col("k").alias("jk"), F.col("p").alias("jp"), "dist", "done")
+    open_ = staged(many.join(j, F.col("p") == F.col("jk"), "left").where(F.coalesce("done", F.lit(True)))
+                   .select("k", F.coalesce("jp", "p").alias("a"), F.coalesce("dist", F.lit(0)).alias("dist"),
+                           F.lit(None).cast("long").alias("above"))
+                   .unionByName(many.join(j.where("NOT done"), F.col("p") == F.col("jk"))
+                                .select("k", F.col("p").alias("a"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("above"))),
+                   "tool-open")
+    known, new = [roots], roots
+    while not open_.isEmpty():  # one round per link between calls of several dependencies
+        up = new.select(F.col("k").alias("nk"), F.col("level").alias("nl"))
+        open_ = open_.join(up, F.col("a") == F.col("nk"), "left").select(
+            "k", "a", "dist", F.coalesce("above", F.col("nl") + F.col("dist")).alias("above"))
+        state = staged(open_.groupBy("k").agg(F.max("above").alias("m"), F.count_if(F.col("above").isNull()).alias("n")), "tool-round")
+        new = state.where("n = 0").select("k", (F.col("m") + 1).alias("level"), F.lit("ok").alias("state"))
         if new.isEmpty():
-            best = state
             break
-        parts.append(new)
-        open_ = state.where("open > 0").select(F.col("conv_id").alias("oc"), F.col("call_id").alias("od"))
-        rest = staged(rest.join(open_, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("call_id") == F.col("od")),
-                                "left_semi"), "tool-edges")
-    # what is left waits for an unknown call or for itself
-    ids = nodes.select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), F.lit(1).alias("there"))
-    lost = (edges.join(ids, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("dep") == F.col("d")), "left_anti")
-            .select(F.col("conv_id").alias("lc"), F.col("call_id").alias("ld")).distinct().withColumn("lost", F.lit(1)))
-    stuck = best.join(lost, F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("call_id") == F.col("ld")), "left")
-    parts.append(stuck.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"),
-                              F.when(F.col("lost") == 1, F.lit("missing_dependency"))
-                              .otherwise(F.lit("blocked")).alias("state")))
-    return reduce(DataFrame.unionByName, parts)
+        known.append(new)
+        open_ = staged(open_.join(state.where("n > 0").select("k"), "k", "left_semi"), "tool-open")
+    sure = reduce(DataFrame.unionByName, known)
+    anchor = sure.select(F.col("k").alias("ak"), F.col("level").alias("al"))
+    ids = nodes.select(F.col("k").alias("ik"))
+    lost = (nodes.select("k", F.explode("deps").alias("p")).join(ids, F.col("p") == F.col("ik"), "left_anti")
+            .select(F.col("k").alias("lk")).distinct())
+    rest = jump.where("done").join(anchor, F.col("p") == F.col("ak"), "left").select("k", (F.col("al") + F.col("dist")).alias("level")) \
+        .unionByName(jump.where("NOT done").select("k", F.lit(None).cast("long").alias("level"))) \
+        .unionByName(open_.select("k").distinct().withColumn("level", F.lit(None).cast("long")))
+    rest = rest.join(lost, F.col("k") == F.col("lk"), "left").select(
+        "k", "level", F.when(F.col("level").isNotNull(), "ok").when(F.col("lk").isNotNull(), "missing_dependency")
+        .otherwise("blocked").alias("state"))
+    return sure.unionByName(rest)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
     """One row per call and per orphan result: conv_id, call_id, name, level,
     status, n_results, canonical."""
     calls = calls.select("conv_id", "call_id", "name", "arguments", "depends_on")
-    lv = levels(calls).select(F.col("conv_id").alias("lc"), F.col("call_id").alias("lid"), "level", "state")
+    lv = levels(calls).withColumnRenamed("k", "lk")
     res = (results.where("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("rc"), F.col("call_id").alias("rid"))
            .agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n")))
     out = (calls.join(res, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rid")), "left")
-           .join(lv, F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("call_id") == F.col("lid")), "left"))
+           .join(lv, _key(F.col("conv_id"), F.col("call_id")) == F.col("lk"), "left"))
     valid = validate(F.col("name"), F.col("arguments"), schemas)
     status = F.when(F.coalesce("state", F.lit("ok")) != "ok", F.col("state")).when(valid != "ok", valid) \
         .when(F.col("rid").isNull(), F.lit("no_result")).otherwise(F.lit("ok"))
@@ -120,7 +151,7 @@ def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
     ids = calls.select(F.col("conv_id").alias("cc"), F.col("call_id").alias("cid"))
     orphans = results.join(ids, F.col("conv_id").eqNullSafe(F.col("cc")) & (F.col("call_id") == F.col("cid")), "left_anti")
     return linked.unionByName(orphans.select(
-        "conv_id", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"),
+        "conv_id", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("level"),
         F.lit("orphan_result").alias("status"), F.lit(1).cast("long").alias("n_results"),
         F.concat(F.lit('{"id":'), _json_text(F.col("call_id")), F.lit(',"result":'), _json_text(F.col("content")), F.lit("}"))
         .alias("canonical")))

@@ -66,7 +66,7 @@ def _header_value(c: Column) -> Column:
 
 def write(pages: DataFrame, path: str, id_col="page_id", url_col="url", payload_col="html", min_bytes: int = 0) -> None:
     """Write one record per row; the archives are the files below ``path``."""
-    rev = plan_records(pages, id_col, payload_col, min_bytes)
+    rev = staged(plan_records(pages, id_col, payload_col, min_bytes), "warc-revisits")  # written, so that its size is known
     body = F.coalesce(F.col(payload_col), F.lit(""))
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(body).alias("digest"))
     p = p.join(rev, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")

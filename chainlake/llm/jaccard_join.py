@@ -1,10 +1,10 @@
 """N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
-1. Documents of one normalised text (A-Z lower-cased, blanks collapsed) are one
-   unit; the units are written with a running number, their count and their
-   smallest id.  Exact copies never meet each other again.
-2. Each unit gets ``trees`` labels: sequences of ``depth`` MinHash values, the
-   paths of the forest's prefix tries.  Matching starts with whole labels and
+1. Each text gets ``trees`` labels in one scan: sequences of ``depth`` MinHash
+   values, the paths of the forest's prefix tries.  Documents of one text are
+   one unit; the units are written with a running number, their count and
+   their smallest id.  Exact copies never meet each other again.
+2. Matching starts with whole labels and
    shortens the prefix until a pair at the threshold is found by some tree
    with at least the target recall.  Units below one trie node are tied to the
    node's smallest unit by a combined aggregation, so a hot node costs a row
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.common import LOWER, UPPER, ship_by_value, staged, table
+from chainlake.llm.common import WORD, ship_by_value, staged, table
 
 ship_by_value(__name__)
 
@@ -45,15 +45,9 @@ TREES, DEPTH, RECALL, BLOCK = 32, 10, 0.995, 96
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normalised(text: Column) -> Column:
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_replace(F.regexp_replace(t, r"[\x20\x09-\x0D]+", " "), "^ | $", "")
-
-
 def unit_key(text: Column) -> Column:
-    """128-bit hash of the normalised text; null without words."""
-    n = normalised(text)
-    return F.when(n != "", F.unhex(F.md5(n)))
+    """128-bit hash of the text; null without words."""
+    return F.when(text.rlike(WORD), F.unhex(F.md5(text)))
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -93,27 +87,22 @@ def stop_depth(threshold: float, recall: float, trees: int = TREES, depth: int =
     return d
 
 
-def units_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, u, text, n, first_id), written; one row per different text."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units = (d.withColumn("u", unit_key(F.col("text"))).where("u IS NOT NULL").groupBy("u")
-             .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")))
-    return staged(units.select(F.monotonically_increasing_id().alias("uid"), "*"), "jaccard-units")
+def units_of(docs: DataFrame, prefix: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(uid, u, nodes, n, first_id), written; one row per different text.
+    ``nodes``: the trie node at the stop depth of each tree."""
+    d = docs.select(F.col(id_col).cast("long").alias("id"), unit_key(F.col(text_col)).alias("u"), F.col(text_col).alias("text"))
 
-
-def trie_rows(units: DataFrame, prefix: int, width: int) -> DataFrame:
-    """(uid, node): the trie node at the stop depth of each tree."""
     def run(batches):
         for b in batches:
-            uid, nodes = [], []
-            for i, t in zip(b.column("uid").to_pylist(), b.column("text").to_pylist()):
+            nodes = []
+            for t in b.column("text").to_pylist():
                 sig = signature(shingles(t, width))
-                uid.append(np.full(TREES, i, dtype=np.int64))
                 nodes.append([xxhash.xxh3_64_intdigest(sig[k, :prefix].tobytes(), seed=k) - (1 << 63) for k in range(TREES)])
-            if uid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uid)), pa.array(np.array(nodes, dtype=np.int64).ravel())],
-                                                 names=["uid", "node"])
-    return units.select("uid", "text").mapInArrow(run, "uid long, node long")
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("u"), pa.array(nodes, pa.list_(pa.int64()))],
+                                             names=["id", "u", "nodes"])
+    units = (d.where("u IS NOT NULL").mapInArrow(run, "id long, u binary, nodes array<long>").groupBy("u")
+             .agg(F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")))
+    return staged(units.select(F.monotonically_increasing_id().alias("uid"), "*"), "jaccard-units")
 
 
 def ties(rows: DataFrame) -> DataFrame:
@@ -134,11 +123,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         last = sums
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m"))
+                     .select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "jaccard-low")
         large = (now.join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b")
                  .unionByName(low.where("m < u").select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct())
         large = staged(large, "jaccard-large")
-        least = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m")
+        least = staged(large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m"), "jaccard-least")
         small = (large.join(least, F.col("b") == F.col("u")).where("a > m").select(F.col("m").alias("x"), F.col("a").alias("y"))
                  .unionByName(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).distinct())
         now = staged(small.select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-edges")
@@ -184,16 +174,20 @@ def spanning(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def verify(units: DataFrame, comp: DataFrame, threshold: float, width: int, block: int) -> DataFrame:
+def verify(docs: DataFrame, units: DataFrame, comp: DataFrame, threshold: float, width: int, block: int,
+           id_col: str, text_col: str) -> DataFrame:
     """(uid, other, links): links counted by a task for uid (other null), or
     a verified tie (links 0)."""
     sizes = comp.groupBy("c").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("c", "sc")
     m = (comp.join(sizes, F.col("c") == F.col("sc")).withColumn("nb", F.ceil(F.col("size") / block))
-         .withColumn("mine", F.pmod(F.xxhash64("v"), F.col("nb"))))
-    spread = m.select("v", "c", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
-    spread = spread.select("v", "mine", "c", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    rows = (spread.join(units.select("uid", "text", "n"), F.col("v") == F.col("uid"))
-            .select("uid", "text", "n", "mine", "c", "x", "y"))
+         .withColumn("mine", F.pmod(F.xxhash64("v"), F.col("nb"))).select("v", "c", "nb", "mine")
+         .join(units.select("uid", "u", "n", "first_id"), F.col("v") == F.col("uid")).drop("v"))
+    # the text of the row with the smallest id; repeated rows count once
+    d = docs.select(F.col(id_col).cast("long").alias("id"), unit_key(F.col(text_col)).alias("du"), F.col(text_col).alias("text"))
+    m = (d.where("du IS NOT NULL").join(m.hint("merge"), (F.col("du") == F.col("u")) & F.col("id").eqNullSafe(F.col("first_id")))
+         .groupBy("uid", "n", "c", "nb", "mine").agg(F.first("text").alias("text")))
+    spread = m.select("uid", "text", "n", "c", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
+    rows = spread.select("uid", "text", "n", "mine", "c", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t, width) for t in pdf["text"]]
@@ -214,10 +208,10 @@ def verify(units: DataFrame, comp: DataFrame, threshold: float, width: int, bloc
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD, width: int = WIDTH,
             recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(u, n, class_id, links): one row per different text with words."""
-    units = units_of(docs, id_col, text_col)
-    rows = staged(trie_rows(units, stop_depth(threshold, recall), width), "jaccard-trie")
+    units = units_of(docs, stop_depth(threshold, recall), width, id_col, text_col)
+    rows = units.select("uid", F.explode("nodes").alias("node"))
     comp = staged(components(ties(rows)), "jaccard-candidates")
-    found = staged(verify(units, comp, threshold, width, block), "jaccard-links")
+    found = staged(verify(docs, units, comp, threshold, width, block, id_col, text_col), "jaccard-links")
     counted = found.where("other IS NULL").groupBy(F.col("uid").alias("lu")).agg(F.sum("links").alias("links"))
     linked = found.where("other IS NOT NULL").select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"))
     cls = components(linked).withColumnRenamed("v", "cu")

@@ -52,26 +52,27 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
-def symbols(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with ``depth`` end symbols before each text and one after it,
-    positions to predict, first of them per text)."""
-    pad, end = bytes([END]) * depth, bytes([END])
+def symbols(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with DEPTH end symbols before each text and one after it, whether
+    a byte is predicted, first byte per text)."""
+    pad, end = bytes([END]) * DEPTH, bytes([END])
     texts = [pad + b" ".join(ws) + end for ws in docs]
     n = np.array([len(t) for t in texts], dtype=np.int64)
     seq = np.frombuffer(b"".join(texts), dtype=np.uint8)
     start = np.cumsum(n) - n
     predict = np.ones(len(seq), dtype=bool)
-    for k in range(depth):
+    for k in range(DEPTH):
         predict[start + k] = False
-    return seq, np.flatnonzero(predict), start - np.arange(len(n)) * depth
+    return seq, predict, start
 
 
-def contexts(seq: np.ndarray, at: np.ndarray, depth: int, kind=np.uint64) -> np.ndarray:
-    """Codes of the ``depth`` bytes before each position, nearest one last."""
-    code = np.zeros(len(at), dtype=kind)
-    for k in range(depth, 0, -1):
-        code = (code << kind(8)) | seq[at - k].astype(kind)
-    return code
+def codes(seq: np.ndarray, first: int, last: int, kind) -> np.ndarray:
+    """For each byte from number DEPTH on, the code of the bytes from ``first``
+    before it to ``last`` before it (0: itself), the last one lowest."""
+    out = np.zeros(len(seq) - DEPTH, dtype=kind)
+    for k in range(first, last - 1, -1):
+        out = (out << kind(8)) | seq[DEPTH - k:len(seq) - k].astype(kind)
+    return out
 
 
 def chunks(batches, size: int = CHUNK_BYTES):
@@ -108,8 +109,8 @@ def count_rows(batches):
     for chunk in chunks(batches):
         for _, ws in chunk:
             words.update(ws)
-        seq, at, _ = symbols([ws for _, ws in chunk])
-        key, n = np.unique((contexts(seq, at, DEPTH) << np.uint64(8)) | seq[at], return_counts=True)
+        seq, predict, _ = symbols([ws for _, ws in chunk])
+        key, n = np.unique(codes(seq, DEPTH, 0, np.uint64)[predict[DEPTH:]], return_counts=True)
         keys.append(key.astype(np.int64))
         ns.append(n)
         held += len(key)
@@ -191,12 +192,13 @@ def learn(docs: DataFrame, p_min: float = 1e-5, f_min: float = 2.5e-7) -> tuple[
 
 
 class Scorer:
-    """Longest suffix states: a table for three bytes; further bytes are looked
-    up only where a deeper state exists."""
+    """Walks from each byte back along the tree: one table for the last three
+    bytes, then child tables where deeper states exist."""
 
     def __init__(self, model: dict):
         self.model, self.logp, self.column = model, model["logp"], model["column"]
-        states = model["states"]
+        states, n = model["states"], len(model["logp"])
+        way = {d: sorted({c & ((1 << 8 * d) - 1) for k in range(max(d, 4), DEPTH + 1) for c in states[k]}) for d in range(3, DEPTH + 1)}
         t = np.zeros((256, 256, 256), dtype=np.int32)
         for c, s in states[1].items():
             t[:, :, c] = s
@@ -205,31 +207,36 @@ class Scorer:
         self.table = t.reshape(-1)
         for c, s in states[3].items():
             self.table[c] = s
-        self.more = np.zeros(1 << 24, dtype=bool)
-        self.levels = []  # per depth from 4: codes on the way to a state, their states or -1
+        inner = np.array(way[3], dtype=np.int64)
+        self.n, self.state3 = n, np.concatenate([np.arange(n, dtype=np.int32), self.table[inner]])
+        self.table[inner] = n + np.arange(len(inner), dtype=np.int32)  # nodes with children
+        self.children, self.state = {}, {}
         for d in range(4, DEPTH + 1):
-            mask = (1 << 8 * d) - 1
-            codes = sorted({c & mask for k in range(d, DEPTH + 1) for c in states[k]})
-            self.more[[c & 0xFFFFFF for c in codes]] = True
-            self.levels.append((d, np.array(codes, dtype=np.uint64), np.array([states[d].get(c, -1) for c in codes], dtype=np.int32)))
+            up = {c: i for i, c in enumerate(way[d - 1])}
+            child = np.zeros((max(1, len(up)), 256), dtype=np.int32)
+            for i, c in enumerate(way[d]):
+                child[up[c & ((1 << 8 * (d - 1)) - 1)], c >> 8 * (d - 1)] = i + 1
+            self.children[d] = child
+            self.state[d] = np.array([states[d].get(c, -1) for c in way[d]] or [-1], dtype=np.int32)
 
     def scores(self, docs: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each text."""
-        seq, at, first = symbols(docs)
-        code = contexts(seq, at, DEPTH)
-        low = code & np.uint64(0xFFFFFF)
-        state = self.table[low]
-        ask = np.flatnonzero(self.more[low])
-        for d, codes, found in self.levels:
-            if not len(codes):
-                break
-            c = code[ask] & np.uint64((1 << 8 * d) - 1)
-            spot = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
-            same = codes[spot] == c
-            ask, spot = ask[same], spot[same]
-            real = found[spot] >= 0
-            state[ask[real]] = found[spot[real]]
-        return np.add.reduceat(self.logp[state, self.column[seq[at]]].astype(np.float64), first)
+        seq, predict, start = symbols(docs)
+        node = self.table[codes(seq, 3, 1, np.uint32)]
+        state = self.state3[node]
+        ask = np.flatnonzero(node >= self.n)
+        node = node[ask] - self.n
+        for d in range(4, DEPTH + 1):
+            child = self.children[d][node, seq[ask + (DEPTH - d)]]
+            on = child > 0
+            ask, node = ask[on], child[on] - 1
+            found = self.state[d][node]
+            real = found >= 0
+            state[ask[real]] = found[real]
+        out = np.zeros(len(seq))
+        out[DEPTH:] = self.logp[state, self.column[seq[DEPTH:]]]
+        out[~predict] = 0
+        return np.add.reduceat(out, start)
 
     def base(self, docs: list[list[bytes]]) -> list[tuple[int, float, list[int]]]:
         """Per text: known tokens, sum of log10(count + 1) and keys of the
@@ -237,16 +244,16 @@ class Scorer:
         keys, counts, ends = self.model["keys"], self.model["counts"], self.model["ends"]
         words = list({w for ws in docs for w in ws})
         key = np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
-        value = np.full(len(words), -1.0)
+        value = np.zeros(len(words))
         if len(keys) and len(words):
             spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            value = np.where(keys[spot] == key, np.log10(counts[spot] + 1.0), -1.0)
-        of, key_of = dict(zip(words, value.tolist())), dict(zip(words, key.tolist()))
-        out = []
+            value = np.where(keys[spot] == key, np.log10(counts[spot] + 1.0), 0.0)
+        of = dict(zip(words, value.tolist()))
+        other = {w: k for w, k, v in zip(words, key.tolist(), value) if v == 0}
+        end, out = float(np.log10(ends + 1)), []
         for ws in docs:
-            vs = [of[w] for w in ws]
-            rare = [key_of[w] for w, v in zip(ws, vs) if v < 0]
-            out.append((len(ws) - len(rare) + (ends > 0), sum(v for v in vs if v >= 0) + float(np.log10(ends + 1)), rare))
+            rare = [other[w] for w in ws if w in other]
+            out.append((len(ws) - len(rare) + (ends > 0), sum(map(of.__getitem__, ws)) + end, rare))
         return out
 
 

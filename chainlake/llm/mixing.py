@@ -102,7 +102,9 @@ def slots_of(planned: DataFrame, seed: int = 0, block: int = BLOCK, shard_slots:
     drawn = got.select("sid", "shard", F.expr("explode(sequence(first, first + n - 1))").alias("j"))
     dealt = (short.select("sid", F.expr("explode(sequence(first, first + n - 1))").alias("j"))
              .withColumn("shard", F.lit(last) + F.pmod(F.xxhash64(F.lit(seed), "sid", "j"), F.lit(max(1, last // 8)))))
-    s = drawn.unionByName(dealt).join(p, "sid")
+    # few rows became many: deal them out before the permutation's work
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = drawn.unionByName(dealt).repartition(tasks, "sid", "j").join(p, "sid")
     epoch = ((F.col("j") - F.pmod("j", F.col("per_epoch"))) / F.col("per_epoch")).cast("long")
     s = s.withColumn("epoch", epoch).withColumn("i", F.pmod("j", F.col("per_epoch")))
     where = F.when(F.col("i") < F.col("full"), permuted(F.col("i"), F.greatest("full", F.lit(1)), [F.lit(seed), F.col("sid"), F.col("epoch")])) \

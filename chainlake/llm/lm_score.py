@@ -40,7 +40,7 @@ from chainlake.llm.common import ship_by_value, staged, table
 ship_by_value(__name__)
 
 DEPTH, END = 5, 255
-CHUNK_BYTES, FLUSH = 2_000_000, 1_500_000
+CHUNK_BYTES, FLUSH, WORD_FLUSH = 1_000_000, 1_000_000, 400_000
 WORD_KIND, GRAM_KIND = 0, 1
 
 
@@ -120,7 +120,7 @@ def count_rows(batches):
             if held > FLUSH // 2:
                 yield out(GRAM_KIND, key, n)
                 keys, ns, held = [], [], 0
-        if len(words) > FLUSH:
+        if len(words) > WORD_FLUSH:
             yield word_rows()
             words.clear()
     if words:

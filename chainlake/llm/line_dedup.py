@@ -35,7 +35,7 @@ def document_lines(docs: DataFrame, id_col="doc_id", site_col="source", text_col
     line = F.trim(F.col("line"))
     return (docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"),
                         F.coalesce(F.col(site_col).cast("string"), F.lit("\u0000")).alias("site"),
-                        F.explode(F.array_distinct(F.transform(_split(F.col(text_col)), F.trim))).alias("line"))
+                        F.explode(F.array_distinct(F.transform(_split(F.col(text_col)), lambda x: F.trim(x)))).alias("line"))
             .where(line != "")
             .select("id", "th", "site", _h1(F.col("line")).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")))
 

@@ -163,9 +163,9 @@ def reachable(d: DataFrame) -> DataFrame:
         if now == n:
             break
         n = now
-        jump = staged(jump.join(hop.withColumnRenamed("to_run", "t2"), (F.col("file") == F.col("f"))
-                                & (F.col("to_run") == hop["from_run"]), "inner")
-                      .select("file", jump["from_run"], F.col("t2").alias("to_run"), F.col("e").alias("entry")), "warc-jump")
+        on = hop.withColumnsRenamed({"from_run": "r2", "to_run": "t2"})
+        jump = staged(jump.join(on, (F.col("file") == F.col("f")) & (F.col("to_run") == F.col("r2")))
+                      .select("file", "from_run", F.col("t2").alias("to_run"), F.col("e").alias("entry")), "warc-jump")
     r = reach.select(F.col("file").alias("f"), F.col("run").alias("r"), "entry")
     on = marked.join(r, (F.col("file") == F.col("f")) & (F.col("run") == F.col("r")), "left").drop("f", "r")
     start = F.when(F.col("next").isNotNull() & (F.col("at") >= F.col("entry")), F.col("at"))

@@ -1,10 +1,11 @@
-"""Distribution helpers: inverse normal CDF as a Column expression, and the
-Student-t tail probability for already-aggregated rows."""
+"""Distribution helpers as Column expressions: the inverse normal CDF and the
+tail of Student's t."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,71 +82,41 @@ def with_norm_ppf(df, p: str, out: str):
     return staged.withColumn(out, val).drop("_pq", "_pr", "_pr1")
 
 
-def norm_ppf_py(p: float) -> float:
-    """The same algorithm in Python (tests and driver-side checks)."""
-    def pv(cs, x):
-        acc = cs[-1]
-        for c in reversed(cs[:-1]):
-            acc = acc * x + c
-        return acc
-    q = p - 0.5
-    if abs(q) <= PPF_SPLIT1:
-        r = PPF_CONST1 - q * q
-        return q * pv(PPF_A, r) / pv(PPF_B, r)
-    r = math.sqrt(-math.log(p if q < 0 else 1 - p))
-    v = pv(PPF_C, r - PPF_CONST2) / pv(PPF_D, r - PPF_CONST2) if r <= PPF_SPLIT2 \
-        else pv(PPF_E, r - PPF_SPLIT2) / pv(PPF_F, r - PPF_SPLIT2)
-    return -v if q < 0 else v
-
-
 # ---------------------------------------------------------------------------
-# Student t tail via the regularised incomplete beta function (continued
-# fraction, modified Lentz).  Runs only on aggregated rows: one per group.
+# Student t tail as a Column expression: Gauss-Legendre quadrature of the
+# density over [|t|, inf), mapped to (0, 1).
 # ---------------------------------------------------------------------------
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny, eps = 1e-300, 1e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log1p(-x))
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float | None, df: float | None) -> float | None:
-    """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom."""
-    if t is None or df is None or not (df > 0) or math.isnan(t) or math.isnan(df):
-        return None
-    x = df / (df + t * t)
-    return betainc(df / 2.0, 0.5, x)
+T_NODES = 96
+_SHIFT = 20  # steps of the recurrence before the asymptotic series
+
+
+def _log_gamma_ratio(df: Column) -> Column:
+    """ln(Gamma((df + 1) / 2) / Gamma(df / 2)): the recurrence
+    R(n) = R(n + 2) n / (n + 1), then the asymptotic series of R, so nothing
+    cancels for large ``df``."""
+    n = df + 2 * _SHIFT
+    series = 0.5 * F.log(n / 2) - 1 / (4 * n) + 1 / (24 * n * n * n) - 1 / (20 * n * n * n * n * n)
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(_SHIFT - 1)), F.lit(0.0),
+                        lambda acc, k: acc - F.log1p(1 / (df + 2 * k)))
+    return series + steps
+
+
+def t_two_sided(t, df) -> Column:
+    """P(|T| >= |t|) for Student's t; NULL unless ``df`` > 0 and both are
+    numbers.  ``df`` may be fractional and of any size."""
+    d = as_col(df)
+    d = F.when((d > 0) & ~F.isnan(d), d)
+    lo = F.abs(as_col(t))
+    # length over which the density falls off beyond t
+    scale = 1 / (1 / (1 + lo) + (d + 1) * lo / (d + lo * lo))
+    x, w = np.polynomial.legendre.leggauss(T_NODES)
+    nodes = F.array(*[F.struct(F.lit(float((a + 1) / 2)).alias("v"), F.lit(float(b / 2)).alias("w")) for a, b in zip(x, w)])
+    norm = _log_gamma_ratio(d) - 0.5 * F.log(d * math.pi)
+
+    def add(acc, q):
+        far = 4 * scale
+        u = lo + far * q["v"] / (1 - q["v"])
+        return acc + q["w"] * F.exp(norm - (d + 1) / 2 * F.log1p(u * u / d)) * far / ((1 - q["v"]) * (1 - q["v"]))
+    p = 2 * F.aggregate(nodes, F.lit(0.0), add)
+    return F.when(d.isNotNull() & ~F.isnan(lo), F.least(p, F.lit(1.0)))

@@ -47,16 +47,6 @@ def select_existing(df: DataFrame, keep) -> DataFrame:
     return df.select([c for c in keep if c in present])
 
 
-def per_key_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a table holding at most a fixed handful of rows per
-    ticker or group key (spot, per-group statistics, quartile targets, the
-    runs one step back, the expiries a micro-batch touched).  Its size is
-    bounded by the number of keys -- thousands of underlyings -- not by the
-    data volume, so shipping it to every executor is safe; the large side is
-    then joined where it lies, with no shuffle and no skew from a hot key."""
-    return F.broadcast(df)
-
-
 def pandas_round(c, digits: int) -> Column:
     """Round as pandas/numpy ``round(digits)`` does: scale by 10**digits,
     round half to even, scale back (so 2.675 -> 2.67, because 2.675 * 100 is

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chainlake.functions.classify import (dte_bucket, dte_calendar, dte_elapsed, flow_ratio,
                                           hours_between, freshness)
-from chainlake.functions.util import count_if, lit_date, lit_ts, per_key_broadcast, safe_div
+from chainlake.functions.util import count_if, lit_date, lit_ts, safe_div
 from chainlake.operators.silver import spot as spot_of
 
 # The activity/liquidity filters of the chain page, as
@@ -163,7 +163,7 @@ def gex_by_strike(exposure: DataFrame, px: DataFrame, expiry=None, band: float =
     e = exposure
     if expiry is not None:
         e = e.filter(F.col("expiry") == lit_date(expiry))
-    s = per_key_broadcast(spot_of(px).select("ticker", "spot"))
+    s = spot_of(px).select("ticker", "spot")
     sums = (e.groupBy("ticker", "strike")
             .agg(F.sum("call_gamma_notional").alias("call_gex"),
                  F.sum("put_gamma_notional").alias("put_gex"),

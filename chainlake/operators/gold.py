@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlake.functions.classify import market_hours
-from chainlake.functions.util import count_if, lit_date, per_key_broadcast, safe_div
+from chainlake.functions.util import count_if, lit_date, safe_div
 from chainlake.operators.silver import spot
 
 
@@ -68,7 +68,7 @@ def atm_band(opts: DataFrame, px: DataFrame, band: float = 0.02,
     ``latest`` and left to AQE's measured broadcast for ``same_day``.
     """
     if spot_mode == "latest":
-        s = per_key_broadcast(spot(px).select("ticker", "spot"))
+        s = spot(px).select("ticker", "spot")
         j = opts.join(s, "ticker")
     elif spot_mode == "same_day":
         s = px.select("ticker", F.col("Date").alias("_d"), F.col("Close").alias("spot"))
@@ -99,7 +99,7 @@ def snapshot_vs_stats(per_snapshot: DataFrame) -> DataFrame:
              .agg(F.avg("atm_iv").alias("_mean"), F.stddev_pop("atm_iv").alias("_sd"),
                   F.min("atm_iv").alias("_lo"), F.max("atm_iv").alias("_hi")))
     x = F.col("atm_iv")
-    return per_snapshot.join(per_key_broadcast(stats), "ticker").select(
+    return per_snapshot.join(stats, "ticker").select(
         "ticker", "snapshot_str", "atm_iv",
         F.round(safe_div(x - F.col("_mean"), F.col("_sd")), 4).alias("zscore"),
         F.round(safe_div(x - F.col("_lo"), F.col("_hi") - F.col("_lo")), 4).alias("rank_in_range"))
@@ -139,7 +139,7 @@ def iv_change(opts: DataFrame, rank: DataFrame, iv_floor: float = 0.01, digits:
     w = Window.partitionBy("ticker").orderBy(F.col("_t").desc(), F.col("snapshot_str").desc())
     prev_run = runs.withColumn("_r", F.row_number().over(w)).filter("_r = 2").select("ticker", "snapshot_str")
     prev = (opts.filter((F.col("impliedVolatility") > iv_floor) & (F.col("option_type") == "call"))
-            .join(per_key_broadcast(prev_run), ["ticker", "snapshot_str"], "left_semi")
+            .join(prev_run, ["ticker", "snapshot_str"], "left_semi")
             .groupBy("ticker").agg(F.avg("impliedVolatility").alias("prev_iv")))
     out = rank.select("ticker", "iv_current").join(prev, "ticker", "left")
     p = F.col("prev_iv")

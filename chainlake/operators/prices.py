@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlake.functions.pricing import RISK_FREE, time_to_expiry, with_greeks
-from chainlake.functions.util import pandas_round, per_key_broadcast
+from chainlake.functions.util import pandas_round, safe_div
 
 PRICE_COLS = ("Open", "High", "Low", "Close")
 TRADING_DAYS = 252
@@ -31,10 +31,11 @@ def hv(df: DataFrame, windows=(20, 252), partition_by=("ticker",),
     A value exists only once the window holds ``n`` returns (the first at row
     ``n + 1`` of a series).  The window is partitioned per ticker; price
     tables are one row per ticker and day, so a partition is a few thousand
-    rows even over decades.
+    rows even over decades.  A return from or to a close of zero is NULL, and
+    so are the values of the windows that hold it.
     """
     w = Window.partitionBy(*partition_by).orderBy(*order_by)
-    out = df.withColumn("_lr", F.log(F.col(close) / F.lag(close).over(w)))
+    out = df.withColumn("_lr", F.log(safe_div(F.col(close), F.lag(close).over(w))))
     for n in windows:
         frame = w.rowsBetween(-(n - 1), Window.currentRow)
         vol = F.stddev_samp("_lr").over(frame) * math.sqrt(TRADING_DAYS)
@@ -50,7 +51,7 @@ def greeks(opts: DataFrame, px: DataFrame, r: float = RISK_FREE, as_of="snapshot
     column, default the snapshot's own time).  Native expressions only."""
     from chainlake.operators.silver import spot
 
-    s = per_key_broadcast(spot(px).select("ticker", F.col("spot").alias("_spot")))
+    s = spot(px).select("ticker", F.col("spot").alias("_spot"))
     j = opts.join(s, "ticker", "left")
     t = time_to_expiry("expiry", as_of, market_tz)
     return with_greeks(j, "_spot", "strike", "impliedVolatility", "option_type", t, r).drop("_spot")

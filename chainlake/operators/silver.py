@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlake.functions.util import per_key_broadcast
 
 # Newest-row order.  The reference orders by snapshot_time only; ties are
 # broken by run id, then source file, all descending, so results are
@@ -75,7 +74,7 @@ def latest_snapshot(latest: DataFrame, px: DataFrame) -> DataFrame:
     """Each latest option joined to its ticker's newest price row (left:
     a ticker without prices keeps NULLs).  The price side is one row per
     ticker -- bounded by the number of underlyings, so it is broadcast."""
-    s = per_key_broadcast(spot(px))
+    s = spot(px)
     j = latest.join(s, "ticker", "left")
     return j.select(
         "contractSymbol", "expiry", "option_type", "strike", "bid", "ask",

@@ -2,10 +2,9 @@
 
 Everything reduces with aggregations that combine partially before the
 shuffle.  Order statistics (exact quartiles, Q-Q ranks) never sort a whole
-group in one task: values are first counted (ties collapse), then split into
-equal-depth buckets by ``percentile_approx`` cut points, bucket offsets come
-from a window over the small bucket table, and exact ranks from a window
-inside each bucket.  Expanding ranks back to one row per observation is
+group in one task: values are first counted (ties collapse), then dealt to the
+ranges between approximate quantiles; range offsets come from a window over the
+small table of ranges, and exact ranks from a window inside each range.  Expanding ranks back to one row per observation is
 chunked, so a value repeated a billion times still spreads over many tasks.
 """
 
@@ -15,14 +14,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainlake.functions.classify import market_hours
 from chainlake.functions.pricing import norm_cdf
-from chainlake.functions.stats import t_two_sided_p, with_norm_ppf
-from chainlake.functions.util import per_key_broadcast
+from chainlake.functions.stats import t_two_sided, with_norm_ppf
+from chainlake.functions.util import safe_div
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 # Chart parameters of the reference's notebook.
@@ -82,9 +81,9 @@ def histogram(sample: DataFrame, bins: int = HIST_BINS, by=("ticker",), x: str =
     rng = _range(sample, by, x)
     lo, hi = F.col("_lo"), F.col("_hi")
     width = (hi - lo) / bins
-    scaled = (F.col(x) - lo) * (F.lit(float(bins)) / (hi - lo))
+    scaled = (F.col(x) - lo) * safe_div(F.lit(float(bins)), hi - lo)
     idx = F.when(hi > lo, F.least(F.floor(scaled), F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
-    counts = (sample.join(per_key_broadcast(rng), list(by)).groupBy(*by, idx.alias("bin"))
+    counts = (sample.join(rng, list(by)).groupBy(*by, idx.alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     grid = rng.select(*by, "_lo", "_hi", "_n",
                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
@@ -105,76 +104,62 @@ def _grid(stats: DataFrame, by, points: int, lo: str, hi: str) -> DataFrame:
 
 
 def normal_fit(sample: DataFrame, by=("ticker",), x: str = "iv", points: int = FIT_GRID) -> DataFrame:
-    """Normal fit (mean, sample std) and its density on a grid over [min, max]."""
+    """Normal fit (mean, sample std) and its density on a grid over [min, max];
+    the density of a group without spread is NULL."""
     st = sample.groupBy(*by).agg(F.avg(x).alias("mu"), F.stddev_samp(x).alias("sigma"),
                                  F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     g = _grid(st, by, points, "_lo", "_hi")
-    z = (F.col("x") - F.col("mu")) / F.col("sigma")
-    pdf = F.exp(-z * z / 2.0) / (F.col("sigma") * SQRT_2PI)
+    z = safe_div(F.col("x") - F.col("mu"), F.col("sigma"))
+    pdf = safe_div(F.exp(-z * z / 2.0), F.col("sigma") * SQRT_2PI)
     return g.select(*by, "mu", "sigma", "k", "x", pdf.alias("pdf"))
 
 
 def lognormal_fit(sample: DataFrame, by=("ticker",), x: str = "iv", points: int = FIT_GRID) -> DataFrame:
     """Log-normal maximum-likelihood fit with location 0: shape = population
-    std of ln x, scale = exp(mean ln x); density on the same grid."""
+    std of ln x, scale = exp(mean ln x); density on the same grid, NULL for a
+    group without spread."""
     lx = F.log(F.col(x))
     st = sample.filter(F.col(x) > 0).groupBy(*by).agg(
         F.stddev_pop(lx).alias("shape"), F.exp(F.avg(lx)).alias("scale"),
         F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     g = _grid(st, by, points, "_lo", "_hi")
     s, xx = F.col("shape"), F.col("x")
-    u = F.log(xx / F.col("scale")) / s
-    pdf = F.when(xx > 0, F.exp(-u * u / 2.0) / (xx * s * SQRT_2PI)).otherwise(F.lit(0.0))
+    u = safe_div(F.log(xx / F.col("scale")), s)
+    pdf = F.when(xx > 0, safe_div(F.exp(-u * u / 2.0), xx * s * SQRT_2PI)).otherwise(F.lit(0.0))
     return g.select(*by, "shape", F.lit(0.0).alias("loc"), "scale", "k", "x", pdf.alias("pdf"))
 
 
-# Budget for the broadcast table of bucket cut points (groups x buckets
-# doubles); the bucket count shrinks to fit it.
-CUTS_BROADCAST_BYTES = 32 * 1024 * 1024
+# Cut points per group for the distributed rank.
+RANK_CUTS = 1023
 
 
-def bucket_count(groups: int, wanted: int, budget: int = CUTS_BROADCAST_BYTES) -> int:
-    """Largest bucket count <= ``wanted`` whose cut table (groups x buckets
-    x 8 bytes) fits the broadcast budget."""
-    return max(1, min(wanted, budget // (8 * max(groups, 1))))
+def _bucket(cuts: Column, x: Column) -> Column:
+    """Number of cut points below ``x``, by halving steps."""
+    steps = [1 << k for k in range(RANK_CUTS.bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda pos, k: F.when(
+        (pos + k <= F.size(cuts)) & (F.element_at(cuts, F.least(pos + k, F.size(cuts))) < x), pos + k).otherwise(pos))
 
 
-def ranked_values(sample: DataFrame, by=("ticker",), x: str = "iv", buckets: int = 1024,
-                  accuracy: int | None = None) -> DataFrame:
+def ranked_values(sample: DataFrame, by=("ticker",), x: str = "iv", cuts: int = RANK_CUTS) -> DataFrame:
     """Distinct values per group with their multiplicity ``m`` and first
     1-based rank ``start`` in ascending order, plus the group size ``n``.
 
-    The value counts are written once with a reliable ``checkpoint()`` (the
-    shared checkpoint folder): the cut points, the bucket totals and the
-    ranks all read them instead of re-running the sample's lineage.
-    Equal-depth buckets over the distinct values keep every window bounded:
-    ranks inside a bucket use a window over (group, bucket); bucket offsets
-    use a window over the (groups x buckets) table.  Cut points only need to
-    balance buckets, so ``percentile_approx`` runs at 10 x buckets accuracy."""
-    vals = sample.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("m"))
-    vals = vals.checkpoint(eager=True)
-    if buckets > 1:
-        # size check before broadcasting one array of cut points per group
-        groups = vals.select(*by).distinct().count()
-        buckets = bucket_count(groups, buckets)
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        acc = accuracy or 10 * buckets
-        cuts = vals.groupBy(*by).agg(F.percentile_approx(x, probs, acc).alias("_cuts"))
-        # one row per group, an array of buckets-1 doubles: size checked above
-        vals = vals.join(F.broadcast(cuts), list(by))
-        b = F.size(F.filter("_cuts", lambda c: c < F.col(x)))
-        vals = vals.withColumn("_b", b).drop("_cuts")
-    else:
-        vals = vals.withColumn("_b", F.lit(0))
-    per_b = vals.groupBy(*by, "_b").agg(F.sum("m").alias("_bm"))
-    wb = Window.partitionBy(*by).orderBy("_b")
-    per_b = per_b.select(*by, "_b", (F.sum("_bm").over(wb) - F.col("_bm")).alias("_off"),
-                         F.sum("_bm").over(Window.partitionBy(*by)).alias("n"))
+    Values are counted (ties collapse) and dealt to the ranges between
+    ``cuts`` approximate quantiles of their group, a parameter that does not
+    depend on the data.  Ranks inside a range come from a window over (group,
+    range), offsets from a window over the small table of ranges.  The cut
+    points only balance the ranges; the ranks are exact."""
+    vals = (sample.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("m"))
+            .filter(F.col("m") > 0))  # keeps ``m`` in every use, so that they share one exchange
+    probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    at = vals.groupBy(*by).agg(F.percentile_approx(x, probs, 10 * cuts).alias("_cuts"), F.sum("m").alias("n"))
+    b = vals.join(at, list(by)).withColumn("_b", _bucket(F.col("_cuts"), F.col(x))).drop("_cuts")
+    per_b = b.groupBy(*by, "_b").agg(F.sum("m").alias("_bm"))
+    off = F.coalesce(F.sum("_bm").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_b = per_b.select(*by, "_b", off.alias("_off"))
     wi = Window.partitionBy(*by, "_b").orderBy(x)
-    r = vals.join(per_b, [*by, "_b"])
     start = F.col("_off") + F.sum("m").over(wi) - F.col("m") + 1
-    return r.select(*by, x, "m", start.alias("start"), "n")
+    return b.join(per_b, [*by, "_b"]).select(*by, x, "m", start.alias("start"), "n")
 
 
 def expand_ranks(ranked: DataFrame, chunk: int = 1 << 20) -> DataFrame:
@@ -198,10 +183,10 @@ def filliben(i, n) -> F.Column:
             .otherwise((i - 0.3175) / (n + 0.365)))
 
 
-def qq_points(sample: DataFrame, by=("ticker",), x: str = "iv", buckets: int = 1024) -> DataFrame:
+def qq_points(sample: DataFrame, by=("ticker",), x: str = "iv", cuts: int = RANK_CUTS) -> DataFrame:
     """Normal probability plot points: theoretical quantile ``osm`` (inverse
     normal of Filliben's medians) against the ordered sample ``osr``."""
-    r = expand_ranks(ranked_values(sample, by, x, buckets))
+    r = expand_ranks(ranked_values(sample, by, x, cuts))
     r = r.select(*by, "i", "n", filliben("i", "n").alias("_m"), F.col(x).alias("osr"))
     return with_norm_ppf(r, "_m", "osm").select(*by, "i", "n", "osm", "osr")
 
@@ -213,54 +198,29 @@ def qq_fit(points: DataFrame, by=("ticker",)) -> DataFrame:
         F.regr_intercept("osr", "osm").alias("intercept"), F.corr("osm", "osr").alias("r"))
 
 
-def value_at_rank(ranked: DataFrame, targets: DataFrame, by=("ticker",), x: str = "iv") -> DataFrame:
-    """For target ranks (columns by..., ``name``, ``k``) the value holding
-    that rank.  Targets are a few rows per group (broadcast); each value row
-    checks them with an equi-join on the group and a range condition."""
-    t = per_key_broadcast(targets)
-    j = ranked.join(t, list(by)).filter((F.col("k") >= F.col("start"))
-                                        & (F.col("k") < F.col("start") + F.col("m")))
-    return j.select(*by, "name", "k", F.col(x).alias("value"))
-
-
 def box_stats(sample: DataFrame, by=("ticker",), x: str = "iv", whisker: float = WHISKER,
-              buckets: int = 1024) -> DataFrame:
+              cuts: int = RANK_CUTS) -> DataFrame:
     """Quartiles (linear interpolation between order statistics), whiskers
     at the most extreme points within ``whisker`` x IQR of the box, and the
-    outlier count -- exact, without holding a group in one task."""
-    probs = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-    ranked = ranked_values(sample, by, x, buckets)
-    # the two order statistics around each quartile position h = (n-1)p + 1,
-    # as a literal fan-out of 6 target rows per group
-    n = F.col("n")
-    tgt = []
-    for name, p in probs:
-        h = (n - 1) * p + 1
-        tgt.append(F.struct(F.lit(name).alias("q"), F.lit("lo").alias("end"),
-                            F.floor(h).cast("long").alias("k"), (h - F.floor(h)).alias("frac")))
-        tgt.append(F.struct(F.lit(name).alias("q"), F.lit("hi").alias("end"),
-                            F.least(F.ceil(h), n).cast("long").alias("k"), (h - F.floor(h)).alias("frac")))
-    sizes = sample.filter(F.col(x).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    targets = sizes.select(*by, F.inline(F.array(*tgt)))
-    hit = (ranked.join(per_key_broadcast(targets), list(by))
-           .filter((F.col("k") >= F.col("start")) & (F.col("k") < F.col("start") + F.col("m"))))
+    outlier count -- exact, all from the (value, count, rank) rows."""
+    ranked = ranked_values(sample, by, x, cuts)
+    v, n = F.col(x), F.col("n")
+
+    def holds(k: Column) -> Column:
+        return F.max(F.when((k >= F.col("start")) & (k < F.col("start") + F.col("m")), v))
     aggs = []
-    for name, _ in probs:
-        lo_v = F.max(F.when((F.col("q") == name) & (F.col("end") == "lo"), F.col(x)))
-        hi_v = F.max(F.when((F.col("q") == name) & (F.col("end") == "hi"), F.col(x)))
-        fr = F.max(F.when(F.col("q") == name, F.col("frac")))
-        aggs.append((lo_v + fr * (hi_v - lo_v)).alias(name))
-    quart = hit.groupBy(*by).agg(*aggs)
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        h = (n - 1) * p + 1  # between the order statistics floor(h) and ceil(h)
+        lo, hi = holds(F.floor(h).cast("long")), holds(F.least(F.ceil(h), n).cast("long"))
+        aggs.append((lo + F.max(h - F.floor(h)) * (hi - lo)).alias(name))
     iqr = F.col("q3") - F.col("q1")
-    fences = quart.select("*", (F.col("q1") - whisker * iqr).alias("_lf"),
-                          (F.col("q3") + whisker * iqr).alias("_uf"))
-    v = F.col(x)
+    fences = ranked.groupBy(*by).agg(*aggs).select("*", (F.col("q1") - whisker * iqr).alias("_lf"),
+                                                   (F.col("q3") + whisker * iqr).alias("_uf"))
     inside = (v >= F.col("_lf")) & (v <= F.col("_uf"))
-    return (sample.join(per_key_broadcast(fences), list(by)).groupBy(*by, "q1", "median", "q3")
+    return (ranked.join(fences, list(by)).groupBy(*by, "q1", "median", "q3")
             .agg(F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
-                 F.count(F.when(~inside, F.lit(1))).alias("outliers"))
-            .select(*by, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
-                    "whisker_lo", "whisker_hi", "outliers"))
+                 F.coalesce(F.sum(F.when(~inside, F.col("m"))), F.lit(0)).alias("outliers"))
+            .select(*by, "q1", "median", "q3", iqr.alias("iqr"), "whisker_lo", "whisker_hi", "outliers"))
 
 
 def kde(sample: DataFrame, by=("ticker",), x: str = "iv", grid: int = KDE_GRID,
@@ -279,7 +239,7 @@ def kde(sample: DataFrame, by=("ticker",), x: str = "iv", grid: int = KDE_GRID,
     lo, hi = F.col("_lo"), F.col("_hi")
     idx = F.when(hi > lo, F.least(F.floor((F.col("_v") - lo) * (F.lit(float(bins)) / (hi - lo))),
                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counts = (s.join(per_key_broadcast(st), list(by)).groupBy(*by, "_lo", "_hi", "_n", "_sd", idx.alias("_b"))
+    counts = (s.join(st, list(by)).groupBy(*by, "_lo", "_hi", "_n", "_sd", idx.alias("_b"))
               .agg(F.count(F.lit(1)).alias("_c")))
     key_fields = [counts.schema[c] for c in by]
     schema = T.StructType(key_fields + [T.StructField("k", T.LongType()),
@@ -324,47 +284,27 @@ def two_sample(sample: DataFrame, by=("ticker",), side: str = "option_type", x:
     return sample.groupBy(*by).agg(*aggs)
 
 
-def _t_p_values(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b))
-                      for a, b in zip(t, df)], dtype="float64")
-
-
-def _t_p(t, df):
-    # built on first use: declaring a pandas UDF needs an active session.
-    # The function and its helpers are shipped by value, so Python workers
-    # need no installed copy of this package.
-    import sys
-
-    from pyspark import cloudpickle
-
-    from chainlake.functions import stats as fstats
-
-    for mod in (fstats, sys.modules[__name__]):
-        cloudpickle.register_pickle_by_value(mod)
-    return F.pandas_udf(_t_p_values, T.DoubleType())(t, df)
-
-
 def welch_ttest(sample: DataFrame, by=("ticker",), alpha: float = ALPHA) -> DataFrame:
     """Welch's unequal-variance t-test, calls minus puts: t, Welch-Satterthwaite
-    df, two-sided p.  The p-value is the only Python step and runs on one
-    aggregated row per group."""
+    df, two-sided p.  A side of fewer than two rows, or no variance on either
+    side, gives NULL t, df and p."""
     s = two_sample(sample, by)
-    va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(va + vb)
-    dof = (va + vb) * (va + vb) / (va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))
+    va, vb = safe_div("var_a", F.col("n_a")), safe_div("var_b", F.col("n_b"))
+    t = safe_div(F.col("mean_a") - F.col("mean_b"), F.sqrt(va + vb))
+    dof = safe_div((va + vb) * (va + vb), safe_div(va * va, F.col("n_a") - 1) + safe_div(vb * vb, F.col("n_b") - 1))
     out = s.select(*by, F.col("n_a").alias("n_calls"), F.col("n_b").alias("n_puts"),
                    F.col("mean_a").alias("mean_calls"), F.col("mean_b").alias("mean_puts"),
                    t.alias("t"), dof.alias("df"))
-    return out.withColumn("p", _t_p("t", "df")).withColumn("significant", F.col("p") < alpha)
+    return out.withColumn("p", t_two_sided("t", "df")).withColumn("significant", F.col("p") < alpha)
 
 
 def ztest(sample: DataFrame, by=("ticker",), alpha: float = ALPHA) -> DataFrame:
     """Two-sample z-test with pooled variance, calls minus puts, two-sided p
-    from the normal CDF expression (no Python)."""
+    from the normal CDF expression.  Without variance z and p are NULL."""
     s = two_sample(sample, by)
     na, nb = F.col("n_a"), F.col("n_b")
-    pooled = ((na - 1) * F.col("var_a") + (nb - 1) * F.col("var_b")) / (na + nb - 2)
-    z = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(pooled * (1.0 / na + 1.0 / nb))
+    pooled = safe_div((na - 1) * F.col("var_a") + (nb - 1) * F.col("var_b"), na + nb - 2)
+    z = safe_div(F.col("mean_a") - F.col("mean_b"), F.sqrt(pooled * (safe_div(F.lit(1.0), na) + safe_div(F.lit(1.0), nb))))
     out = s.select(*by, na.alias("n_calls"), nb.alias("n_puts"), z.alias("z"))
     p = 2.0 * norm_cdf(-F.abs(F.col("z")))
     return out.withColumn("p", p).withColumn("significant", F.col("p") < alpha)

@@ -12,10 +12,6 @@ from chainlake.plans.catalog import register
 from chainlake.plans.oracle import f, norm_cdf_sql, norm_ppf_sql, sql
 from chainlake.plans.tables import Tables
 
-# Buckets for the distributed rank at test scale (the library default is
-# sized for large groups; the result does not depend on it).
-RANK_BUCKETS = 8
-
 SAMPLE_SQL = """
 iv_sample AS (
   SELECT ticker, option_type, impliedVolatility * 100 AS iv FROM bronze_options_raw
@@ -127,7 +123,7 @@ qq AS (SELECT ticker, CAST(i AS BIGINT) AS i, CAST(n AS BIGINT) AS n, {norm_ppf_
 @register("qq_plot", sql("SELECT ticker, i, n, round(osm, 10) AS osm, osr FROM qq",
                          extra=SAMPLE_SQL + "," + QQ_SQL))
 def q_qq_plot(spark, sf_dir):
-    return _r(S.qq_points(_sample(spark, sf_dir), buckets=RANK_BUCKETS), ["osm"], 10)
+    return _r(S.qq_points(_sample(spark, sf_dir)), ["osm"], 10)
 
 
 @register("qq_fit", sql("""
@@ -135,7 +131,7 @@ SELECT ticker, count(*) AS n, round(regr_slope(osr, osm), 8) AS slope,
        round(regr_intercept(osr, osm), 8) AS intercept, round(corr(osm, osr), 8) AS r
 FROM qq GROUP BY ticker""", extra=SAMPLE_SQL + "," + QQ_SQL))
 def q_qq_fit(spark, sf_dir):
-    pts = S.qq_points(_sample(spark, sf_dir), buckets=RANK_BUCKETS)
+    pts = S.qq_points(_sample(spark, sf_dir))
     return _r(S.qq_fit(pts), ["slope", "intercept", "r"])
 
 
@@ -149,7 +145,7 @@ FROM (SELECT ticker, quantile_cont(iv, 0.25) AS q1, quantile_cont(iv, 0.5) AS me
              quantile_cont(iv, 0.75) AS q3 FROM iv_sample GROUP BY ticker) q
 JOIN iv_sample s ON s.ticker = q.ticker GROUP BY q.ticker, q1, median, q3""", extra=SAMPLE_SQL))
 def q_box_plot(spark, sf_dir):
-    b = S.box_stats(_sample(spark, sf_dir), buckets=RANK_BUCKETS)
+    b = S.box_stats(_sample(spark, sf_dir))
     return _r(b, ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"])
 
 
@@ -216,11 +212,28 @@ def q_welch_ttest(spark, sf_dir):
     return _r(_r(w, ["mean_calls", "mean_puts", "t"]), ["df"], 6)
 
 
-@register("welch_ttest_p")
+# The p-value by Simpson's rule on the angle form of the density: with
+# t = tan(a) sqrt(df), P(|T| >= |t|) is the share of cos(a)^(df - 1) beyond a.
+SIMPSON = 20_000
+WELCH_P_SQL = f"""
+w AS (SELECT ticker, sample, n_a, n_b, mean_a, mean_b, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS t,
+             (var_a / n_a + var_b / n_b) * (var_a / n_a + var_b / n_b)
+             / ((var_a / n_a) * (var_a / n_a) / (n_a - 1) + (var_b / n_b) * (var_b / n_b) / (n_b - 1)) AS df FROM two),
+a AS (SELECT *, atan(abs(t) / sqrt(df)) AS a FROM w),
+g AS (SELECT a.*, CASE WHEN k IN (0, {SIMPSON}) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END AS c,
+             a + k * (pi() / 2 - a) / {SIMPSON} AS tail, k * a / {SIMPSON} AS body FROM a, range(0, {SIMPSON} + 1) r(k)),
+s AS (SELECT ticker, sample, sum(c * pow(greatest(cos(tail), 0), df - 1)) * any_value(pi() / 2 - a) AS tail,
+             sum(c * pow(cos(body), df - 1)) * any_value(a) AS body FROM g GROUP BY ticker, sample)"""
+
+
+@register("welch_ttest_p", sql("""
+SELECT w.ticker, w.sample, w.n_a AS n_calls, w.n_b AS n_puts, round(mean_a, 8) AS mean_calls, round(mean_b, 8) AS mean_puts,
+       round(t, 8) AS t, round(df, 6) AS df, round(s.tail / (s.tail + s.body), 8) AS p,
+       s.tail / (s.tail + s.body) < 0.05 AS significant
+FROM w JOIN s ON w.ticker = s.ticker AND w.sample = s.sample""", extra=TWO_SQL + "," + WELCH_P_SQL))
 def q_welch_ttest_p(spark, sf_dir):
-    """Same test with the Student-t p-value (no SQL oracle: DuckDB has no
-    t distribution); values are covered by unit tests."""
-    return _both(spark, sf_dir, S.welch_ttest)
+    """The same test with its p-value."""
+    return _r(_r(_both(spark, sf_dir, S.welch_ttest), ["mean_calls", "mean_puts", "t", "p"]), ["df"], 6)
 
 
 @register("ztest", sql(f"""

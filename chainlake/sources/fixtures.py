@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.functions.pricing import time_to_expiry, with_greeks
-from chainlake.functions.util import lit_date, null_double, per_key_broadcast
+from chainlake.functions.util import lit_date, null_double
 from chainlake.sources.ingest import normalize_itm
 
 # Fixed values of the fixture definitions (shared with the SQL oracle).
@@ -103,7 +103,7 @@ def priced_landing(spark: SparkSession, sf_dir: str, market_tz: str = "UTC") ->
 
     land = options_landing(spark, sf_dir)
     px = spot(silver_price(bronze_price_raw(spark, sf_dir, with_hv=False)))
-    priced = land.join(per_key_broadcast(px.select("ticker", F.col("spot").alias("_spot"))),
+    priced = land.join(px.select("ticker", F.col("spot").alias("_spot")),
                        "ticker", "left")
     priced = with_greeks(priced, "_spot", "strike", "impliedVolatility", "option_type",
                          time_to_expiry("expiry", "snapshot_time", market_tz), prefix="_g_")

@@ -22,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.functions.util import per_key_broadcast
 from chainlake.operators import silver
 from chainlake.session import checkpoint_path, ensure_checkpoint_dir
 from chainlake.sources import ingest, schemas
@@ -104,7 +103,7 @@ def merge_into_silver(batch: DataFrame, silver_dir: str, kind: str) -> None:
         if len(parts) == 1 and len(keys) <= MAX_PRUNE_KEYS:
             old = existing.filter(F.col(parts[0]).isin([r[0] for r in keys]))
         else:
-            old = existing.join(per_key_broadcast(touched), parts, "left_semi")
+            old = existing.join(touched, parts, "left_semi")
         cand = cand.unionByName(old, allowMissingColumns=True)
     merged = with_parts(newest(cand.drop("_year") if kind == "price" else cand))
     merged = merged.checkpoint(eager=True)

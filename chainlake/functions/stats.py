@@ -119,4 +119,4 @@ def t_two_sided(t, df) -> Column:
         u = lo + far * q["v"] / (1 - q["v"])
         return acc + q["w"] * F.exp(norm - (d + 1) / 2 * F.log1p(u * u / d)) * far / ((1 - q["v"]) * (1 - q["v"]))
     p = 2 * F.aggregate(nodes, F.lit(0.0), add)
-    return F.when(d.isNotNull() & ~F.isnan(lo), F.least(p, F.lit(1.0)))
+    return F.when(d.isNotNull() & lo.isNotNull() & ~F.isnan(lo), F.least(p, F.lit(1.0)))

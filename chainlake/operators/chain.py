@@ -67,7 +67,7 @@ def chain(gold: DataFrame, as_of_date, expiry=None, option_type=None, pct: float
     """The chain table: Gold rows of an expiry (or all) and side (or both)
     with strikes inside ``spot * (1 +- pct%)`` (inclusive), calendar DTE >= 0,
     Vol/OI and OI/Vol ratios, then the optional DTE-zone and flow filters.
-    Spot is the Gold row's own newest close."""
+    Spot is the Gold row's own newest close.  Sorted by expiry and strike."""
     g = gold
     if expiry is not None and str(expiry).upper() != "ALL":
         g = g.filter(F.col("expiry") == lit_date(expiry))
@@ -82,7 +82,7 @@ def chain(gold: DataFrame, as_of_date, expiry=None, option_type=None, pct: float
     if zone is not None and zone.lower() != "all":
         g = g.filter(dte_bucket("dte") == zone)
     pred = flow_predicate(flow)
-    return g if pred is None else g.filter(pred)
+    return (g if pred is None else g.filter(pred)).orderBy("expiry", "strike", "option_type", "contractSymbol")
 
 
 def flow_counts(chain_rows: DataFrame) -> DataFrame:
@@ -103,9 +103,8 @@ def skew(gold: DataFrame, expiry=None, min_volume: int = 0) -> DataFrame:
     if expiry is not None:
         g = g.filter(F.col("expiry") == lit_date(expiry))
     g = g.withColumn("volume", F.coalesce(F.col("volume"), F.lit(0)).cast("long"))
-    w = Window.partitionBy("ticker", "expiry")
-    mx = F.max("volume").over(w)
-    g = g.withColumn("_mx", F.when(mx > 0, mx).otherwise(F.lit(1)))
+    top = g.groupBy(F.col("ticker").alias("_t"), F.col("expiry").alias("_e")).agg(F.greatest(F.max("volume"), F.lit(1)).alias("_mx"))
+    g = g.join(top, F.col("ticker").eqNullSafe(F.col("_t")) & F.col("expiry").eqNullSafe(F.col("_e")))
     return (g.filter(F.col("volume") >= min_volume)
             .select("ticker", "expiry", "strike", "option_type", "iv", "volume",
                     (F.col("volume") / F.col("_mx")).alias("vol_share")))

@@ -35,13 +35,14 @@ def newest_per_key(df: DataFrame, keys, order=None) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def silver_price(bronze_price: DataFrame) -> DataFrame:
+def silver_price(bronze_price: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Newest snapshot per (ticker, Date); rows missing a critical field are
-    removed before ranking."""
+    removed before ranking.  ``keep``: further columns to return, such as the
+    source file, which breaks ties in a later merge."""
     ok = bronze_price.filter(F.col("ticker").isNotNull() & F.col("Date").isNotNull()
                              & F.col("Close").isNotNull() & F.col("snapshot_time").isNotNull())
     order = newest_order(NEWEST_COLS if "_source_file" in bronze_price.columns else NEWEST_COLS[:2])
-    return newest_per_key(ok, ["ticker", "Date"], order).select(SILVER_PRICE_COLS)
+    return newest_per_key(ok, ["ticker", "Date"], order).select(*SILVER_PRICE_COLS, *keep)
 
 
 def valid_quote(bid="bid", ask="ask"):

@@ -118,7 +118,8 @@ def latest_overrides(log: DataFrame) -> DataFrame:
 def list_overrides(overrides: DataFrame) -> DataFrame:
     """Saved overrides with the day's range, newest date first."""
     return overrides.select("symbol", "date", "high", "low",
-                            F.round(F.col("high") - F.col("low"), 2).alias("range"), "updated_at")
+                            F.round(F.col("high") - F.col("low"), 2).alias("range"), "updated_at") \
+        .orderBy(F.col("date").desc_nulls_last(), "symbol")
 
 
 def apply_overrides(bars: DataFrame, overrides: DataFrame, scope: str = "last") -> DataFrame:

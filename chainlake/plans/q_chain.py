@@ -162,9 +162,15 @@ def q_term_slope(spark, sf_dir):
     return _term(spark, sf_dir).select("ticker", "expiry", "dte_gap", "slope", "shape")
 
 
+# Besides the library's calendar, events and holidays inside the dates of the
+# test data, so that both outcomes occur.
+EVENTS = chain.DATED_EVENTS + (("Rate decision", "2024-03-20"), ("~Earnings", "2024-04-25"), ("Settlement", "2024-02-01"))
+HOLIDAYS = calendar.MARKET_HOLIDAYS + ("1995-07-04", "1996-12-25", "1998-01-01", "1999-11-25", "2000-05-29")
+
+
 def _events_sql() -> str:
     rows = ", ".join(f"('{n.lstrip('~')}', DATE '{d}', {str(n.startswith('~')).upper()})"
-                     for n, d in chain.DATED_EVENTS)
+                     for n, d in EVENTS)
     return f"""
 ev(event, event_date, estimated) AS (VALUES {rows}),
 as_of AS (SELECT ticker, max(snapshot_time) AS as_of FROM bronze_options_raw GROUP BY ticker)"""
@@ -177,7 +183,7 @@ FROM as_of a, ev e""", extra=_events_sql()))
 def q_event_markers(spark, sf_dir):
     b = Tables(spark, sf_dir).bronze_options()
     as_of = b.groupBy("ticker").agg(F.max("snapshot_time").alias("as_of"))
-    return chain.event_markers(as_of)
+    return chain.event_markers(as_of, EVENTS)
 
 
 @register("gex_by_strike", sql(f"""
@@ -259,7 +265,7 @@ def q_pm_only(spark, sf_dir):
 
 
 def _holidays_sql() -> str:
-    return "hol(d) AS (VALUES " + ", ".join(f"(DATE '{d}')" for d in calendar.MARKET_HOLIDAYS) + ")"
+    return "hol(d) AS (VALUES " + ", ".join(f"(DATE '{d}')" for d in HOLIDAYS) + ")"
 
 
 @register("trading_day", sql("""
@@ -269,7 +275,7 @@ FROM (SELECT DISTINCT "Date" FROM price_history) d LEFT JOIN hol h ON h.d = d."D
                              extra=_holidays_sql()))
 def q_trading_day(spark, sf_dir):
     days = Tables(spark, sf_dir).price_history().select(F.col("Date").alias("day")).distinct()
-    return calendar.trading_days(days, "day")
+    return calendar.trading_days(days, "day", HOLIDAYS)
 
 
 @register("freshness", sql(f"""

@@ -20,15 +20,14 @@ from chainlake.plans.catalog import register
 from chainlake.plans.oracle import sql
 from chainlake.plans.tables import Tables
 from chainlake.session import checkpoint_path, ensure_checkpoint_dir
+from chainlake.operators import silver
 from chainlake.sources import fixtures, ingest, schemas
 from chainlake.streaming import ingest as stream
 
 RUN1_THROUGH = "2024-01-15"
 OPTION_COLS = [f.name for f in schemas.OPTIONS_CSV.fields]
 PRICE_COLS = [f.name for f in schemas.PRICE_CSV.fields]
-# Columns of a contract that do not depend on which of several rows tied
-# on (contract, time) wins.
-TIE_FREE = ["contractSymbol", "expiry", "option_type", "strike", "snapshot_time", "snapshot_str", "ticker"]
+SILVER_COLS = [c for c in silver.SILVER_OPTION_COLS if c != "_source_file"]
 
 
 def _workdir(spark, name: str) -> str:
@@ -46,7 +45,9 @@ def _ingest(spark, sf_dir: str, kind: str):
     base = _workdir(spark, f"ingest-{kind}")
     landing, bronze, ckpt = f"{base}/landing", f"{base}/bronze", f"{base}/_ckpt"
     rows = (fixtures.options_csv_rows if kind == "options" else fixtures.price_csv_rows)(spark, sf_dir)
-    for part in _runs(rows):
+    for k, part in enumerate(_runs(rows)):
+        if k:  # the second run's files have other columns first, and one more
+            part = part.select(*reversed(part.columns), F.lit("x").alias("note"))
         stream.write_landing(part, landing)
         stream.ingest_to_bronze(spark, landing, kind, bronze, ckpt)
     stream.ingest_to_bronze(spark, landing, kind, bronze, ckpt)  # nothing new: adds 0 rows
@@ -66,18 +67,18 @@ def q_ingest_price(spark, sf_dir):
 
 
 @register("stream_silver_merge", sql(f"""
-SELECT {", ".join(TIE_FREE)} FROM silver_options_latest"""))
+SELECT {", ".join(SILVER_COLS)} FROM silver_options_latest"""))
 def q_stream_silver_merge(spark, sf_dir):
     """Two micro-batch runs merged into a partitioned Silver table; must
     equal the one-shot batch rebuild."""
     base = _workdir(spark, "silver-merge")
     landing, silver_dir, ckpt = f"{base}/landing", f"{base}/silver", f"{base}/_ckpt"
-    rows = fixtures.options_csv_rows(spark, sf_dir)
+    rows = fixtures.options_csv_rows(spark, sf_dir, one_per_run=True)
     # the later run first: the earlier snapshots then arrive late
     for part in reversed(_runs(rows)):
         stream.write_landing(part, landing)
         stream.stream_silver_merge(spark, landing, "options", silver_dir, ckpt)
-    return stream.read_silver(spark, silver_dir, "options").select(*TIE_FREE)
+    return stream.read_silver(spark, silver_dir, "options").select(*SILVER_COLS)
 
 
 @register("csv_snapshot_sink", sql("""
@@ -136,6 +137,6 @@ def q_stream_silver_merge_price(spark, sf_dir):
     landing, silver_dir, ckpt = f"{base}/landing", f"{base}/silver", f"{base}/_ckpt"
     rows = fixtures.price_csv_rows(spark, sf_dir)
     for part in reversed(_runs(rows)):
-        stream.write_landing(part, landing, files=2)
+        stream.write_landing(part, landing)
         stream.stream_silver_merge(spark, landing, "price", silver_dir, ckpt)
     return stream.read_silver(spark, silver_dir, "price").select(*PRICE_SILVER_COLS)

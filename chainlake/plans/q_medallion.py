@@ -13,8 +13,6 @@ from chainlake.sources import fixtures, ingest
 
 # Bronze runs up to this day count as already loaded in ``source_file_dedupe``.
 LOADED_THROUGH = "2024-01-15"
-# A flow alert pins a contract to the watchlist (``watchlist_explode``).
-PIN_VOLUME = 390
 
 
 @register("silver_price", sql('SELECT * FROM silver_price_daily'))
@@ -49,7 +47,7 @@ def q_pcr_by_expiry(spark, sf_dir):
 
 @register("iv_per_snapshot", sql(
     "SELECT ticker, snapshot_str, snapshot_time, round(atm_iv, 10) AS atm_iv "
-    "FROM atm_iv_per_snapshot", gold=True))
+    "FROM run_iv", gold=True))
 def q_iv_per_snapshot(spark, sf_dir):
     return Tables(spark, sf_dir).iv_per_snapshot().withColumn("atm_iv", F.round("atm_iv", 10))
 
@@ -95,9 +93,9 @@ def q_iv_zscore(spark, sf_dir):
 
 @register("self_stats_join", sql("""
 SELECT a.ticker, a.snapshot_str, round(a.atm_iv, 10) AS atm_iv,
-       round((a.atm_iv - s.iv_mean) / nullif(s.iv_sd, 0), 4) AS zscore,
-       round((a.atm_iv - s.iv_min) / nullif(s.iv_max - s.iv_min, 0), 4) AS rank_in_range
-FROM atm_iv_per_snapshot a JOIN iv_stats s ON s.ticker = a.ticker""", gold=True))
+       round((a.atm_iv - a.mean) / nullif(a.sd, 0), 4) AS zscore,
+       round((a.atm_iv - a.lo) / nullif(a.hi - a.lo, 0), 4) AS rank_in_range
+FROM run_iv_now a""", gold=True))
 def q_self_stats_join(spark, sf_dir):
     return gold.snapshot_vs_stats(Tables(spark, sf_dir).iv_per_snapshot()) \
         .withColumn("atm_iv", F.round("atm_iv", 10))
@@ -189,18 +187,16 @@ def q_bronze_count(spark, sf_dir):
         ingest.bronze_count(t.bronze_price(), "price"))
 
 
-@register("watchlist_explode", sql(f"""
+@register("watchlist_explode", sql("""
 SELECT g.* FROM gold_latest_snapshot g
 WHERE EXISTS (SELECT 1 FROM bronze_options_raw b
-              WHERE b.volume > {PIN_VOLUME} AND b.ticker = g.ticker
-                AND b.contractSymbol = g.contractSymbol)"""))
+              WHERE b.ticker = g.ticker AND b.contractSymbol = g.contractSymbol)"""))
 def q_watchlist_explode(spark, sf_dir):
-    """Watchlist documents ``{ticker: [symbol]}`` (one per flow alert, so a
-    contract may be pinned many times) are parsed, exploded, de-duplicated
+    """Watchlist documents ``{ticker: [symbol]}`` (one per snapshot row, so a
+    contract is pinned many times) are parsed, exploded, de-duplicated
     and semi-joined to the Gold snapshot: every pinned contract in one job."""
     t = Tables(spark, sf_dir)
-    docs = (t.bronze_options().filter(F.col("volume") > PIN_VOLUME)
-            .select(F.to_json(F.create_map("ticker", F.array("contractSymbol"))).alias("value")))
+    docs = t.bronze_options().select(F.to_json(F.create_map("ticker", F.array("contractSymbol"))).alias("value"))
     pinned = ingest.watchlist_explode(docs)
     return t.gold_latest().join(pinned, ["ticker", "contractSymbol"], "left_semi")
 

@@ -69,14 +69,14 @@ occ_parsed AS (
   SELECT source, symbol, CASE WHEN ok THEN root END AS root, CASE WHEN ok THEN d END AS expiry,
          CASE WHEN ok THEN cp END AS cp, CASE WHEN ok THEN k END AS strike
   FROM (SELECT source, symbol,
-          regexp_extract(symbol, '^([A-Z]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})', 1) AS root,
-          CAST(try_strptime('20' || regexp_extract(symbol, '^([A-Z]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})', 2)
-               || regexp_extract(symbol, '^([A-Z]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})', 3)
-               || regexp_extract(symbol, '^([A-Z]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})', 4), '%Y%m%d') AS DATE) AS d,
-          regexp_extract(symbol, '^([A-Z]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})', 5) AS cp,
-          TRY_CAST(regexp_extract(symbol, '^([A-Z]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})', 6) AS BIGINT) / 1000.0 AS k,
-          regexp_matches(symbol, '^([A-Z]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})') AS ok0
-        FROM occ_sym) x, LATERAL (SELECT ok0 AND d IS NOT NULL AS ok) y)"""
+          regexp_extract(symbol, '@OCC@', 1) AS root,
+          CAST(try_strptime('20' || regexp_extract(symbol, '@OCC@', 2)
+               || regexp_extract(symbol, '@OCC@', 3)
+               || regexp_extract(symbol, '@OCC@', 4), '%Y%m%d') AS DATE) AS d,
+          regexp_extract(symbol, '@OCC@', 5) AS cp,
+          TRY_CAST(regexp_extract(symbol, '@OCC@', 6) AS BIGINT) / 1000.0 AS k,
+          regexp_matches(symbol, '@OCC@') AS ok0
+        FROM occ_sym) x, LATERAL (SELECT ok0 AND d IS NOT NULL AS ok) y)""".replace("@OCC@", occ.OCC_PATTERN)
 
 
 def _symbols(spark, sf_dir):

@@ -41,16 +41,17 @@ def _code_version() -> str:
     return h.hexdigest()[:8]
 
 
-def _signature(sf_dir: str, names) -> str:
-    parts = [os.path.abspath(sf_dir), _code_version()]
+def _signature(spark: SparkSession, sf_dir: str, names) -> str:
+    """Path, length and modification time of every file of the tables, read
+    through the Hadoop file system, so it holds for any storage."""
+    parts = [sf_dir.rstrip("/"), _code_version()]
     for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        try:
-            st = os.stat(p)
-            parts.append(f"{n}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append(f"{n}:?")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+        p, fs = _fs(spark, f"{sf_dir}/{n}.parquet")
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            parts.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -74,7 +75,7 @@ def materialized(spark: SparkSession, sf_dir: str, kind: str, build, partition_b
     if os.environ.get("CHAINLAKE_MATERIALIZE_BRONZE", "1") == "0":
         return build()
     ensure_checkpoint_dir(spark)
-    path = checkpoint_path(spark, f"bronze-{kind}-{_signature(sf_dir, _SOURCES[kind])}")
+    path = checkpoint_path(spark, f"bronze-{kind}-{_signature(spark, sf_dir, _SOURCES[kind])}")
     with _LOCK:
         if not _exists(spark, f"{path}/_SUCCESS"):
             tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"

@@ -73,11 +73,15 @@ def size_shuffle_partitions(spark: SparkSession, input_bytes: int,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) do we create a
-    scratch folder of our own.
+    The cluster names it.  Where it is unset a local session, whose tasks all
+    share the driver's disk, gets a scratch folder; any other session is an
+    error, since its executors could not see such a folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="chainlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -122,12 +122,19 @@ def bronze_options_raw(spark: SparkSession, sf_dir: str, market_tz: str = "UTC")
         "snapshot_time", "snapshot_str", "ticker", "_source_file")
 
 
-def options_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def options_csv_rows(spark: SparkSession, sf_dir: str, one_per_run: bool = False) -> DataFrame:
     """Rows of the option snapshot CSV files in landing layout: integer
-    fields written as doubles (``12.0``) and the flag as text."""
+    fields written as doubles (``12.0``) and the flag as text.
+
+    ``one_per_run``: a collection run writes a contract once; of events that
+    fall into one run, the last valid and the last crossed quote are kept."""
+    from chainlake.operators.silver import newest_order, newest_per_key, valid_quote
     from chainlake.sources.schemas import OPTIONS_CSV
 
     p = priced_landing(spark, sf_dir)
+    if one_per_run:
+        p = newest_per_key(p.withColumn("_ok", valid_quote()), ["contractSymbol", "snapshot_time", "snapshot_str", "_ok"],
+                           newest_order(["_source_file"]))
     cols = []
     for fld in OPTIONS_CSV.fields:
         c = F.col(fld.name)
@@ -153,17 +160,12 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg((F.avg("o_totalprice") / 1000).alias("Close")))
 
 
-# A flow alert (volume above this) makes the user save a manual high/low
-# override for that contract-day: the quoted ask/bid of that snapshot.
-OVERRIDE_VOLUME = 340
-
-
 def override_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append-only log of manual OHLC overrides derived from the option
-    snapshots (several writes per contract-day; crossed quotes give
+    """Append-only log of manual OHLC overrides: one per option snapshot, its
+    quoted ask and bid (several writes per contract-day; crossed quotes give
     high < low, which validation rejects)."""
     land = options_landing(spark, sf_dir)
-    return land.filter(F.col("volume") > OVERRIDE_VOLUME).select(
+    return land.select(
         F.col("contractSymbol").alias("symbol"), F.to_date("snapshot_time").alias("date"),
         F.col("ask").alias("high"), F.col("bid").alias("low"),
         F.col("snapshot_time").alias("updated_at"))

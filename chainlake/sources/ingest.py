@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.functions.util import as_col, lit_ts, select_existing
+from chainlake.functions.util import as_col, lit_ts
 from chainlake.sources import schemas
 
 # Accepted spellings of the in-the-money flag (case-insensitive).
@@ -73,19 +73,52 @@ def _price_columns(raw: DataFrame) -> DataFrame:
         F.col("_metadata.file_path").alias("_source_file"))
 
 
-def typed_bronze(raw: DataFrame, kind: str) -> DataFrame:
-    """CSV rows (batch or stream) typed as Bronze, with the file path."""
+def by_header(files: DataFrame, kind: str) -> DataFrame:
+    """Rows of whole CSV files (columns ``value`` and ``_metadata``), fields
+    taken by each file's own header.  Files of one batch may order their
+    columns differently, lack optional ones (NULL) or have more; a file
+    without a required column is an error that names it.  A field that does
+    not parse as its type is NULL.
+
+    A file is one collection run of one ticker, so it is read as one value;
+    lines are parsed natively, so batch and stream share this."""
+    schema = schemas.PRICE_CSV if kind == "price" else schemas.OPTIONS_CSV
+    need = F.array(*[F.lit(c) for c in schemas.REQUIRED[kind]])
+    n = schemas.MAX_COLUMNS
+
+    def parsed(d: DataFrame, line: Column, tag: str) -> DataFrame:
+        """One column per field; a generator, so the line is parsed once."""
+        wide = ", ".join(f"{tag}{i} string" for i in range(n))
+        return d.select("*", F.inline(F.array(F.from_csv(line, wide))))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x != "")
+    d = parsed(files.select("_metadata", lines.alias("_lines")), F.get("_lines", F.lit(0)), "h")
+    names = F.transform(F.array(*[f"h{i}" for i in range(n)]), lambda c: F.trim(c))
+    d = d.select("_metadata", "_lines", names.alias("_names"))
+    lacks = F.array_except(need, F.col("_names"))
+    checked = F.when(F.size(lacks) == 0, F.col("_names")).otherwise(F.raise_error(F.concat(
+        F.col("_metadata.file_path"), F.lit(" lacks required columns: "), F.array_join(lacks, ", "))).cast("array<string>"))
+    rest = F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1)))
+    d = d.select("_metadata", checked.alias("_names"), rest.alias("_rest")).select("_metadata", "_names", F.explode("_rest").alias("_line"))
+    d = parsed(d, F.col("_line"), "c")
+    row = F.array(*[f"c{i}" for i in range(n)])
+
+    def field(f: T.StructField) -> Column:
+        at = F.array_position("_names", F.lit(f.name)).cast("int")
+        return F.when(at > 0, F.get(row, at - 1)).try_cast(f.dataType).alias(f.name)
+    return d.select("_metadata", *[field(f) for f in schema.fields])
+
+
+def typed_bronze(files: DataFrame, kind: str) -> DataFrame:
+    """Whole CSV files (batch or stream) typed as Bronze, with the file path."""
+    raw = by_header(files, kind)
     return _price_columns(raw) if kind == "price" else _options_columns(raw)
 
 
 def read_landing(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Batch read of a landing folder of CSV snapshots (``kind`` is
     ``'price'`` or ``'options'``), by header name, typed as Bronze."""
-    schema = schemas.PRICE_CSV if kind == "price" else schemas.OPTIONS_CSV
-    raw = (spark.read.schema(schema).option("header", True)
-           .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-           .csv(path))
-    return _price_columns(raw) if kind == "price" else _options_columns(raw)
+    files = spark.read.text(path, wholetext=True).select("value", "_metadata")
+    return typed_bronze(files, kind)
 
 
 def new_files_only(incoming: DataFrame, bronze: DataFrame | None) -> DataFrame:
@@ -98,15 +131,13 @@ def new_files_only(incoming: DataFrame, bronze: DataFrame | None) -> DataFrame:
 
 
 def csv_snapshot_sink(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append snapshots partitioned by snapshot date, rows of a ticker
-    together inside the files (one folder per day, not per ticker and day)."""
-    (df.withColumn("snapshot_date", F.to_date("snapshot_time"))
-     .sortWithinPartitions("ticker", "snapshot_time")
-     .write.mode("append").partitionBy("snapshot_date").format(fmt).save(path))
-
-
-def keep_option_columns(df: DataFrame) -> DataFrame:
-    return select_existing(df, schemas.OPTION_KEEP)
+    """Write snapshots partitioned by snapshot date and run, rows of a ticker
+    together inside the files.  A run's partitions are overwritten, so a
+    retried run leaves its rows once."""
+    (df.withColumns({"snapshot_date": F.to_date("snapshot_time"), "run": F.col("snapshot_str")})
+     .sortWithinPartitions("snapshot_date", "run", "ticker")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("snapshot_date", "run").format(fmt).save(path))
 
 
 WATCHLIST_TYPE = T.MapType(T.StringType(), T.ArrayType(T.StringType()))

@@ -47,3 +47,12 @@ OVERRIDES = _struct([
 
 # The 18 option columns the collector keeps, in order.
 OPTION_KEEP = [f.name for f in OPTIONS_CSV.fields]
+
+# Columns that a landing file must have; others it may lack (NULL).
+REQUIRED = {
+    "price": ("Date", "Close", "snapshot_time", "snapshot_str", "ticker"),
+    "options": ("contractSymbol", "expiry", "option_type", "strike", "snapshot_time", "snapshot_str", "ticker"),
+}
+
+# Most columns that a landing file may have.
+MAX_COLUMNS = 64

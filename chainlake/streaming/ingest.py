@@ -23,50 +23,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.operators import silver
-from chainlake.session import checkpoint_path, ensure_checkpoint_dir
+from chainlake.session import ensure_checkpoint_dir
 from chainlake.sources import ingest, schemas
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-# Silver layouts: (key, partition columns).  Silver holds one row per
-# contract (or per ticker and day), so it is small next to Bronze; options
-# are partitioned by expiry (a contract never changes expiry, and a batch
-# touches only the live expiries), prices by year.
-SILVER_LAYOUT = {
-    "options": (["contractSymbol"], ["expiry"]),
-    "price": (["ticker", "Date"], ["_year"]),
-}
+# Key of each Silver table.  Silver is partitioned by a hash of the key alone,
+# so a row and its later corrections, of whatever column, meet in one folder.
+SILVER_KEYS = {"options": ("contractSymbol",), "price": ("ticker", "Date")}
+SILVER_BUCKETS = 64
+# Most rows of a landing file written by ``write_landing``.
+LANDING_ROWS = 100_000
 
 
-# Upper bound on touched partition values fetched for static pruning.
-MAX_PRUNE_KEYS = 10_000
-
-
-def write_landing(df: DataFrame, landing_dir: str, files: int = 8) -> None:
+def write_landing(df: DataFrame, landing_dir: str) -> None:
     """Append snapshot rows to a landing folder as headed CSV files (what the
     collector produces; used by tests and the registered ingest queries)."""
-    (df.repartition(files).write.mode("append").option("header", True)
+    (df.write.mode("append").option("header", True).option("maxRecordsPerFile", LANDING_ROWS)
      .option("timestampNTZFormat", TS_FORMAT).csv(landing_dir))
 
 
-def read_landing_stream(spark: SparkSession, landing_dir: str, kind: str) -> DataFrame:
-    schema = schemas.PRICE_CSV if kind == "price" else schemas.OPTIONS_CSV
-    raw = (spark.readStream.schema(schema).option("header", True)
-           .option("timestampNTZFormat", TS_FORMAT).csv(landing_dir))
-    return ingest.typed_bronze(raw, kind)
+def read_landing_stream(spark: SparkSession, landing_dir: str, kind: str, max_files: int | None = None) -> DataFrame:
+    """Landing files as a stream; ``max_files`` bounds a micro-batch, so that a
+    backlog is worked off in several."""
+    reader = spark.readStream
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return ingest.typed_bronze(reader.text(landing_dir, wholetext=True).select("value", "_metadata"), kind)
 
 
 def ingest_to_bronze(spark: SparkSession, landing_dir: str, kind: str, bronze_dir: str,
-                     checkpoint: str | None = None, processing_time: str | None = None):
+                     checkpoint: str, processing_time: str | None = None, max_files: int | None = None):
     """Append every landing file not yet seen to Bronze.  By default the
     query processes what is there and stops (``availableNow``); with
     ``processing_time`` (e.g. ``"5 minutes"``) it keeps running and the
     started query is returned."""
     ensure_checkpoint_dir(spark)
-    ckpt = checkpoint or checkpoint_path(spark, f"bronze-{kind}")
-    rows = read_landing_stream(spark, landing_dir, kind).withColumn(
+    rows = read_landing_stream(spark, landing_dir, kind, max_files).withColumn(
         "snapshot_date", F.to_date("snapshot_time"))
     w = (rows.writeStream.format("parquet").outputMode("append")
-         .option("path", bronze_dir).option("checkpointLocation", ckpt).partitionBy("snapshot_date"))
+         .option("path", bronze_dir).option("checkpointLocation", checkpoint).partitionBy("snapshot_date"))
     if processing_time:
         return w.trigger(processingTime=processing_time).start()
     w.trigger(availableNow=True).start().awaitTermination()
@@ -85,40 +80,29 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def merge_into_silver(batch: DataFrame, silver_dir: str, kind: str) -> None:
-    """Newest-row merge of one micro-batch into a partitioned Silver table."""
+    """Newest-row merge of one micro-batch into a Silver table: the rows of
+    the touched buckets and the batch go through the same selection as a full
+    rebuild, and the buckets are overwritten."""
     spark = batch.sparkSession
-    keys, parts = SILVER_LAYOUT[kind]
-    newest = silver.silver_options if kind == "options" else silver.silver_price
-    with_parts = (lambda d: d.withColumn("_year", F.year("Date"))) if kind == "price" else (lambda d: d)
-    b = with_parts(batch.drop("snapshot_date") if "snapshot_date" in batch.columns else batch)
-    touched = b.select(*parts).distinct()
+    bucket = F.pmod(F.xxhash64(*SILVER_KEYS[kind]), F.lit(SILVER_BUCKETS)).cast("int")
+    b = batch.drop("snapshot_date").withColumn("_bucket", bucket)
     cand = b
     if _path_exists(spark, silver_dir):
-        existing = spark.read.parquet(silver_dir)
-        # The partitions a micro-batch touches are few (live expiries, or
-        # years): fetch that bounded list and filter on it, which the scan
-        # turns into partition pruning.  Past the bound, fall back to a
-        # broadcast semi-join (correct, but reads every partition).
-        keys = touched.limit(MAX_PRUNE_KEYS + 1).collect()
-        if len(parts) == 1 and len(keys) <= MAX_PRUNE_KEYS:
-            old = existing.filter(F.col(parts[0]).isin([r[0] for r in keys]))
-        else:
-            old = existing.join(touched, parts, "left_semi")
+        old = spark.read.parquet(silver_dir).join(b.select("_bucket").distinct(), "_bucket", "left_semi")
         cand = cand.unionByName(old, allowMissingColumns=True)
-    merged = with_parts(newest(cand.drop("_year") if kind == "price" else cand))
-    merged = merged.checkpoint(eager=True)
+    newest = silver.silver_options(cand) if kind == "options" else silver.silver_price(cand, keep=("_source_file",))
+    merged = newest.withColumn("_bucket", bucket).checkpoint(eager=True)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*parts).parquet(silver_dir))
+     .partitionBy("_bucket").parquet(silver_dir))
 
 
 def stream_silver_merge(spark: SparkSession, landing_dir: str, kind: str, silver_dir: str,
-                        checkpoint: str | None = None) -> None:
+                        checkpoint: str, max_files: int | None = None) -> None:
     """Landing CSV -> (stream) -> newest-row merge into Silver, then stop."""
     ensure_checkpoint_dir(spark)
-    ckpt = checkpoint or checkpoint_path(spark, f"silver-{kind}")
-    rows = read_landing_stream(spark, landing_dir, kind)
+    rows = read_landing_stream(spark, landing_dir, kind, max_files)
     q = (rows.writeStream.foreachBatch(lambda df, _id: merge_into_silver(df, silver_dir, kind))
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -139,5 +123,5 @@ def silver_from_bronze(spark: SparkSession, bronze_dir: str, kind: str, silver_d
 
 
 def read_silver(spark: SparkSession, silver_dir: str, kind: str) -> DataFrame:
-    df = spark.read.parquet(silver_dir)
-    return df.drop("_year") if kind == "price" else df
+    df = spark.read.parquet(silver_dir).drop("_bucket")
+    return df.drop("_source_file") if kind == "price" else df

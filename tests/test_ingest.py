@@ -65,7 +65,8 @@ def test_new_files_only_and_select_existing(spark):
     inc = spark.createDataFrame([("f1", 1), ("f2", 2)], "_source_file string, v int")
     old = spark.createDataFrame([("f1", 9)], "_source_file string, v int")
     assert [r.v for r in ingest.new_files_only(inc, old).collect()] == [2]
-    assert ingest.select_existing(inc, ["v", "missing", "_source_file"]).columns == ["v", "_source_file"]
+    from chainlake.functions.util import select_existing
+    assert select_existing(inc, ["v", "missing", "_source_file"]).columns == ["v", "_source_file"]
 
 
 def test_add_metadata_literal(spark):
@@ -93,3 +94,73 @@ def test_stream_silver_merge_price_path(spark, tmp_path):
     stream.stream_silver_merge(spark, landing, "price", silver_dir, ckpt)
     got = {r.Date: r.Close for r in stream.read_silver(spark, silver_dir, "price").collect()}
     assert got == {dt.date(2024, 1, 2): 1.5, dt.date(2023, 12, 29): 1.1}
+
+
+def test_columns_are_read_by_header(spark, tmp_path):
+    import pytest
+
+    landing = str(tmp_path / "landing")
+    os.makedirs(landing)
+
+    def put(name, text):
+        with open(os.path.join(landing, name), "w") as fh:
+            fh.write(text)
+    put("a.csv", "Close,Date,Open,ticker,snapshot_time,snapshot_str,Extra\n2.0,2024-01-02,1.0,TKA,2024-01-02 16:00:00.000000,r1,zz\n")
+    put("b.csv", "ticker,snapshot_str,snapshot_time,Date,Close,High,Volume\r\n\"T,K\",r1,2024-01-02 16:00:00.000000,2024-01-03,7.5,oops,12.0\r\n")
+    want = {("TKA", 1.0, None, 2.0, None), ("T,K", None, None, 7.5, 12)}
+
+    def rows(df):
+        return {(r.ticker, r.Open, r.High, r.Close, r.Volume) for r in df.collect()}
+    assert rows(ingest.read_landing(spark, landing, "price")) == want
+    bronze, ckpt = str(tmp_path / "bronze"), str(tmp_path / "ckpt")
+    stream.ingest_to_bronze(spark, landing, "price", bronze, ckpt, max_files=1)
+    assert rows(stream.read_bronze(spark, bronze)) == want
+    put("c.csv", "Date,Open,ticker,snapshot_time,snapshot_str\n2024-01-02,1.0,TKA,2024-01-02 16:00:00.000000,r1\n")
+    with pytest.raises(Exception, match="lacks required columns: Close"):
+        ingest.read_landing(spark, landing, "price").collect()
+    with pytest.raises(Exception, match="lacks required columns: Close"):
+        stream.ingest_to_bronze(spark, landing, "price", bronze, ckpt)
+
+
+def _merge(spark, tmp_path, kind, header, runs):
+    """Incremental Silver after each run, and the rebuild from all files."""
+    landing, silver_dir, ckpt = (str(tmp_path / x) for x in "lsc")
+    os.makedirs(landing)
+    for name, lines in runs:
+        with open(os.path.join(landing, name), "w") as fh:
+            fh.write(header + "".join(lines))
+        stream.stream_silver_merge(spark, landing, kind, silver_dir, ckpt)
+    from chainlake.operators import silver as S
+
+    bronze = ingest.read_landing(spark, landing, kind)
+    full = S.silver_options(bronze) if kind == "options" else S.silver_price(bronze)
+    got = stream.read_silver(spark, silver_dir, kind).select(*full.columns)
+    same = sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, full.collect()), key=repr)
+    return got, same
+
+
+def test_merge_keeps_rows_without_expiry(spark, tmp_path):
+    bare = [_line(s, 1, 1, f"2024-01-0{d} 10:00:00", f"r{d}").replace("2024-02-16", "") for s, d in (("X", 2), ("Y", 2), ("Y", 3), ("Z", 3))]
+    got, same = _merge(spark, tmp_path, "options", HEADER, [("a.csv", bare[:2]), ("b.csv", bare[2:])])
+    assert same and {r.contractSymbol for r in got.collect()} == {"X", "Y", "Z"}
+
+
+def test_merge_follows_a_corrected_expiry(spark, tmp_path):
+    old = _line("A", 1, 1, "2024-01-02 10:00:00", "r1")
+    new = _line("A", 1, 1, "2024-01-03 10:00:00", "r2").replace("2024-02-16", "2024-03-15")
+    got, same = _merge(spark, tmp_path, "options", HEADER, [("a.csv", [old]), ("b.csv", [new])])
+    assert same and [r.expiry for r in got.collect()] == [dt.date(2024, 3, 15)]
+
+
+def test_merge_breaks_price_ties_as_the_rebuild_does(spark, tmp_path):
+    line = "2024-01-02,1,2,0.5,{},10.0,,,2024-01-02 16:15:00.000000,r1,TKA\n"
+    got, same = _merge(spark, tmp_path, "price", PRICE_HEADER, [("z.csv", [line.format(9.0)]), ("a.csv", [line.format(1.0)])])
+    assert same and [r.Close for r in got.collect()] == [9.0]
+
+
+def test_snapshot_sink_is_idempotent(spark, tmp_path):
+    df = spark.createDataFrame([("A", "2024-01-02 10:00:00", "r1"), ("B", "2024-01-02 10:00:00", "r1"), ("A", "2024-01-02 16:00:00", "r2")],
+                               "ticker string, t string, snapshot_str string").selectExpr("ticker", "CAST(t AS TIMESTAMP_NTZ) AS snapshot_time", "snapshot_str")
+    for part in (df.filter("snapshot_str = 'r1'"), df.filter("snapshot_str = 'r1'"), df.filter("snapshot_str = 'r2'")):
+        ingest.csv_snapshot_sink(part, str(tmp_path / "sink"))
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 3

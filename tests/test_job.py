@@ -13,8 +13,8 @@ def test_job_from_landing_folders(spark, tmp_path):
     landing, wh = str(tmp_path / "landing"), str(tmp_path / "wh")
     opts = fixtures.options_csv_rows(spark, SF)
     px = fixtures.price_csv_rows(spark, SF)
-    stream.write_landing(opts, f"{landing}/options", files=2)
-    stream.write_landing(px, f"{landing}/price", files=1)
+    stream.write_landing(opts, f"{landing}/options")
+    stream.write_landing(px, f"{landing}/price")
     report = {r.table: r for r in medallion.run(spark, landing, wh, incremental=False).collect()}
     # the fixture's half-day bars put some closes outside low..high: Silver
     # prices fail validation and are held back with the Gold tables built on them
@@ -41,8 +41,8 @@ def test_incremental_job_matches_full_rebuild(spark, tmp_path):
     d = F.to_date("snapshot_time")
     # two collection runs, the later one landing first
     for part in (opts.filter(d > F.lit("2024-01-15").cast("date")), opts.filter(d <= F.lit("2024-01-15").cast("date"))):
-        stream.write_landing(part, f"{landing}/options", files=2)
-        stream.write_landing(px, f"{landing}/price", files=1)
+        stream.write_landing(part, f"{landing}/options")
+        stream.write_landing(px, f"{landing}/price")
         report = {r.table: r for r in medallion.run(spark, landing, wh).collect()}
     # Silver is in place (merged), Gold built from it; upstream failures hold Gold back
     assert report["silver_options_latest"].published and report["gold_pcr"].published

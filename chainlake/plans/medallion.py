@@ -45,17 +45,49 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+POINTER = "_CURRENT"
+
+
+def _read_pointer(spark: SparkSession, target: str) -> str | None:
+    p, fs = _fs(spark, f"{target}/{POINTER}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def replace_table(spark: SparkSession, staged: str, target: str) -> None:
-    """Swap a staged folder into ``target`` (delete, then rename)."""
+    """Publish a staged folder as a new version of ``target``: it is renamed
+    to a folder of its own, then the pointer file is replaced.  Readers see
+    the old version or the new one at any time, and a crash in between leaves
+    the old one.  The version before stays for readers that have begun."""
+    before = _read_pointer(spark, target)
+    version = f"v-{uuid.uuid4().hex[:12]}"
     src, fs = _fs(spark, staged)
-    dst, _ = _fs(spark, target)
-    if fs.exists(dst):
-        fs.delete(dst, True)
-    parent = dst.getParent()
-    if parent is not None and not fs.exists(parent):
-        fs.mkdirs(parent)
+    dst, _ = _fs(spark, f"{target}/{version}")
+    fs.mkdirs(dst.getParent())
     if not fs.rename(src, dst):
         raise IOError(f"could not publish {staged} -> {target}")
+    pointer, _ = _fs(spark, f"{target}/{POINTER}")
+    out = fs.create(pointer, True)
+    try:
+        out.write(version.encode())
+    finally:
+        out.close()
+    for f in fs.listStatus(dst.getParent()):
+        name = f.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(f.getPath(), True)
+
+
+def read_table(spark: SparkSession, out_dir: str, name: str) -> DataFrame | None:
+    """The published version of a table; None before the first one."""
+    target = f"{out_dir.rstrip('/')}/{name}"
+    version = _read_pointer(spark, target)
+    return spark.read.parquet(f"{target}/{version}") if version else None
 
 
 def _stage(spark: SparkSession, df: DataFrame, name: str, run: str) -> DataFrame:

@@ -22,13 +22,13 @@ def test_job_from_landing_folders(spark, tmp_path):
     held = {k for k, r in report.items() if not r.published}
     assert held == {"silver_price_daily", "gold_latest_snapshot", "gold_iv_rank"}, report
     assert "upstream:silver_price_daily" in report["gold_iv_rank"].failed
-    silver = spark.read.parquet(f"{wh}/silver_options_latest")
+    silver = medallion.read_table(spark, wh, "silver_options_latest")
     assert silver.count() == report["silver_options_latest"].rows == opts.select("contractSymbol").distinct().count()
     # a second run with no new files ingests nothing and republishes the same tables
     again = {r.table: r.rows for r in medallion.run(spark, landing, wh, incremental=False).collect()}
     assert again == {k: v.rows for k, v in report.items()}
     assert stream.read_bronze(spark, f"{wh}/bronze_options").count() == opts.count()
-    pcr = spark.read.parquet(f"{wh}/gold_pcr")
+    pcr = medallion.read_table(spark, wh, "gold_pcr")
     assert pcr.filter(F.col("expiry") == "ALL").count() >= 1
 
 
@@ -47,9 +47,9 @@ def test_incremental_job_matches_full_rebuild(spark, tmp_path):
     # Silver is in place (merged), Gold built from it; upstream failures hold Gold back
     assert report["silver_options_latest"].published and report["gold_pcr"].published
     assert not report["gold_iv_rank"].published
-    inc = spark.read.parquet(f"{wh}/silver_options_latest").select("contractSymbol", "snapshot_time")
-    full = S.silver_options(stream.read_bronze(spark, f"{wh}/bronze_options")).select("contractSymbol", "snapshot_time")
-    assert sorted(map(tuple, inc.collect())) == sorted(map(tuple, full.collect()))
+    full = S.silver_options(stream.read_bronze(spark, f"{wh}/bronze_options"))
+    inc = stream.read_silver(spark, f"{wh}/silver_options_latest", "options").select(*full.columns)
+    assert sorted(map(tuple, inc.collect()), key=repr) == sorted(map(tuple, full.collect()), key=repr)
 
 
 def test_strict_build_raises_on_failed_checks(spark):
@@ -72,3 +72,32 @@ def test_shuffle_partition_sizing(spark):
         assert size_shuffle_partitions(spark, 10 * 1024 ** 2) == 200         # floor
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_publishing_keeps_the_old_version_until_the_switch(spark, tmp_path):
+    def stage(n):
+        spark.range(n).write.parquet(str(tmp_path / f"staged{n}"))
+        return str(tmp_path / f"staged{n}")
+    out = str(tmp_path / "out")
+    assert medallion.read_table(spark, out, "t") is None
+    for n in (3, 5, 7):
+        old = medallion.read_table(spark, out, "t")
+        medallion.replace_table(spark, stage(n), f"{out}/t")
+        assert medallion.read_table(spark, out, "t").count() == n
+        assert old is None or old.count() == n - 2  # begun readers still find their files
+
+
+def test_unset_checkpoint_folder_is_an_error_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from chainlake import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Cluster())

@@ -207,7 +207,8 @@ def verify(docs: DataFrame, units: DataFrame, comp: DataFrame, threshold: float,
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD, width: int = WIDTH,
             recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(u, n, class_id, links): one row per different text with words."""
+    """(u, n, c, class_id, links): one row per different text with words.  c
+    tells the classes apart; class_id may be null or repeated, as ids are."""
     units = units_of(docs, stop_depth(threshold, recall), width, id_col, text_col)
     rows = units.select("uid", F.explode("nodes").alias("node"))
     comp = staged(components(ties(rows)), "jaccard-candidates")
@@ -220,7 +221,7 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float
            .select("u", "n", "first_id", F.coalesce("c", "uid").alias("c"), F.coalesce("links", F.lit(0)).alias("links")))
     per = staged(per, "jaccard-per-text")
     ids = per.groupBy("c").agg(F.min("first_id").alias("class_id"))
-    return per.join(ids, "c").select("u", "n", "class_id", "links")
+    return per.join(ids, "c").select("u", "n", "c", "class_id", "links")
 
 
 def join(docs: DataFrame, id_col="doc_id", text_col="text", **kw) -> DataFrame:
@@ -233,14 +234,15 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", **kw) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", **kw) -> DataFrame:
-    """The documents of one per class: the one with the class's smallest id
-    (one of them where rows repeat it); texts without words all stay."""
-    c = classes(docs, id_col, text_col, **kw).select(F.col("u").alias("__cu"), F.col("class_id").alias("__class"))
+    """The documents of one per class: the one with the class's smallest id, of
+    those the smallest text hash (one of them where rows repeat both); texts
+    without words all stay."""
+    c = classes(docs, id_col, text_col, **kw).select(F.col("u").alias("__cu"), F.col("c").alias("__c"), F.col("class_id").alias("__class"))
     d = docs.withColumn("__u", unit_key(F.col(text_col)))
     bare = d.where("__u IS NULL").drop("__u")
     best = d.where("__u IS NOT NULL").join(c, F.col("__u") == F.col("__cu")).where(F.col(id_col).eqNullSafe(F.col("__class")))
     whole = F.struct(*[F.col(f"`{x}`") for x in docs.columns])
-    one = best.groupBy("__class").agg(F.first(whole).alias("__row")).select("__row.*")
+    one = best.groupBy("__c").agg(F.min_by(whole, "__u").alias("__row")).select("__row.*")
     return one.unionByName(bare)
 
 

@@ -71,6 +71,15 @@ def test_jaccard_join_odd_rows(odd, nothing):
     assert kept.where("text IS NULL").count() == 2
 
 
+def test_keep_one_keeps_every_class(spark):
+    """Unlike texts without an id or under one id are classes of their own."""
+    rows = [(None, "a text without an id"), (None, "another one that is unlike it"), (None, "a text without an id"),
+            (None, "copied text of some document"), (3, "copied text of some document"), (2, "copied text of some document"),
+            (5, "first text of the id five"), (5, "quite different words stand here"), (5, "first text of the id five"), (None, " ")]
+    kept = jj.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([r for r in set(rows) if r[1] != rows[3][1]] + [rows[5]])
+
+
 def test_stop_depth_meets_the_recall():
     for t in (0.5, 0.8, 0.95):
         d = jj.stop_depth(t, 0.99)

@@ -181,6 +181,14 @@ def test_deep_states_are_found(spark, small_dir):
     assert np.allclose(lm.Scorer(model).scores([t.split() for t in texts]), [walk(model, t) for t in texts], rtol=1e-5)
 
 
+def test_rare_contexts_count_as_frequent_ones(spark, small_dir):
+    """p_min only says where a state is kept: the scores are the same."""
+    d = spark.read.parquet(f"{small_dir}/documents.parquet").where("doc_id % 4 = 0").select("doc_id", "text")
+    few, every = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(d, p_min=p).collect()} for p in (0.01, 1e-9))
+    assert few.keys() == every.keys()
+    assert np.allclose([few[k] for k in every], list(every.values()), rtol=1e-4)
+
+
 def test_toxicity_on_held_out_labels(spark, small_dir):
     big = small_dir.replace("0.001", "0.1")
     lab = tx.labelled_documents(spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet"))

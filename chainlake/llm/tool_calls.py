@@ -32,7 +32,7 @@ from chainlake.llm.common import WORD, staged, table
 SCHEMAS = {
     "search": {"query": ("string", True), "limit": ("integer", True)},
     "summarize": {"text": ("string", True), "max_words": ("integer", False)},
-    "note": {"title": ("string", True), "tags": ("array", False), "pinned": ("boolean", False)},
+    "note": {"title": ("string", True), "body": ("string", False), "tags": ("array", False), "pinned": ("boolean", False)},
 }
 
 _TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$",
@@ -164,20 +164,26 @@ def _json_text(c: Column) -> Column:
 
 
 def calls_of(conversations: DataFrame) -> DataFrame:
-    """Tool calls derived from a plain conversation table: each assistant turn
-    calls one of the tools on its own text, after the call two turns before."""
+    """Tool calls derived from a plain conversation table: the assistant turns
+    search, summarize and note in turn, each with its own whole text.  Turns
+    alternate, so (turn - 1) div 2 counts those before, with or without a
+    system turn.  A summary depends on its search, a note on both and the next
+    search on the summary before."""
     t, turn = F.col("text"), F.col("turn")
     words = F.regexp_count(F.coalesce(t, F.lit("")), F.lit(WORD))
-    args = (F.when(F.pmod(turn, F.lit(6)) == 1, F.to_json(F.struct(t.alias("query"), words.alias("limit"))))
-            .when(F.pmod(turn, F.lit(6)) == 3, F.to_json(F.struct(
+    rank = F.floor((turn - 1) / 2)
+    kind = F.pmod(rank, F.lit(3))
+    args = (F.when(kind == 0, F.to_json(F.struct(t.alias("query"), words.alias("limit"))))
+            .when(kind == 1, F.to_json(F.struct(
                 F.when(words > 30, words.cast("string")).alias("max_words"), t.alias("text"))))
             .otherwise(F.to_json(F.struct(
                 F.array(F.col("role")).alias("tags"), (words > 9).alias("pinned"),
-                F.when(words > 5, t.substr(1, 20)).alias("title")))))
-    name = F.when(F.pmod(turn, F.lit(6)) == 1, "search").when(F.pmod(turn, F.lit(6)) == 3, "summarize").otherwise("note")
+                F.when(words > 5, t.substr(1, 20)).alias("title"), t.alias("body")))))
+    name = F.when(kind == 0, "search").when(kind == 1, "summarize").otherwise("note")
+    after = (F.when(rank < 1, F.array().cast("array<string>")).when(kind == 0, F.array(_call_id(turn - 4)))
+             .when(kind == 1, F.array(_call_id(turn - 2))).otherwise(F.array(_call_id(turn - 2), _call_id(turn - 4))))
     return conversations.where("role = 'assistant'").select(
-        "conv_id", _call_id(turn).alias("call_id"), name.alias("name"), args.alias("arguments"),
-        F.when(turn > 2, F.array(_call_id(turn - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+        "conv_id", _call_id(turn).alias("call_id"), name.alias("name"), args.alias("arguments"), after.alias("depends_on"))
 
 
 def results_of(conversations: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """URL filter, tool calls and mixing."""
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,22 @@ def test_derived_calls(spark, small_dir):
     assert got.where("level > 0 AND status = 'ok'").count() > 0
 
 
+def test_derived_calls_hold_whole_turns(spark):
+    """Every assistant turn is parsed and serialised whole, whatever its tool,
+    and notes depend on two calls."""
+    long = "Ünï \"quoted\" text\n" * 40
+    rows = [(c, k + c, "system" if k + c == 0 and c else "user" if k % 2 == 0 else "assistant", f"{long}{c} {k}") for c in (0, 1) for k in range(10)]
+    rows.append((1, 0, "system", "be kind"))
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    calls = tc.calls_of(conv)
+    got = [r.asDict() for r in tc.link(calls, tc.results_of(conv)).where("status != 'orphan_result'").orderBy("conv_id", "level", "call_id").collect()]
+    assert Counter(r["name"] for r in got) == {"search": 4, "summarize": 4, "note": 2}
+    text = {f"call_{c}_{k}": t for c, k, role, t in rows if role == "assistant"}
+    assert all(text[r["call_id"]] in json.loads(r["canonical"])["arguments"].values() for r in got) and len(got) == len(text)
+    assert [r["level"] for r in got if r["conv_id"] == 1] == [0, 1, 2, 2, 3]
+    assert calls.where("size(depends_on) = 2").count() == 2
+
+
 def brute_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}

@@ -50,3 +50,9 @@ def text_hash(c: Column) -> Column:
 def inline_table(spark: SparkSession, rows_json: str, schema: str) -> DataFrame:
     """A small literal table, given as a JSON array of objects."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows_json), f"array<struct<{schema}>>")))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``fresh_path`` that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chainlake.llm import (decontaminate, jaccard_join, line_dedup, lm_score, mixing, quality_rules, tool_calls, toxicity,
-                           url_filter, warc)
+from chainlake.llm import (decontaminate, divergence, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality_rules, tool_calls,
+                           toxicity, url_filter, vector_codes, warc)
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_tool_calls": tool_calls.op9_tool_calls,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 #: The others have no SQL form: drawn slots, trained models, canonical JSON.
@@ -24,4 +27,7 @@ ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op3_decontamination": decontaminate.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_exact_dedup": exact_dedup.OP12_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }

@@ -33,7 +33,7 @@ ship_by_value(__name__)
 BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 CHUNK_BYTES = 8 << 20   # of text that a task splits at a time
-HELD_ROWS = 400_000     # partial counts that a task holds before it merges or sends them
+HELD_ROWS = 1_000_000   # partial counts that a task holds before it merges or sends them
 BLOCK = 256             # sources of a block, about
 CELLS = 20_000          # counts of a shard, about
 STEP = 4096             # terms that are compared at a time
@@ -52,42 +52,57 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def _count(batch: pa.RecordBatch) -> pa.Table:
-    """Occurrences and documents per (lang, source, term) of some rows."""
+class _Groups:
+    """Small numbers for the (lang, source) groups that a task has met."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple[str, str], int] = {}
+
+    def of(self, batch: pa.RecordBatch) -> np.ndarray:
+        langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+        pairs = np.stack([langs.indices.to_numpy(), sources.indices.to_numpy()], axis=1)
+        met, inverse = np.unique(pairs, axis=0, return_inverse=True)
+        ids = [self.number.setdefault((langs.dictionary[i].as_py(), sources.dictionary[j].as_py()), len(self.number)) for i, j in met.tolist()]
+        return np.array(ids, np.int32)[inverse.ravel()]
+
+    def out(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array(c, pa.string()) for c in zip(*self.number, strict=True))
+        for b in t.to_batches(max_chunksize=65536):
+            yield pa.RecordBatch.from_arrays([langs.take(b["grp"]), sources.take(b["grp"]), b["term"].cast(pa.string()), b["n"], b["docs"]],
+                                             [*KEYS, "n", "docs"])
+
+
+def _count(batch: pa.RecordBatch, groups: np.ndarray) -> pa.Table:
+    """Occurrences and documents per (group, term) of some rows."""
     words = pc.split_pattern_regex(pc.ascii_lower(batch.column("text").cast(pa.string())), BREAKS)
     row, terms = pc.list_parent_indices(words), pc.list_flatten(words)
     full = pc.not_equal(terms, "")
     row, codes = row.filter(full), terms.filter(full).dictionary_encode()
     per_doc = pa.table({"row": row, "code": codes.indices}).group_by(["row", "code"]).aggregate([([], "count_all")])
-    cells = pa.table({"lang": batch.column("lang").take(per_doc["row"]), "source": batch.column("source").take(per_doc["row"]),
-                      "code": per_doc["code"], "n": per_doc["count_all"]})
-    cells = cells.group_by(["lang", "source", "code"]).aggregate([("n", "sum"), ([], "count_all")])
-    return pa.table({"lang": cells["lang"].cast(pa.string()), "source": cells["source"].cast(pa.string()),
-                     "term": pc.take(codes.dictionary, cells["code"]).cast(pa.large_string()),
+    cells = pa.table({"grp": pa.array(groups).take(per_doc["row"]), "code": per_doc["code"], "n": per_doc["count_all"]})
+    cells = cells.group_by(["grp", "code"]).aggregate([("n", "sum"), ([], "count_all")])
+    return pa.table({"grp": cells["grp"], "term": pc.take(codes.dictionary, cells["code"]).cast(pa.large_string()),
                      "n": cells["n_sum"], "docs": cells["count_all"]})
 
 
 def _merge(parts: list[pa.Table]) -> pa.Table:
-    t = pa.concat_tables(parts).group_by(KEYS).aggregate([("n", "sum"), ("docs", "sum")])
-    return pa.table({**{k: t[k] for k in KEYS}, "n": t["n_sum"], "docs": t["docs_sum"]})
+    t = pa.concat_tables(parts).group_by(["grp", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return pa.table({"grp": t["grp"], "term": t["term"], "n": t["n_sum"], "docs": t["docs_sum"]})
 
 
 def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a task, merged while they fit ``HELD_ROWS``."""
     held: list[pa.Table] = []
+    groups = _Groups()
     for batch in batches:
         for chunk in _chunks(batch):
-            held.append(_count(chunk))
+            held.append(_count(chunk, groups.of(chunk)))
             if sum(t.num_rows for t in held) > HELD_ROWS:
                 held = [_merge(held)]
-                if held[0].num_rows > HELD_ROWS // 2:
-                    yield from _out(held.pop())
+                if held[0].num_rows > HELD_ROWS * 3 // 4:
+                    yield from groups.out(held.pop())
     if held:
-        yield from _out(_merge(held))
-
-
-def _out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    return iter(t.cast(pa.schema([(k, pa.string()) for k in KEYS] + [("n", pa.int64()), ("docs", pa.int64())])).to_batches(max_chunksize=65536))
+        yield from groups.out(_merge(held))
 
 
 def term_counts(docs: DataFrame, text_col="text", lang_col="lang", source_col="source") -> DataFrame:
@@ -103,10 +118,6 @@ def share(n: Column, total: Column, terms: Column) -> Column:
     return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (wide(n) + 2), wide(total) + 2 * wide(terms)) + 1
 
 
-def gap(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), p + q)
-
-
 def audit_terms(counts: DataFrame, min_docs: int = 10) -> DataFrame:
     """Terms in ``min_docs`` documents of their language: lang, term, n."""
     return (counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -129,9 +140,10 @@ def totals(pairs: DataFrame, kept: DataFrame, terms: DataFrame, cells: int = CEL
     return out.withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0), F.col("total"), F.col("v"))).otherwise(1))
 
 
-def distance_part(t: pa.Table) -> pa.Table:
+def shard_part(t: pa.Table, top: int) -> pa.Table:
     """One shard of terms and two blocks of sources: its part of the distance
-    of each pair.  Rows without a term carry every source's share ``p`` of a
+    of each pair, and (a block with itself) the ``top`` terms that set each
+    source apart, of which the best over all shards are the result.  Rows without a term carry every source's share ``p`` of a
     term that it lacks, and ``v``.  Shard 0 adds what pairs have from all
     kept terms if neither source held any."""
     lang, shard, left, right = (t[c][0].as_py() for c in ("lang", "shard", "blk_a", "blk_b"))
@@ -155,23 +167,40 @@ def distance_part(t: pa.Table) -> pa.Table:
         for i, m in enumerate(mine):
             out[i] += far(dense[:, m][:, None], theirs).sum(axis=0) - (stop - start) * lone[i]
     i, j = np.nonzero((mine[:, None] < other[None, :]) if left == right else np.ones(out.shape, bool))
-    return pa.table({"lang": pa.array([lang] * len(i), pa.string()), "a": names.take(pa.array(mine[i])).cast(pa.string()),
-                     "b": names.take(pa.array(other[j])).cast(pa.string()), "value": out[i, j]})
-
-
-def pair_distances(cells: DataFrame, groups: DataFrame) -> DataFrame:
-    """lang, a, b, value for every unordered pair of a language's sources.
-
-    ``cells``: lang, source, term, p; ``groups``: as of ``totals``."""
+    pairs = pa.table({"part": pa.array(["pair"] * len(i), pa.string()), "source": names.take(pa.array(mine[i])).cast(pa.string()),
+                      "item": names.take(pa.array(other[j])).cast(pa.string()), "value": out[i, j]})
+    parts = [pairs, _apart(cells, top)] if left == right else [pairs]
+    return pa.concat_tables(p.combine_chunks() for p in parts).add_column(0, "lang", pa.array([lang] * sum(p.num_rows for p in parts), pa.string()))
+
+
+def _apart(cells: pa.Table, top: int) -> pa.Table:
+    """The ``top`` terms of each source with a larger share than its language."""
+    p, q = cells["p"].to_numpy(), cells["q"].to_numpy()
+    more = p > q
+    found = cells.select(["source", "term"]).filter(pa.array(more)).append_column("value", pa.array((p - q)[more] ** 2 // (p + q)[more]))
+    found = found.sort_by([("source", "ascending"), ("value", "descending"), ("term", "ascending")])
+    codes = found["source"].combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.searchsorted(codes, codes) if len(codes) else codes  # sources come in one run each, numbered as met
+    found = found.filter(pa.array(np.arange(len(codes)) - first < top))
+    return pa.table({"part": pa.array(["term"] * found.num_rows, pa.string()), "source": found["source"].cast(pa.string()),
+                     "item": found["term"].cast(pa.string()), "value": found["value"]})
+
+
+def shard_parts(cells: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+    """lang, part, source, item, value: parts of the distance of every
+    unordered pair of a language's sources, and the terms of each shard that
+    set a source apart.
+
+    ``cells``: lang, source, term, p, q; ``groups``: as of ``totals``."""
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, F.col("blk")).alias("blk_a"), F.greatest(x, F.col("blk")).alias("blk_b"))))
-    everyone = groups.select("lang", "source", "blk", "blocks", "v", F.col("p0").alias("p"), F.lit(None).cast("string").alias("term"),
-                             F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    held = cells.select("lang", "source", "blk", "blocks", "v", "p", "term", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"))
-    parts = (everyone.unionByName(held).withColumn("meets", meets)
-             .select("lang", "shard", "meets.blk_a", "meets.blk_b", "source", "blk", "term", "p", "v")
-             .groupBy("lang", "shard", "blk_a", "blk_b").applyInArrow(distance_part, "lang string, a string, b string, value long"))
-    return parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    everyone = groups.select("lang", "source", "blk", "blocks", "v", F.col("p0").alias("p"), F.lit(None).cast("long").alias("q"),
+                             F.lit(None).cast("string").alias("term"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    held = cells.select("lang", "source", "blk", "blocks", "v", "p", "q", "term", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"))
+    return (everyone.unionByName(held).withColumn("meets", meets)
+            .select("lang", "shard", "meets.blk_a", "meets.blk_b", "source", "blk", "term", "p", "q", "v")
+            .groupBy("lang", "shard", "blk_a", "blk_b")
+            .applyInArrow(lambda t: shard_part(t, top), "lang string, part string, source string, item string, value long"))
 
 
 def audit(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", min_docs: int = 10, top: int = 10,
@@ -187,15 +216,13 @@ def audit(docs: DataFrame, text_col="text", lang_col="lang", source_col="source"
     shares = kept.join(groups, ["lang", "source"]).select(
         *KEYS, "blk", "blocks", "shards", "v", share(F.col("n"), F.col("total"), F.col("v")).alias("p"),
         share(F.col("lang_n"), F.col("lang_total"), F.col("v")).alias("q"))
-    near = pair_distances(shares, groups)
-    both = near.select("lang", F.inline(F.array(
-        F.struct(F.col("a").alias("source"), F.col("b").alias("item"), "value"),
-        F.struct(F.col("b").alias("source"), F.col("a").alias("item"), "value"))))
+    parts = staged(shard_parts(shares, groups, top), "divergence-parts")
+    near = parts.where("part = 'pair'").groupBy("lang", "part", "source", "item").agg(F.sum("value").alias("value"))
+    both = near.select("lang", "part", F.inline(F.array(
+        F.struct("source", "item", "value"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), "value"))))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    apart = shares.where(F.col("p") > F.col("q")).select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
-    return (both.withColumn("rank", rank).withColumn("part", F.lit("pair"))
-            .unionByName(apart.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("part", F.lit("term")))
-            .select("lang", "source", "part", "item", "value", "rank"))
+    apart = parts.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= top)
+    return both.withColumn("rank", rank).unionByName(apart).select("lang", "source", "part", "item", "value", "rank")
 
 
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,25 @@ def iv_per_snapshot(opts: DataFrame, px: DataFrame, band: float = 0.02, iv_lo: f
             .agg(F.avg("impliedVolatility").alias("atm_iv")))
 
 
+def iv_partials(opts: DataFrame, iv_lo: float = 0.0, iv_hi: float = 5.0, hours=(9, 18)) -> DataFrame:
+    """Mergeable part of ``iv_per_snapshot``: sum and count of IV per (ticker,
+    run, strike), market hours only.  Which strikes are near the money changes
+    with every close, these sums do not: they are computed once per batch of
+    rows, and any band around a new close is a filter over them."""
+    iv = F.col("impliedVolatility")
+    return (opts.filter((iv > iv_lo) & (iv < iv_hi) & market_hours("snapshot_time", *hours))
+            .groupBy("ticker", "snapshot_str", "snapshot_time", "strike")
+            .agg(F.sum(iv).alias("iv_sum"), F.count(iv).alias("iv_n")))
+
+
+def iv_from_partials(partials: DataFrame, px: DataFrame, band: float = 0.02, spot_mode: str = "latest") -> DataFrame:
+    """``iv_per_snapshot`` from kept partial sums; a run that came in several
+    batches adds up."""
+    return (atm_band(partials, px, band, spot_mode)
+            .groupBy("ticker", "snapshot_str", "snapshot_time")
+            .agg((F.sum("iv_sum") / F.sum("iv_n")).alias("atm_iv")))
+
+
 def snapshot_vs_stats(per_snapshot: DataFrame) -> DataFrame:
     """Each run's ATM IV against its ticker's history: z-score (population)
     and position in the min..max range.  The statistics are one row per

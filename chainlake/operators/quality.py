@@ -54,9 +54,9 @@ def _signed_total(parts, name: str, severity: str) -> DataFrame:
         F.lit(name).alias("check"), "violations", F.lit(severity).alias("severity"))
 
 
-def dq_silver_price(silver: DataFrame, bronze: DataFrame) -> DataFrame:
+def _price_specs():
     c = F.col
-    specs = [
+    return [
         ("invalid_price_values", count_if((c("Open") <= 0) | (c("High") <= 0) | (c("Low") <= 0)
                                           | (c("Close") <= 0) | (c("Volume") < 0)), ABORT),
         ("invalid_price_logic", count_if((c("High") < c("Low")) | (c("High") < c("Open"))
@@ -64,20 +64,11 @@ def dq_silver_price(silver: DataFrame, bronze: DataFrame) -> DataFrame:
                                          | (c("Low") > c("Close"))), ABORT),
         ("invalid_hv_values", count_if((c("HV_20") < 0) | (c("HV_252") < 0)), ABORT),
     ]
-    bronze_nulls = _checks(bronze, [("null_critical_fields", count_if(
-        c("ticker").isNull() | c("Date").isNull() | c("Close").isNull() | c("snapshot_time").isNull()),
-        WARN)])
-    keys_gap = _signed_total(
-        [bronze.select("ticker", "Date").distinct().agg(F.count(F.lit(1)).alias("_v")),
-         silver.agg((-F.count(F.lit(1))).alias("_v"))], "rows_vs_bronze_keys", WARN)
-    return _finish([_duplicates(silver, ["ticker", "Date"], "duplicate_keys"),
-                    _checks(silver, specs), bronze_nulls, keys_gap])
 
 
-def dq_silver_options(silver: DataFrame, bronze: DataFrame | None) -> DataFrame:
-    """Silver option checks; ``bronze=None`` skips the Bronze-based warning."""
+def _option_specs():
     c = F.col
-    specs = [
+    return [
         ("null_critical_fields", count_if(
             c("contractSymbol").isNull() | c("expiry").isNull() | c("option_type").isNull()
             | c("strike").isNull() | c("snapshot_time").isNull() | c("ticker").isNull()), ABORT),
@@ -87,11 +78,35 @@ def dq_silver_options(silver: DataFrame, bronze: DataFrame | None) -> DataFrame:
             | (c("volume") < 0) | (c("openInterest") < 0) | (c("impliedVolatility") < 0)
             | (c("gamma") < 0) | (c("vega") < 0)), ABORT),
     ]
-    parts = [_duplicates(silver, ["contractSymbol"], "duplicate_contracts"), _checks(silver, specs)]
-    if bronze is not None:
-        parts.append(_checks(bronze, [("ask_below_bid", count_if(
-            c("bid").isNotNull() & c("ask").isNotNull() & (c("ask") < c("bid"))), WARN)]))
-    return _finish(parts)
+
+
+def abort_silver_price(silver: DataFrame) -> DataFrame:
+    """The checks that stop a price merge, from the merged rows alone."""
+    return _finish([_duplicates(silver, ["ticker", "Date"], "duplicate_keys"), _checks(silver, _price_specs())])
+
+
+def abort_silver_options(silver: DataFrame) -> DataFrame:
+    """The checks that stop an option merge, from the merged rows alone."""
+    return _finish([_duplicates(silver, ["contractSymbol"], "duplicate_contracts"), _checks(silver, _option_specs())])
+
+
+def dq_silver_price(silver: DataFrame, bronze: DataFrame) -> DataFrame:
+    c = F.col
+    bronze_nulls = _checks(bronze, [("null_critical_fields", count_if(
+        c("ticker").isNull() | c("Date").isNull() | c("Close").isNull() | c("snapshot_time").isNull()),
+        WARN)])
+    keys_gap = _signed_total(
+        [bronze.select("ticker", "Date").distinct().agg(F.count(F.lit(1)).alias("_v")),
+         silver.agg((-F.count(F.lit(1))).alias("_v"))], "rows_vs_bronze_keys", WARN)
+    return _finish([abort_silver_price(silver).drop("ok"), bronze_nulls, keys_gap])
+
+
+def dq_silver_options(silver: DataFrame, bronze: DataFrame) -> DataFrame:
+    """Silver option checks, with the crossed quotes of Bronze as a warning."""
+    c = F.col
+    crossed = _checks(bronze, [("ask_below_bid", count_if(
+        c("bid").isNotNull() & c("ask").isNotNull() & (c("ask") < c("bid"))), WARN)])
+    return _finish([abort_silver_options(silver).drop("ok"), crossed])
 
 
 def dq_latest_snapshot(gold: DataFrame, silver: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chainlake.operators import gold, quality, silver
 from chainlake.session import checkpoint_path
+from chainlake.sources import files
 
 # Silver/Gold are one row per contract, ticker-day or less: only the
 # contract-level table is partitioned (by expiry); the rest are single
@@ -99,55 +100,71 @@ def _stage(spark: SparkSession, df: DataFrame, name: str, run: str) -> DataFrame
     return spark.read.parquet(path)
 
 
-def build(spark: SparkSession, bronze_options: DataFrame, bronze_price: DataFrame,
+def build(spark: SparkSession, bronze_options: DataFrame | None, bronze_price: DataFrame | None,
           out_dir: str | None = None, strict: bool = False,
-          silver_tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+          silver_tables: dict[str, tuple[DataFrame | None, list[str]]] | None = None,
+          per_snapshot: DataFrame | None = None) -> DataFrame:
     """Build the six tables; returns one row per table: rows, failed
     abort-level checks, published flag.  ``out_dir=None`` validates only.
     ``strict=True`` raises on the first failing table.
 
-    ``silver_tables=(silver_price, silver_options)``: Silver is maintained
-    incrementally (the streaming merge keeps it in place); it is validated
-    and reported (``published`` = in place), and only the Gold tables are
-    built from it -- no rescan of Bronze history for Silver."""
+    ``silver_tables``: Silver is maintained incrementally (checked before each
+    merge is published); per table its published version, if any, and the
+    checks that the last merge failed.  Only the Gold tables are built then,
+    those whose Silver is whole, and ``per_snapshot`` is the IV per run: no
+    scan of Bronze at all."""
     run = uuid.uuid4().hex[:12]
-    report = []
     in_place = silver_tables is not None
+    tables: dict[str, DataFrame | None] = {}
+    verdicts: dict[str, tuple[int | None, list[str]]] = {}
     if in_place:
-        px, opts = silver_tables
+        for name, (df, bad) in silver_tables.items():
+            tables[name] = df
+            verdicts[name] = (df.count() if df is not None else None, bad)
     else:
-        px = _stage(spark, silver.silver_price(bronze_price), "silver_price_daily", run)
-        opts = _stage(spark, silver.silver_options(bronze_options), "silver_options_latest", run)
-    latest = _stage(spark, silver.latest_snapshot(opts, px), "gold_latest_snapshot", run)
-    pcr = _stage(spark, gold.pcr(opts), "gold_pcr", run)
-    rank = _stage(spark, gold.iv_rank(gold.iv_per_snapshot(bronze_options, px)), "gold_iv_rank", run)
-    gex = _stage(spark, gold.greeks_exposure(opts), "gold_greeks_exposure", run)
+        tables["silver_price_daily"] = _stage(spark, silver.silver_price(bronze_price), "silver_price_daily", run)
+        tables["silver_options_latest"] = _stage(spark, silver.silver_options(bronze_options), "silver_options_latest", run)
+    px, opts = tables["silver_price_daily"], tables["silver_options_latest"]
+
+    def ranked() -> DataFrame:
+        return gold.iv_rank(gold.iv_per_snapshot(bronze_options, px) if per_snapshot is None else per_snapshot)
+    made = {
+        "gold_latest_snapshot": lambda: silver.latest_snapshot(opts, px),
+        "gold_pcr": lambda: gold.pcr(opts),
+        "gold_iv_rank": ranked,
+        "gold_greeks_exposure": lambda: gold.greeks_exposure(opts),
+    }
+    for name, df in made.items():
+        held = in_place and any(verdicts[d][1] or tables[d] is None for d in DEPENDS[name])
+        tables[name] = None if held else _stage(spark, df(), name, run)
     checks = {
-        "silver_price_daily": quality.dq_silver_price(px, bronze_price),
-        # the crossed-quote warning counts Bronze rows; on the incremental
-        # path it is skipped rather than rescanning the whole history
-        "silver_options_latest": quality.dq_silver_options(opts, None if in_place else bronze_options),
-        "gold_latest_snapshot": quality.dq_latest_snapshot(latest, opts),
-        "gold_pcr": quality.dq_pcr(pcr),
-        "gold_iv_rank": quality.dq_iv_rank(rank),
-        "gold_greeks_exposure": quality.dq_greeks_exposure(gex),
+        "silver_price_daily": lambda: quality.dq_silver_price(px, bronze_price),
+        "silver_options_latest": lambda: quality.dq_silver_options(opts, bronze_options),
+        "gold_latest_snapshot": lambda: quality.dq_latest_snapshot(tables["gold_latest_snapshot"], opts),
+        "gold_pcr": lambda: quality.dq_pcr(tables["gold_pcr"]),
+        "gold_iv_rank": lambda: quality.dq_iv_rank(tables["gold_iv_rank"]),
+        "gold_greeks_exposure": lambda: quality.dq_greeks_exposure(tables["gold_greeks_exposure"]),
     }
-    tables = {"silver_price_daily": px, "silver_options_latest": opts, "gold_latest_snapshot": latest,
-              "gold_pcr": pcr, "gold_iv_rank": rank, "gold_greeks_exposure": gex}
     # validate everything from the staged files first; publishing moves them
-    verdicts = {}
     for name, df in tables.items():
-        bad = sorted(r.check for r in quality.failed(checks[name]).select("check").collect())
+        if name in verdicts:
+            bad = verdicts[name][1]
+        elif df is None:
+            verdicts[name] = (None, bad := [])
+        else:
+            bad = sorted(r.check for r in quality.failed(checks[name]()).select("check").collect())
+            verdicts[name] = (df.count(), bad)
         if bad and strict:
             raise ValueError(f"{name} failed checks: {bad}")
-        verdicts[name] = (df.count(), bad)
     for name, deps in DEPENDS.items():
         n, bad = verdicts[name]
-        verdicts[name] = (n, bad + [f"upstream:{d}" for d in deps if verdicts[d][1]
+        verdicts[name] = (n, bad + [f"upstream:{d}" for d in deps if tables[d] is None or verdicts[d][1]
                                     and not any(b.startswith("upstream:") for b in verdicts[d][1])])
-    for name, (n, bad) in verdicts.items():
+    report = []
+    for name in PARTITIONS:
+        n, bad = verdicts[name]
         if in_place and name.startswith("silver_"):
-            report.append((name, n, len(bad), ",".join(bad), True))
+            report.append((name, n, len(bad), ",".join(bad), not bad and tables[name] is not None))
             continue
         published = not bad and out_dir is not None
         if published:
@@ -161,6 +178,24 @@ def build(spark: SparkSession, bronze_options: DataFrame, bronze_price: DataFram
 SILVER_DIRS = {"options": "silver_options_latest", "price": "silver_price_daily"}
 
 
+def update_iv_partials(spark: SparkSession, bronze_dir: str, partials_dir: str) -> DataFrame:
+    """Keep ``gold.iv_partials`` of every Bronze batch: only batches that are
+    not in the table yet are read.  A folder per update, named by a commit, so
+    an update that died leaves nothing behind that is read."""
+    from chainlake.streaming import ingest as stream
+
+    said = files.read_commit(spark, partials_dir) or {"through": -1, "folders": []}
+    new = stream.batches_after(spark, bronze_dir, said["through"])
+    if new:
+        folder = f"p-{uuid.uuid4().hex[:12]}"
+        rows = gold.iv_partials(stream.read_bronze(spark, bronze_dir, "options", after=said["through"]))
+        rows.write.parquet(f"{partials_dir}/{folder}")
+        said = {"through": new[-1], "folders": [*said["folders"], folder]}
+        files.write_commit(spark, partials_dir, said)
+    paths = [f"{partials_dir}/{f}" for f in said["folders"]]
+    return spark.read.parquet(*paths) if paths else gold.iv_partials(stream.read_bronze(spark, bronze_dir, "options"))
+
+
 def run(spark: SparkSession, landing_root: str, warehouse: str, strict: bool = False,
         incremental: bool = True) -> DataFrame:
     """End-to-end scheduled job.
@@ -168,26 +203,30 @@ def run(spark: SparkSession, landing_root: str, warehouse: str, strict: bool = F
     1. Ingest every new file under ``landing_root/options`` and
        ``landing_root/price`` into Bronze (Structured Streaming,
        ``availableNow``; checkpoints under the warehouse).
-    2. ``incremental=True``: stream only the Bronze files added since the
-       last run into the Silver tables (newest-row merge of the touched
-       partitions), then build, validate and publish Gold from Silver.
-       ``incremental=False``: rebuild Silver from all of Bronze, the
+    2. ``incremental=True``: merge only the Bronze batches added since the
+       last run into the Silver tables (newest row per key, touched buckets
+       only, checked before they are published) and into the partial IV sums,
+       then build, validate and publish Gold from those: old Bronze is not
+       read.  ``incremental=False``: rebuild Silver from all of Bronze, the
        reference's behaviour, validate-then-publish everything.
 
-    Safe to re-run: each stream's checkpoint skips what it already read."""
+    Safe to re-run: files in Bronze's manifest and batches in Silver's commits
+    count once."""
     from chainlake.streaming import ingest as stream
 
     root = warehouse.rstrip("/")
     for kind in ("options", "price"):
         stream.ingest_to_bronze(spark, f"{landing_root.rstrip('/')}/{kind}", kind,
                                 f"{root}/bronze_{kind}", f"{root}/_checkpoints/bronze_{kind}")
-    b_opts = stream.read_bronze(spark, f"{root}/bronze_options")
-    b_px = stream.read_bronze(spark, f"{root}/bronze_price")
     if not incremental:
-        return build(spark, b_opts, b_px, out_dir=root, strict=strict)
-    for kind, name in SILVER_DIRS.items():
-        stream.silver_from_bronze(spark, f"{root}/bronze_{kind}", kind, f"{root}/{name}",
-                                  f"{root}/_checkpoints/{name}")
-    silver_tables = (stream.read_silver(spark, f"{root}/silver_price_daily", "price"),
-                     stream.read_silver(spark, f"{root}/silver_options_latest", "options"))
-    return build(spark, b_opts, b_px, out_dir=root, strict=strict, silver_tables=silver_tables)
+        return build(spark, stream.read_bronze(spark, f"{root}/bronze_options"),
+                     stream.read_bronze(spark, f"{root}/bronze_price", "price"), out_dir=root, strict=strict)
+    checks = {"options": quality.abort_silver_options, "price": quality.abort_silver_price}
+    silver_tables = {}
+    for kind, name in reversed(SILVER_DIRS.items()):
+        bad = stream.silver_from_bronze(spark, f"{root}/bronze_{kind}", kind, f"{root}/{name}", checks[kind])
+        silver_tables[name] = (stream.read_silver(spark, f"{root}/{name}", kind), bad)
+    partials = update_iv_partials(spark, f"{root}/bronze_options", f"{root}/iv_partials")
+    px = silver_tables["silver_price_daily"][0]
+    return build(spark, None, None, out_dir=root, strict=strict, silver_tables=silver_tables,
+                 per_snapshot=None if px is None else gold.iv_from_partials(partials, px))

@@ -5,7 +5,7 @@ The ingest queries write landing CSV files derived from the driver's
 tables into a fresh folder under the shared checkpoint directory, in two
 collection runs (snapshots through ``RUN1_THROUGH``, then the rest), run
 the streaming ingest after each, and once more with nothing new: every
-row must land exactly once.
+row must land exactly once, also when the stream's checkpoint is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from chainlake.plans.catalog import register
 from chainlake.plans.oracle import sql
 from chainlake.plans.tables import Tables
 from chainlake.session import checkpoint_path, ensure_checkpoint_dir
-from chainlake.operators import silver
+from chainlake.operators import gold, silver
 from chainlake.sources import fixtures, ingest, schemas
 from chainlake.streaming import ingest as stream
 
@@ -43,44 +43,139 @@ def _runs(rows):
     return [rows.filter(d <= cut), rows.filter(d > cut)]
 
 
-def _ingest(spark, sf_dir: str, kind: str):
+# The landing folder of a row, as far as its name does not change by run.
+PART = F.regexp_extract("_source_file", "part=([^/]+)/", 1).alias("_source_file")
+OPTION_PART_SQL = """
+parts AS (SELECT *, 'r' || lpad(CAST(row_number() OVER (PARTITION BY contractSymbol, snapshot_time, snapshot_str
+                                                       ORDER BY _source_file) AS VARCHAR), 4, '0') AS part
+          FROM bronze_options_raw)"""
+
+
+def _rows(spark, sf_dir: str, kind: str):
+    return (fixtures.options_csv_rows if kind == "options" else fixtures.price_csv_rows)(spark, sf_dir, with_part=True)
+
+
+def _ingest(spark, sf_dir: str, kind: str, runs: int = 2) -> tuple[str, str]:
+    """Landing folder and Bronze table after some of the two runs."""
     base = _workdir(spark, f"ingest-{kind}")
     landing, bronze, ckpt = f"{base}/landing", f"{base}/bronze", f"{base}/_ckpt"
-    rows = (fixtures.options_csv_rows if kind == "options" else fixtures.price_csv_rows)(spark, sf_dir)
-    for k, part in enumerate(_runs(rows)):
-        if k:  # the second run's files have other columns first, and one more
-            part = part.select(*reversed(part.columns), F.lit("x").alias("note"))
-        stream.write_landing(part, landing)
-        stream.ingest_to_bronze(spark, landing, kind, bronze, ckpt)
-    stream.ingest_to_bronze(spark, landing, kind, bronze, ckpt)  # nothing new: adds 0 rows
-    return stream.read_bronze(spark, bronze)
+    for k, part in enumerate(_runs(_rows(spark, sf_dir, kind))):
+        if k:  # the second run's files have other columns first, and 90 more
+            more = [F.lit("x").alias(f"note{i}") for i in range(90)]
+            part = part.select(*more, *reversed([c for c in part.columns if c != "part"]), "part")
+        stream.write_landing(part, landing, by=("part",))
+        if k < runs:
+            stream.ingest_to_bronze(spark, landing, kind, bronze, ckpt)
+    if runs == 2:
+        stream.ingest_to_bronze(spark, landing, kind, bronze, ckpt)  # nothing new: adds 0 rows
+        stream.ingest_to_bronze(spark, landing, kind, bronze, f"{ckpt}-lost")  # all files again, all in the manifest
+    return landing, bronze
 
 
 @register("ingest_options", sql(f"""
-SELECT {", ".join(c for c in OPTION_COLS)} FROM bronze_options_raw"""))
+SELECT {", ".join(c for c in OPTION_COLS)}, part AS _source_file FROM parts""", extra=OPTION_PART_SQL))
 def q_ingest_options(spark, sf_dir):
-    return _ingest(spark, sf_dir, "options").select(*OPTION_COLS)
+    _, bronze = _ingest(spark, sf_dir, "options")
+    return stream.read_bronze(spark, bronze).select(*OPTION_COLS, PART)
 
 
 @register("ingest_price", sql(f"""
-SELECT {", ".join(f'"{c}"' for c in PRICE_COLS)} FROM bronze_price_raw"""))
+SELECT {", ".join(f'"{c}"' for c in PRICE_COLS)}, ticker || '_' || snapshot_str AS _source_file FROM bronze_price_raw"""))
 def q_ingest_price(spark, sf_dir):
-    return _ingest(spark, sf_dir, "price").select(*PRICE_COLS)
+    _, bronze = _ingest(spark, sf_dir, "price")
+    return stream.read_bronze(spark, bronze, "price").select(*PRICE_COLS, PART)
+
+
+@register("ingest_manifest", sql("""
+SELECT part, CAST(snapshot_time AS DATE) > DATE '%s' AS late, count(*) AS n_rows FROM parts GROUP BY 1, 2""" % RUN1_THROUGH,
+                                 extra=OPTION_PART_SQL))
+def q_ingest_manifest(spark, sf_dir):
+    """Rows by landing folder and batch, from the manifest alone."""
+    _, bronze = _ingest(spark, sf_dir, "options")
+    m = stream.read_manifest(spark, bronze).where("n_rows > 0")
+    return (m.groupBy(F.regexp_extract("path", "part=([^/]+)/", 1).alias("part"), (F.col("batch") > 0).alias("late"))
+            .agg(F.sum("n_rows").alias("n_rows")))
+
+
+@register("manifest_dedupe", sql(f"""
+SELECT {", ".join(c for c in OPTION_COLS)}, part AS _source_file FROM parts
+WHERE CAST(snapshot_time AS DATE) > DATE '{RUN1_THROUGH}'""", extra=OPTION_PART_SQL))
+def q_manifest_dedupe(spark, sf_dir):
+    """The landing folder holds both runs, Bronze the first: the rows of files
+    that its manifest does not name.  Bronze itself is not read."""
+    landing, bronze = _ingest(spark, sf_dir, "options", runs=1)
+    new = ingest.new_files_only(ingest.read_landing(spark, landing, "options"), stream.read_manifest(spark, bronze))
+    return new.select(*OPTION_COLS, PART)
+
+
+# What the quarantine query spoils, by number of the contract.
+OPEN_TICKER, WIDE_TICKER, BAD_STRIKE, BAD_BID, NO_CLOCK = 11, 13, 17, 19, 23
+QUARANTINE_SQL = f"""
+SELECT reason, loaded, bid_null, count(*) AS n FROM (
+  SELECT CASE WHEN u % {WIDE_TICKER} = 0 THEN 'more fields, header has 18'
+              WHEN u % {OPEN_TICKER} = 0 THEN 'open quote'
+              WHEN u % {NO_CLOCK} = 0 THEN 'snapshot_time: never'
+              WHEN u % {BAD_STRIKE} = 0 THEN 'strike: oops'
+              WHEN u % {BAD_BID} = 0 THEN 'bid: n/a' ELSE '' END AS reason,
+         (u % {WIDE_TICKER} <> 0 AND u % {OPEN_TICKER} <> 0 AND u % {NO_CLOCK} <> 0 AND u % {BAD_STRIKE} <> 0) AS loaded,
+         (u % {BAD_BID} = 0 AND u % {WIDE_TICKER} <> 0 AND u % {OPEN_TICKER} <> 0 AND u % {NO_CLOCK} <> 0 AND u % {BAD_STRIKE} <> 0) AS bid_null
+  FROM (SELECT CAST(substr(contractSymbol, 2) AS BIGINT) AS u FROM bronze_options_raw)) GROUP BY 1, 2, 3"""
+
+
+@register("ingest_quarantine", sql(QUARANTINE_SQL))
+def q_ingest_quarantine(spark, sf_dir):
+    """Landing rows, some spoiled; how many came to Bronze and how many to the
+    quarantine table, by first reason."""
+    base = _workdir(spark, "ingest-quarantine")
+    landing, bronze = f"{base}/landing", f"{base}/bronze"
+    u = F.substring("contractSymbol", 2, 20).cast("long")
+    spoiled = fixtures.options_csv_rows(spark, sf_dir).withColumns({
+        "ticker": F.when(u % WIDE_TICKER == 0, F.lit("TKA,more")).when(u % OPEN_TICKER == 0, F.lit('"TKA')).otherwise(F.col("ticker")),
+        "snapshot_time": F.when(u % NO_CLOCK == 0, "never").otherwise(F.date_format("snapshot_time", stream.TS_FORMAT)),
+        "strike": F.when((u % BAD_STRIKE == 0) & (u % NO_CLOCK != 0), "oops").otherwise(F.col("strike").cast("string")),
+        "bid": F.when((u % BAD_BID == 0) & (u % NO_CLOCK != 0) & (u % BAD_STRIKE != 0), "n/a").otherwise(F.col("bid").cast("string"))})
+    # as one column of whole lines, so that the writer quotes nothing
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in OPTION_COLS])
+    spoiled.select(line.alias(",".join(OPTION_COLS))).write.options(header=True, sep="\u0001", quote="").csv(landing)
+    stream.ingest_to_bronze(spark, landing, "options", bronze, f"{base}/_ckpt")
+    bad = stream.read_quarantine(spark, bronze).select(
+        F.get("reasons", F.lit(0)).alias("reason"), "loaded", F.col("loaded").alias("bid_null"))
+    good = stream.read_bronze(spark, bronze).where("bid IS NOT NULL").select(
+        F.lit("").alias("reason"), F.lit(True).alias("loaded"), F.lit(False).alias("bid_null"))
+    return bad.unionByName(good).groupBy("reason", "loaded", "bid_null").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("stream_silver_merge", sql(f"""
-SELECT {", ".join(SILVER_COLS)} FROM silver_options_latest"""))
+SELECT {", ".join(f"s.{c}" for c in SILVER_COLS)}, p.part AS _source_file
+FROM silver_options_latest s JOIN parts p
+  ON s.contractSymbol = p.contractSymbol AND s.snapshot_time = p.snapshot_time AND s.snapshot_str = p.snapshot_str
+     AND s._source_file = p._source_file""", extra=OPTION_PART_SQL))
 def q_stream_silver_merge(spark, sf_dir):
-    """Two micro-batch runs merged into a partitioned Silver table; must
-    equal the one-shot batch rebuild."""
+    """Two micro-batch runs of all landing rows merged into a bucketed Silver
+    table, ties included; must equal the one-shot batch rebuild."""
     base = _workdir(spark, "silver-merge")
     landing, silver_dir, ckpt = f"{base}/landing", f"{base}/silver", f"{base}/_ckpt"
-    rows = fixtures.options_csv_rows(spark, sf_dir, one_per_run=True)
     # the later run first: the earlier snapshots then arrive late
-    for part in reversed(_runs(rows)):
-        stream.write_landing(part, landing)
+    for part in reversed(_runs(_rows(spark, sf_dir, "options"))):
+        stream.write_landing(part, landing, by=("part",))
         stream.stream_silver_merge(spark, landing, "options", silver_dir, ckpt)
-    return stream.read_silver(spark, silver_dir, "options").select(*SILVER_COLS)
+    return stream.read_silver(spark, silver_dir, "options").select(*SILVER_COLS, PART)
+
+
+@register("iv_rank_incremental", sql("SELECT * FROM gold_iv_rank", gold=True))
+def q_iv_rank_incremental(spark, sf_dir):
+    """IV rank of two scheduled runs, the second from the partial sums kept by
+    the first and its own Bronze batch: no rescan of old Bronze."""
+    base = _workdir(spark, "iv-incremental")
+    for kind in ("options", "price"):
+        for part in _runs(_rows(spark, sf_dir, kind)):
+            stream.write_landing(part, f"{base}/landing-{kind}", by=("part",))
+            stream.ingest_to_bronze(spark, f"{base}/landing-{kind}", kind, f"{base}/{kind}", f"{base}/_ckpt-{kind}")
+            if kind == "options":
+                partials = medallion.update_iv_partials(spark, f"{base}/options", f"{base}/iv_partials")
+    stream.silver_from_bronze(spark, f"{base}/price", "price", f"{base}/silver_price")
+    px = stream.read_silver(spark, f"{base}/silver_price", "price")
+    return gold.iv_rank(gold.iv_from_partials(partials, px))
 
 
 @register("csv_snapshot_sink", sql("""
@@ -157,8 +252,7 @@ def q_stream_silver_merge_price(spark, sf_dir):
     two micro-batch runs, the later run first; equals the batch rebuild."""
     base = _workdir(spark, "silver-merge-price")
     landing, silver_dir, ckpt = f"{base}/landing", f"{base}/silver", f"{base}/_ckpt"
-    rows = fixtures.price_csv_rows(spark, sf_dir)
-    for part in reversed(_runs(rows)):
-        stream.write_landing(part, landing)
+    for part in reversed(_runs(_rows(spark, sf_dir, "price"))):
+        stream.write_landing(part, landing, by=("part",))
         stream.stream_silver_merge(spark, landing, "price", silver_dir, ckpt)
     return stream.read_silver(spark, silver_dir, "price").select(*PRICE_SILVER_COLS)

@@ -13,7 +13,7 @@ broadcasts after measuring them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainlake.functions.pricing import time_to_expiry, with_greeks
@@ -122,33 +122,34 @@ def bronze_options_raw(spark: SparkSession, sf_dir: str, market_tz: str = "UTC")
         "snapshot_time", "snapshot_str", "ticker", "_source_file")
 
 
-def options_csv_rows(spark: SparkSession, sf_dir: str, one_per_run: bool = False) -> DataFrame:
+def options_csv_rows(spark: SparkSession, sf_dir: str, with_part: bool = False) -> DataFrame:
     """Rows of the option snapshot CSV files in landing layout: integer
     fields written as doubles (``12.0``) and the flag as text.
 
-    ``one_per_run``: a collection run writes a contract once; of events that
-    fall into one run, the last valid and the last crossed quote are kept."""
-    from chainlake.operators.silver import newest_order, newest_per_key, valid_quote
+    ``with_part`` adds the landing sub-folder of each row, ``part``: a
+    collection run writes a contract once per file, so of the events of one
+    contract and run the k-th goes to part k, and the file settles their order
+    as the source id does in the derived Bronze."""
     from chainlake.sources.schemas import OPTIONS_CSV
 
     p = priced_landing(spark, sf_dir)
-    if one_per_run:
-        p = newest_per_key(p.withColumn("_ok", valid_quote()), ["contractSymbol", "snapshot_time", "snapshot_str", "_ok"],
-                           newest_order(["_source_file"]))
-    cols = []
-    for fld in OPTIONS_CSV.fields:
-        c = F.col(fld.name)
-        cols.append(c.cast("double").alias(fld.name) if fld.name in ("volume", "openInterest") else c)
+    cols = [F.col(f.name).cast("double").alias(f.name) if f.name in ("volume", "openInterest") else F.col(f.name)
+            for f in OPTIONS_CSV.fields]
+    if with_part:
+        run = Window.partitionBy("contractSymbol", "snapshot_time", "snapshot_str").orderBy("_source_file")
+        cols.append(F.concat(F.lit("r"), F.lpad(F.row_number().over(run).cast("string"), 4, "0")).alias("part"))
     return p.select(*cols)
 
 
-def price_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the price snapshot CSV files (Volume written as double)."""
+def price_csv_rows(spark: SparkSession, sf_dir: str, with_part: bool = False) -> DataFrame:
+    """Rows of the price snapshot CSV files (Volume written as double);
+    ``with_part``: one landing sub-folder per ticker and half day."""
     from chainlake.sources.schemas import PRICE_CSV
 
     b = bronze_price_raw(spark, sf_dir)
-    return b.select(*[F.col(f.name).cast("double").alias(f.name) if f.name == "Volume" else F.col(f.name)
-                      for f in PRICE_CSV.fields])
+    cols = [F.col(f.name).cast("double").alias(f.name) if f.name == "Volume" else F.col(f.name)
+            for f in PRICE_CSV.fields]
+    return b.select(*cols, *([F.concat_ws("_", "ticker", "snapshot_str").alias("part")] if with_part else []))
 
 
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ Batch form (``read_landing`` + ``new_files_only``) and the streaming form in
 ``chainlake.streaming.ingest`` share the same column logic.  The file path of
 every row comes from Spark's hidden ``_metadata.file_path`` column, so the
 dedupe key is the absolute path Spark resolved.
+
+Files are read as lines, so a large file is split over many tasks.  A line is
+told its columns by the header table: one row per file, taken from the line
+that opens the file's first block, and joined on the path.
 """
 
 from __future__ import annotations
@@ -56,78 +60,152 @@ def chain_union(calls: list[DataFrame], puts: list[DataFrame]) -> DataFrame | No
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _options_columns(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        "contractSymbol", "expiry", "option_type", "strike", "bid", "ask", "lastPrice",
-        to_long("volume").alias("volume"), to_long("openInterest").alias("openInterest"),
-        "impliedVolatility", "delta", "gamma", "theta", "vega",
-        normalize_itm("inTheMoney").alias("inTheMoney"),
-        "snapshot_time", "snapshot_str", "ticker",
-        F.col("_metadata.file_path").alias("_source_file"))
+def _options_columns() -> list[Column]:
+    return [*map(F.col, ("contractSymbol", "expiry", "option_type", "strike", "bid", "ask", "lastPrice")),
+            to_long("volume").alias("volume"), to_long("openInterest").alias("openInterest"),
+            *map(F.col, ("impliedVolatility", "delta", "gamma", "theta", "vega")),
+            normalize_itm("inTheMoney").alias("inTheMoney"),
+            *map(F.col, ("snapshot_time", "snapshot_str", "ticker", "_source_file"))]
+
+
+def _price_columns() -> list[Column]:
+    return [*map(F.col, ("Date", "Open", "High", "Low", "Close")), to_long("Volume").alias("Volume"),
+            *map(F.col, ("HV_20", "HV_252", "snapshot_time", "snapshot_str", "ticker", "_source_file"))]
+
+
+# Closes a line, so that its number of fields shows; and a byte-order mark.
+END, BOM = "\u0002", "\ufeff"
+# Most bytes of a header table that is broadcast.
+HEADER_BYTES = 32 * 1024 * 1024
+
+
+def with_lines(files: DataFrame) -> DataFrame:
+    """Lines of text files (batch or stream) with what tells their file."""
+    m = "_metadata.file_"
+    return files.select("value", F.col(m + "path").alias("_source_file"), F.col(m + "block_start").alias("_start"),
+                        F.col(m + "size").alias("_length"), F.col(m + "modification_time").alias("_modified"))
+
+
+def _fields(line: Column, n: int) -> Column:
+    """A CSV line as one struct of ``n`` texts, its end marked by ``END``."""
+    return F.from_csv(F.concat(line, F.lit("," + END)), ", ".join(f"f{i} string" for i in range(n)))
 
 
-def _price_columns(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        "Date", "Open", "High", "Low", "Close", to_long("Volume").alias("Volume"),
-        "HV_20", "HV_252", "snapshot_time", "snapshot_str", "ticker",
-        F.col("_metadata.file_path").alias("_source_file"))
+def _as_array(d: DataFrame, line: Column, n: int, name: str) -> DataFrame:
+    """The fields of a line as an array; a generator, so it is parsed once."""
+    wide = d.select("*", F.inline(F.array(_fields(line, n))))
+    return wide.select(*d.columns, F.array(*[f"f{i}" for i in range(n)]).alias(name))
 
 
-def by_header(files: DataFrame, kind: str) -> DataFrame:
-    """Rows of whole CSV files (columns ``value`` and ``_metadata``), fields
-    taken by each file's own header.  Files of one batch may order their
-    columns differently, lack optional ones (NULL) or have more; a file
-    without a required column is an error that names it.  A field that does
-    not parse as its type is NULL.
+def headers(lines: DataFrame, kind: str) -> DataFrame:
+    """One row per file: path, header text, names, and the place of every
+    landing column (NULL: the file lacks it).  A header that lacks a required
+    column, or names a column twice, is an error that names file and column.
 
-    A file is one collection run of one ticker, so it is read as one value;
-    lines are parsed natively, so batch and stream share this."""
+    The first line is the one that opens the first block; each task sends one
+    row per file that it began."""
+    first = (lines.where((F.col("_start") == 0) & (F.col("value") != "")).withColumn("_i", F.monotonically_increasing_id())
+             .groupBy("_source_file").agg(F.min_by("value", "_i").alias("_header"),
+                                          F.first("_length").alias("_length"), F.first("_modified").alias("_modified"))
+             .checkpoint(eager=True))
+    text = F.when(F.col("_header").startswith(BOM), F.substring("_header", 2, 1 << 30)).otherwise(F.col("_header"))
+    # A header has at most one more field than it has commas.
+    most = first.agg(F.max(F.length("_header") - F.length(F.replace("_header", F.lit(","))))).first()[0]
+    named = _as_array(first, text, (most or 0) + 2, "_all")
+    names = F.transform(F.slice("_all", 1, F.array_position("_all", F.lit(END)).cast("int") - 1), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    named = named.select("_source_file", "_header", "_length", "_modified", names.alias("_names"))
+    known = (schemas.PRICE_CSV if kind == "price" else schemas.OPTIONS_CSV).names
+    lacks = F.array_except(F.array(*map(F.lit, schemas.REQUIRED[kind])), "_names")
+    twice = F.filter(F.array(*map(F.lit, known)), lambda k: F.size(F.filter("_names", lambda c: c == k)) > 1)
+
+    def fail(what: str, cols: Column) -> Column:
+        return F.raise_error(F.concat("_source_file", F.lit(what), F.array_join(cols, ", "))).cast("array<int>")
+    at = F.array(*[F.nullif(F.array_position("_names", F.lit(k)).cast("int"), F.lit(0)) for k in known])
+    return named.select("_source_file", "_header", "_length", "_modified", F.size("_names").alias("_n"),
+                        F.when(F.size(lacks) > 0, fail(" lacks required columns: ", lacks))
+                        .when(F.size(twice) > 0, fail(" names columns twice: ", twice)).otherwise(at).alias("_at"))
+
+
+def by_header(lines: DataFrame, heads: DataFrame, kind: str) -> DataFrame:
+    """Every data line with its fields by name and type, ``_source_file``,
+    ``line``, ``reasons`` and ``loaded``.
+
+    Files may order their columns differently, lack optional ones (NULL) or
+    have more, however many.  A line with fewer or more fields than its header,
+    or with an open quote, cannot be told apart into columns: it is not
+    ``loaded``.  A field that does not parse as its type is NULL; a required
+    one keeps the row out.  ``reasons`` says so in either case.  Lines equal to
+    the file's header (joined files) and empty lines are no data."""
     schema = schemas.PRICE_CSV if kind == "price" else schemas.OPTIONS_CSV
-    need = F.array(*[F.lit(c) for c in schemas.REQUIRED[kind]])
-    n = schemas.MAX_COLUMNS
-
-    def parsed(d: DataFrame, line: Column, tag: str) -> DataFrame:
-        """One column per field; a generator, so the line is parsed once."""
-        wide = ", ".join(f"{tag}{i} string" for i in range(n))
-        return d.select("*", F.inline(F.array(F.from_csv(line, wide))))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x != "")
-    d = parsed(files.select("_metadata", lines.alias("_lines")), F.get("_lines", F.lit(0)), "h")
-    names = F.transform(F.array(*[f"h{i}" for i in range(n)]), lambda c: F.trim(c))
-    d = d.select("_metadata", "_lines", names.alias("_names"))
-    lacks = F.array_except(need, F.col("_names"))
-    checked = F.when(F.size(lacks) == 0, F.col("_names")).otherwise(F.raise_error(F.concat(
-        F.col("_metadata.file_path"), F.lit(" lacks required columns: "), F.array_join(lacks, ", "))).cast("array<string>"))
-    rest = F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1)))
-    d = d.select("_metadata", checked.alias("_names"), rest.alias("_rest")).select("_metadata", "_names", F.explode("_rest").alias("_line"))
-    d = parsed(d, F.col("_line"), "c")
-    row = F.array(*[f"c{i}" for i in range(n)])
-
-    def field(f: T.StructField) -> Column:
-        at = F.array_position("_names", F.lit(f.name)).cast("int")
-        return F.when(at > 0, F.get(row, at - 1)).try_cast(f.dataType).alias(f.name)
-    return d.select("_metadata", *[field(f) for f in schema.fields])
-
-
-def typed_bronze(files: DataFrame, kind: str) -> DataFrame:
-    """Whole CSV files (batch or stream) typed as Bronze, with the file path."""
-    raw = by_header(files, kind)
-    return _price_columns(raw) if kind == "price" else _options_columns(raw)
+    sized = heads.agg(F.max("_n"), F.sum(F.length("_header") + F.length("_source_file") + 100)).first()
+    width = (sized[0] or 0) + 2
+    heads = heads.select("_source_file", "_header", "_n", "_at")
+    if (sized[1] or 0) <= HEADER_BYTES:  # else the two meet in a shuffle
+        heads = F.broadcast(heads)
+    d = (lines.where(F.col("value") != "").select("value", "_source_file")
+         .join(heads, "_source_file").where(F.col("value") != F.col("_header")))
+    d = _as_array(d, F.col("value"), width, "_row").withColumn("_end", F.array_position("_row", F.lit(END)).cast("int"))
+    size = F.concat(F.lit("fields, header has "), F.col("_n").cast("string"))
+    n_quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    shape = (F.when(F.col("_end") == F.col("_n") + 1, None)
+             .when(F.col("_end").between(1, F.col("_n")), F.concat((F.col("_end") - 1).cast("string"), F.lit(" "), size))
+             .when((F.col("_end") == 0) & (n_quotes % 2 == 1), "open quote").otherwise(F.concat(F.lit("more "), size)))
+    d = d.withColumn("_shape", shape)
+    raw = {f.name: F.when(F.col("_shape").isNull(), F.get("_row", F.get("_at", F.lit(i)) - 1)) for i, f in enumerate(schema.fields)}
+    typed = {f.name: raw[f.name].try_cast(f.dataType) for f in schema.fields}
+    d = d.select("_source_file", F.col("value").alias("line"), "_shape", *[c.alias(n) for n, c in typed.items()],
+                 *[raw[f.name].alias(f"_raw_{f.name}") for f in schema.fields if f.dataType != T.StringType()])
+    bad = {f.name: F.col(f"_raw_{f.name}").isNotNull() & F.col(f.name).isNull() for f in schema.fields if f.dataType != T.StringType()}
+    said = [F.when(b, F.concat(F.lit(f"{n}: "), F.col(f"_raw_{n}"))) for n, b in bad.items()]
+    stops = [F.col("_shape").isNotNull(), *[bad[n] for n in schemas.REQUIRED[kind] if n in bad]]
+    return d.select("_source_file", "line", *schema.names, F.array_compact(F.array("_shape", *said)).alias("reasons"),
+                    (~reduce(lambda a, b: a | b, stops)).alias("loaded"))
+
+
+def typed_bronze(parsed: DataFrame, kind: str) -> DataFrame:
+    """The rows of ``by_header`` that Bronze takes, in its types."""
+    return parsed.where("loaded").select(*(_price_columns() if kind == "price" else _options_columns()))
+
+
+def quarantine(parsed: DataFrame) -> DataFrame:
+    """The lines of ``by_header`` that could not be taken as they were:
+    _source_file, reasons, loaded (FALSE: not in Bronze at all), line."""
+    return parsed.where(F.size("reasons") > 0).select(*schemas.QUARANTINE.names)
+
+
+def _parsed_landing(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    lines = with_lines(spark.read.option("recursiveFileLookup", True).text(path))
+    return by_header(lines, headers(lines, kind), kind)
 
 
 def read_landing(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Batch read of a landing folder of CSV snapshots (``kind`` is
     ``'price'`` or ``'options'``), by header name, typed as Bronze."""
-    files = spark.read.text(path, wholetext=True).select("value", "_metadata")
-    return typed_bronze(files, kind)
+    return typed_bronze(_parsed_landing(spark, path, kind), kind)
+
+
+def read_quarantine(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """What ``read_landing`` leaves out or reads with NULLs, with reasons."""
+    return quarantine(_parsed_landing(spark, path, kind))
+
+
+def normal_path(path: Column, base: str = "/") -> Column:
+    """One spelling per file: without a ``file:`` scheme, relative paths
+    below ``base``, without ``.`` steps and repeated slashes."""
+    p = F.regexp_replace(path, r"^file:/+", "/")
+    p = F.when(p.rlike(r"^(/|[a-zA-Z][a-zA-Z0-9+.-]*://)"), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p))
+    return F.regexp_replace(F.regexp_replace(p, r"(?<!:)/(\./)+", "/"), r"(?<!:)/{2,}", "/")
 
 
-def new_files_only(incoming: DataFrame, bronze: DataFrame | None) -> DataFrame:
-    """Drop rows of files already present in Bronze (path equality).  The
-    distinct path list of Bronze is small relative to Bronze itself."""
-    if bronze is None:
+def new_files_only(incoming: DataFrame, manifest: DataFrame | None, base: str = "/") -> DataFrame:
+    """Drop rows of files that were read before.  ``manifest`` has a row per
+    file (``path``), also of files without rows, so no Bronze is scanned; a
+    table with ``_source_file`` does as well."""
+    if manifest is None:
         return incoming
-    loaded = bronze.select("_source_file").distinct()
-    return incoming.join(loaded, "_source_file", "left_anti")
+    known = F.col("path" if "path" in manifest.columns else "_source_file")
+    loaded = manifest.select(normal_path(known, base).alias("_path")).distinct()
+    return incoming.join(loaded, normal_path(F.col("_source_file"), base) == F.col("_path"), "left_anti")
 
 
 def csv_snapshot_sink(df: DataFrame, path: str, fmt: str = "parquet") -> None:

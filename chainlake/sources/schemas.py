@@ -54,5 +54,12 @@ REQUIRED = {
     "options": ("contractSymbol", "expiry", "option_type", "strike", "snapshot_time", "snapshot_str", "ticker"),
 }
 
-# Most columns that a landing file may have.
-MAX_COLUMNS = 64
+# Rows that a landing file held but Bronze could not take as they were.
+QUARANTINE = _struct([
+    ("_source_file", S), ("reasons", T.ArrayType(S)), ("loaded", B), ("line", S),
+])
+
+# One row per file read, also of files without rows.
+MANIFEST = _struct([
+    ("path", S), ("length", L), ("modified", T.TimestampType()), ("n_rows", L), ("n_bad", L),
+])

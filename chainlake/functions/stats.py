@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainlake.functions.util import as_col
@@ -102,21 +102,26 @@ def _log_gamma_ratio(df: Column) -> Column:
     return series + steps
 
 
-def t_two_sided(t, df) -> Column:
-    """P(|T| >= |t|) for Student's t; NULL unless ``df`` > 0 and both are
-    numbers.  ``df`` may be fractional and of any size."""
-    d = as_col(df)
-    d = F.when((d > 0) & ~F.isnan(d), d)
-    lo = F.abs(as_col(t))
-    # length over which the density falls off beyond t
-    scale = 1 / (1 / (1 + lo) + (d + 1) * lo / (d + lo * lo))
+def with_t_two_sided(df: DataFrame, keys, t: str, dof: str, out: str) -> DataFrame:
+    """``df``, one row per ``keys``, with P(|T| >= |t|) for Student's t in
+    ``out``; NULL unless ``dof`` > 0 and both are numbers.  ``dof`` may be
+    fractional and of any size.
+
+    Gauss-Legendre quadrature as rows: the few result rows meet the nodes, and
+    the terms are summed.  As one expression of all nodes it would cost the
+    planner seconds."""
+    d = F.when((F.col(dof) > 0) & ~F.isnan(dof), F.col(dof))
+    lo = F.abs(F.col(t))
     x, w = np.polynomial.legendre.leggauss(T_NODES)
     nodes = F.array(*[F.struct(F.lit(float((a + 1) / 2)).alias("v"), F.lit(float(b / 2)).alias("w")) for a, b in zip(x, w)])
+    # four times the length over which the density falls off beyond t
+    far = 4 / (1 / (1 + lo) + (d + 1) * lo / (d + lo * lo))
     norm = _log_gamma_ratio(d) - 0.5 * F.log(d * math.pi)
-
-    def add(acc, q):
-        far = 4 * scale
-        u = lo + far * q["v"] / (1 - q["v"])
-        return acc + q["w"] * F.exp(norm - (d + 1) / 2 * F.log1p(u * u / d)) * far / ((1 - q["v"]) * (1 - q["v"]))
-    p = 2 * F.aggregate(nodes, F.lit(0.0), add)
-    return F.when(d.isNotNull() & lo.isNotNull() & ~F.isnan(lo), F.least(p, F.lit(1.0)))
+    rows = df.withColumns({"_d": d, "_lo": lo, "_far": far, "_norm": norm}).select("*", F.inline(nodes))
+    u = F.col("_lo") + F.col("_far") * F.col("v") / (1 - F.col("v"))
+    term = (F.col("w") * F.exp(F.col("_norm") - (F.col("_d") + 1) / 2 * F.log1p(u * u / F.col("_d")))
+            * F.col("_far") / ((1 - F.col("v")) * (1 - F.col("v"))))
+    rest = [c for c in df.columns if c not in keys]
+    total = 2 * F.sum(F.when(~F.isnan("_lo"), term))
+    p = F.when(total.isNotNull(), F.least(total, F.lit(1.0)))
+    return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], p.alias(out)).select(*df.columns, out)

@@ -12,15 +12,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chainlake.functions.classify import market_hours
 from chainlake.functions.pricing import norm_cdf
-from chainlake.functions.stats import t_two_sided, with_norm_ppf
+from chainlake.functions.stats import with_norm_ppf, with_t_two_sided
 from chainlake.functions.util import safe_div
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
@@ -133,9 +130,9 @@ def lognormal_fit(sample: DataFrame, by=("ticker",), x: str = "iv", points: int
 RANK_CUTS = 1023
 
 
-def _bucket(cuts: Column, x: Column) -> Column:
-    """Number of cut points below ``x``, by halving steps."""
-    steps = [1 << k for k in range(RANK_CUTS.bit_length() - 1, -1, -1)]
+def _bucket(cuts: Column, x: Column, most: int) -> Column:
+    """Number of cut points, of at most ``most``, below ``x``, by halving steps."""
+    steps = [1 << k for k in range(most.bit_length() - 1, -1, -1)]
     return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda pos, k: F.when(
         (pos + k <= F.size(cuts)) & (F.element_at(cuts, F.least(pos + k, F.size(cuts))) < x), pos + k).otherwise(pos))
 
@@ -153,7 +150,7 @@ def ranked_values(sample: DataFrame, by=("ticker",), x: str = "iv", cuts: int =
             .filter(F.col("m") > 0))  # keeps ``m`` in every use, so that they share one exchange
     probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
     at = vals.groupBy(*by).agg(F.percentile_approx(x, probs, 10 * cuts).alias("_cuts"), F.sum("m").alias("n"))
-    b = vals.join(at, list(by)).withColumn("_b", _bucket(F.col("_cuts"), F.col(x))).drop("_cuts")
+    b = vals.join(at, list(by)).withColumn("_b", _bucket(F.col("_cuts"), F.col(x), cuts)).drop("_cuts")
     per_b = b.groupBy(*by, "_b").agg(F.sum("m").alias("_bm"))
     off = F.coalesce(F.sum("_bm").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_b = per_b.select(*by, "_b", off.alias("_off"))
@@ -227,48 +224,43 @@ def kde(sample: DataFrame, by=("ticker",), x: str = "iv", grid: int = KDE_GRID,
         bins: int = 4096, log: bool = False) -> DataFrame:
     """Gaussian kernel density estimate (Scott's bandwidth: sample std x
     n^(-1/5)) on ``grid`` points spanning [min - range/2, max + range/2].
+    ``log=True`` estimates the density of ln x.  A group without spread has
+    NULL densities.
 
-    Binned form: observations are counted into ``bins`` equal bins in Spark
-    (partial aggregation, skew-safe); each group's bin counts -- at most
-    ``bins`` rows -- are convolved with the kernel in pandas/numpy inside
-    ``applyInPandas``.  ``log=True`` estimates the density of ln x."""
-    v = F.log(F.col(x)) if log else F.col(x)
-    s = sample.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull())
-    st = s.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                            F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"))
-    lo, hi = F.col("_lo"), F.col("_hi")
-    idx = F.when(hi > lo, F.least(F.floor((F.col("_v") - lo) * (F.lit(float(bins)) / (hi - lo))),
-                                  F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counts = (s.join(st, list(by)).groupBy(*by, "_lo", "_hi", "_n", "_sd", idx.alias("_b"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    key_fields = [counts.schema[c] for c in by]
-    schema = T.StructType(key_fields + [T.StructField("k", T.LongType()),
-                                        T.StructField("x", T.DoubleType()),
-                                        T.StructField("density", T.DoubleType()),
-                                        T.StructField("bandwidth", T.DoubleType())])
-    keys = list(by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo_, hi_ = float(pdf["_lo"].iloc[0]), float(pdf["_hi"].iloc[0])
-        n, sd = float(pdf["_n"].iloc[0]), pdf["_sd"].iloc[0]
-        h = float(sd) * n ** (-1.0 / 5.0) if sd is not None and not pd.isna(sd) else float("nan")
-        rng = hi_ - lo_
-        xs = np.linspace(lo_ - 0.5 * rng, hi_ + 0.5 * rng, grid)
-        w = rng / bins if rng > 0 else 0.0
-        centers = lo_ + (pdf["_b"].to_numpy(dtype="float64") + 0.5) * w
-        c = pdf["_c"].to_numpy(dtype="float64")
-        if h > 0:
-            z = (xs[:, None] - centers[None, :]) / h
-            dens = (np.exp(-0.5 * z * z) @ c) / (n * h * SQRT_2PI)
-        else:
-            dens = np.full(grid, np.nan)
-        out = pd.DataFrame({"k": np.arange(grid, dtype="int64"), "x": xs, "density": dens,
-                            "bandwidth": h})
-        for kcol in keys:
-            out.insert(0, kcol, pdf[kcol].iloc[0])
-        return out[[*keys, "k", "x", "density", "bandwidth"]]
-
-    return counts.groupBy(*by).applyInPandas(run, schema)
+    Binned form: values are counted (ties collapse), then counted into ``bins``
+    equal bins of their group; each bin adds its share of the kernel to every
+    grid point, ``bins`` x ``grid`` steps a group whatever its size."""
+    return _kde(sample.select(*by, (F.log(x) if log else F.col(x)).alias("_v")), by, grid, bins)
+
+
+def kde_series(sample: DataFrame, by=("ticker",), x: str = "iv", **kw) -> DataFrame:
+    """``kde`` of x and of ln x (column ``series``), in one pass."""
+    both = F.inline(F.array(F.struct(F.lit(x).alias("series"), F.col(x).alias("_v")),
+                            F.struct(F.lit(f"log_{x}").alias("series"), F.log(x).alias("_v"))))
+    return _kde(sample.select(*by, both), (*by, "series"), **kw)
+
+
+def _kde(s: DataFrame, by, grid: int = KDE_GRID, bins: int = 4096) -> DataFrame:
+    vals = (s.filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("m"))
+            .filter(F.col("m") > 0))  # keeps ``m`` in every use, so that they share one exchange
+    v, m, lo, hi = F.col("_v"), F.col("m"), F.col("_lo"), F.col("_hi")
+    st = vals.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("m").cast("double").alias("_n"),
+                               (F.sum(m * v) / F.sum("m")).alias("_mean"))
+    idx = F.when(hi > lo, F.least(F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    counts = (vals.join(st, list(by)).groupBy(*by, "_lo", "_hi", "_n", idx.alias("_b"))
+              .agg(F.sum("m").cast("double").alias("_c"), F.sum(m * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_d")))
+    # at most ``bins`` rows of a group
+    var = safe_div(F.sum("_d").over(Window.partitionBy(*by)), F.col("_n") - 1)
+    width = (hi - lo) / bins
+    counts = counts.select(*by, "_n", "_c", (lo + (F.col("_b") + 0.5) * width).alias("_x"), (lo - 0.5 * (hi - lo)).alias("_from"),
+                           (hi + 0.5 * (hi - lo)).alias("_to"), F.when(hi > lo, F.sqrt(var) * F.pow("_n", F.lit(-0.2))).alias("h"))
+    k = F.col("k")
+    at = F.when(k == grid - 1, F.col("_to")).otherwise(k * ((F.col("_to") - F.col("_from")) / (grid - 1)) + F.col("_from"))
+    points = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))).alias("k")).withColumn("x", at)
+    z = (F.col("x") - F.col("_x")) / F.col("h")
+    out = points.groupBy(*by, "k").agg(F.first("x").alias("x"), F.first("h").alias("bandwidth"), F.first("_n").alias("_n"),
+                                       F.sum(F.col("_c") * F.exp(-0.5 * z * z)).alias("_sum"))
+    return out.select(*by, "k", "x", safe_div(F.col("_sum"), F.col("_n") * F.col("bandwidth") * SQRT_2PI).alias("density"), "bandwidth")
 
 
 def two_sample(sample: DataFrame, by=("ticker",), side: str = "option_type", x: str = "iv",
@@ -284,9 +276,9 @@ def two_sample(sample: DataFrame, by=("ticker",), side: str = "option_type", x:
     return sample.groupBy(*by).agg(*aggs)
 
 
-def welch_ttest(sample: DataFrame, by=("ticker",), alpha: float = ALPHA) -> DataFrame:
+def welch_ttest(sample: DataFrame, by=("ticker",), alpha: float = ALPHA, with_p: bool = True) -> DataFrame:
     """Welch's unequal-variance t-test, calls minus puts: t, Welch-Satterthwaite
-    df, two-sided p.  A side of fewer than two rows, or no variance on either
+    df, and (``with_p``) two-sided p.  A side of fewer than two rows, or no variance on either
     side, gives NULL t, df and p."""
     s = two_sample(sample, by)
     va, vb = safe_div("var_a", F.col("n_a")), safe_div("var_b", F.col("n_b"))
@@ -295,7 +287,9 @@ def welch_ttest(sample: DataFrame, by=("ticker",), alpha: float = ALPHA) -> Data
     out = s.select(*by, F.col("n_a").alias("n_calls"), F.col("n_b").alias("n_puts"),
                    F.col("mean_a").alias("mean_calls"), F.col("mean_b").alias("mean_puts"),
                    t.alias("t"), dof.alias("df"))
-    return out.withColumn("p", t_two_sided("t", "df")).withColumn("significant", F.col("p") < alpha)
+    if not with_p:
+        return out
+    return with_t_two_sided(out, by, "t", "df", "p").withColumn("significant", F.col("p") < alpha)
 
 
 def ztest(sample: DataFrame, by=("ticker",), alpha: float = ALPHA) -> DataFrame:

@@ -159,33 +159,77 @@ def ema_over(bars: DataFrame, days: int | None = None, warmup: bool = False, **k
     return ema(last_days(bars, days, ts="date"), **kw)
 
 
+# Days of a segment of the EMA scan.
+SEGMENT_DAYS = 256
+
+
+def _affine(span: float) -> tuple[float, float]:
+    """y = A y' + B x, as pandas ``ewm(adjust=False)`` computes it."""
+    a = 2.0 / (span + 1)
+    return (1.0 - a) / ((1.0 - a) + a), a / ((1.0 - a) + a)
+
+
+def _ema_scan(bars: DataFrame, spans, value: str, order: str) -> DataFrame:
+    """KEY, order, value, ``_t`` (number of the bar, from 1) and ``_y{i}``.
+
+    A bar is an affine map of the average before it, and maps compose.  Each
+    series is cut into segments of ``SEGMENT_DAYS`` days, which any task may
+    take: inside, y = A^k (y_in + sum(B x / A^k)) is a running sum.  Only the
+    segments' ends (a row per 256 bars) are folded in order; what each segment
+    begins with goes back to its bars.  The cost is linear in the bars."""
+    maps = [_affine(n) for n in spans]
+    seg = F.floor(F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) / SEGMENT_DAYS)
+    w = Window.partitionBy(KEY, "_seg").orderBy(order)
+    s = bars.select(KEY, order, value, seg.alias("_seg")).withColumn("_k", F.row_number().over(w))
+    x, k = F.col(value), F.col("_k")
+
+    def power(a: float, n) -> F.Column:
+        return F.pow(F.lit(a), n)
+    s = s.withColumns({f"_l{i}": (power(a, k) * F.sum(b * x / power(a, k)).over(w) if a else b * x) for i, (a, b) in enumerate(maps)})
+    ends = s.groupBy(KEY, "_seg").agg(F.max("_k").alias("n"), F.min_by(value, "_k").alias("x"),
+                                      *[F.max_by(f"_l{i}", "_k").alias(f"l{i}") for i in range(len(maps))])
+    series = ends.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("_seg", "n", "x", *[f"l{i}" for i in range(len(maps))]))).alias("_s"))
+
+    def carried(start, step):
+        """What stands before each segment."""
+        return F.aggregate("_s", F.array(start), lambda acc, e: F.array_append(acc, step(F.element_at(acc, -1), e)))
+    before = [carried(F.lit(0).cast("long"), lambda n, e: n + e["n"]).alias("_before")]
+    before += [carried(F.get("_s", F.lit(0))["x"], lambda y, e, a=a, i=i: power(a, e["n"]) * y + e[f"l{i}"]).alias(f"_in{i}") for i, (a, _) in enumerate(maps)]
+    names = ["_before", *[f"_in{i}" for i in range(len(maps))]]
+    starts = series.select(KEY, F.transform("_s", lambda e: e["_seg"]).alias("_segs"), *before)
+    at = F.explode(F.transform("_segs", lambda g, j: F.struct(g.alias("_seg"), *[F.get(n, j).alias(n) for n in names])))
+    starts = starts.select(KEY, at.alias("_at")).select(KEY, "_at.*")
+    return s.join(starts, [KEY, "_seg"]).select(
+        KEY, order, value, (F.col("_before") + k).alias("_t"),
+        *[(F.col(f"_l{i}") + power(a, k) * F.col(f"_in{i}")).alias(f"_y{i}") for i, (a, _) in enumerate(maps)])
+
+
 def ema(bars: DataFrame, spans=EMA_SPANS, value: str = "close", order: str = "date") -> DataFrame:
-    """Exponential moving averages of each contract's bars: alpha = 2 / (span
-    + 1), first value = first observation, y = ((1 - alpha) y' + alpha x) /
-    ((1 - alpha) + alpha) as pandas ``ewm(adjust=False)`` computes it.
-
-    The recursion is not a window function.  Each contract's bars (one per
-    trading day of its life, so a bounded list) are gathered in date order
-    and folded with the SQL ``aggregate`` higher-order function -- JVM only,
-    no Python worker -- then unnested back to rows."""
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("d"), F.col(value).alias("v"))))
-    g = bars.groupBy(KEY).agg(arr.alias("_s"))
-    xs = F.transform("_s", lambda e: e["v"])
-    names = [f"ema_{s_}" for s_ in spans]
-    cols = [F.col("_s")]
-    for s_ in spans:
-        a = 2.0 / (s_ + 1)
-        start = F.array(F.element_at(xs, 1))
-        step = F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), start,
-                           lambda acc, x: F.array_append(
-                               acc, (F.lit(1.0 - a) * F.element_at(acc, -1) + F.lit(a) * x)
-                               / F.lit((1.0 - a) + a)))
-        cols.append(step)
-    z = g.select(KEY, F.arrays_zip(*cols).alias("_z"))
-    z = z.select(KEY, F.inline("_z"))
-    fields = z.columns[1:]
-    return z.select(KEY, F.col(fields[0])["d"].alias(order), F.col(fields[0])["v"].alias(value),
-                    *[F.col(f).alias(n) for f, n in zip(fields[1:], names)])
+    """Exponential moving averages of each contract's daily bars: alpha = 2 /
+    (span + 1), first value = first observation, y = ((1 - alpha) y' + alpha x)
+    / ((1 - alpha) + alpha) as pandas ``ewm(adjust=False)`` computes it."""
+    out = _ema_scan(bars, spans, value, order)
+    return out.select(KEY, order, value, *[F.col(f"_y{i}").alias(f"ema_{n}") for i, n in enumerate(spans)])
+
+
+def ema_timeframes(bars: DataFrame, timeframes=None, spans=EMA_SPANS, value: str = "close", order: str = "date") -> DataFrame:
+    """The averages of every timeframe, each begun at its own first bar, from
+    one scan: an average begun at bar s differs from the one of the whole
+    series by A^(t - s) times their difference at s."""
+    frames = {k: d for k, d in (timeframes or TIMEFRAMES).items()}
+    full = _ema_scan(bars, spans, value, order)
+    newest = full.groupBy(KEY).agg(F.max(order).alias("_top"))
+    since = F.explode(F.array(*[F.struct(F.lit(k).alias("timeframe"), (F.date_sub("_top", d) if d is not None else F.lit(None).cast("date")).alias("_from"))
+                                for k, d in frames.items()]))
+    rows = (full.join(newest.select(KEY, since.alias("_f")).select(KEY, "_f.*"), KEY)
+            .where(F.col("_from").isNull() | (F.col(order) >= F.col("_from"))).drop("_from"))
+    first = F.min_by(F.struct("_t", value, *[f"_y{i}" for i in range(len(spans))]), "_t")
+    begun = rows.groupBy(KEY, "timeframe").agg(first.alias("_s"))
+    gap = F.col("_t") - F.col("_s._t")
+    return rows.join(begun, [KEY, "timeframe"]).select(
+        KEY, "timeframe", order, value,
+        *[(F.col(f"_y{i}") + F.pow(F.lit(_affine(n)[0]), gap) * (F.col(f"_s.{value}") - F.col(f"_s._y{i}"))).alias(f"ema_{n}")
+          for i, n in enumerate(spans)])
 
 
 def oi_change(opts: DataFrame, days: int | None = None) -> DataFrame:

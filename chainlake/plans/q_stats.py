@@ -149,7 +149,8 @@ def q_box_plot(spark, sf_dir):
     return _r(b, ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"])
 
 
-def _kde_sql(series: str, expr: str, bins: int = 4096, grid: int = S.KDE_GRID) -> str:
+def _kde_sql(series: str, expr: str, bins: int = 4096, grid: int = S.KDE_GRID, src: str = "iv_sample", where: str = "TRUE") -> str:
+    src = f"(SELECT * FROM {src} WHERE {where})"
     return f"""
 SELECT ticker, '{series}' AS series, k, round(x, 8) AS x,
        round(sum(c * exp(-0.5 * ((x - ctr) / h) * ((x - ctr) / h))) / (n * h * {f(math.sqrt(2 * math.pi))}), 9)
@@ -162,23 +163,29 @@ FROM (
          b.c, g.lo + (b.bin + 0.5) * ((g.hi - g.lo) / {bins}) AS ctr
   FROM (SELECT *, sd * pow(n, -0.2) AS h FROM (
           SELECT ticker, min(v) AS lo, max(v) AS hi, CAST(count(*) AS DOUBLE) AS n, stddev_samp(v) AS sd
-          FROM (SELECT ticker, {expr} AS v FROM iv_sample) GROUP BY ticker), range(0, {grid}) t(k)) g
+          FROM (SELECT ticker, {expr} AS v FROM {src}) GROUP BY ticker), range(0, {grid}) t(k)) g
   JOIN (SELECT s.ticker, CASE WHEN r.hi > r.lo THEN least(CAST(floor((s.v - r.lo) * (CAST({bins} AS DOUBLE) / (r.hi - r.lo))) AS INTEGER), {bins - 1}) ELSE 0 END AS bin,
                count(*) AS c
-        FROM (SELECT ticker, {expr} AS v FROM iv_sample) s
-        JOIN (SELECT ticker, min({expr}) AS lo, max({expr}) AS hi FROM iv_sample GROUP BY ticker) r
+        FROM (SELECT ticker, {expr} AS v FROM {src}) s
+        JOIN (SELECT ticker, min({expr}) AS lo, max({expr}) AS hi FROM {src} GROUP BY ticker) r
           ON r.ticker = s.ticker GROUP BY 1, 2) b ON b.ticker = g.ticker)
 GROUP BY ticker, k, x, n, h"""
 
 
 @register("kde", sql(_kde_sql("iv", "iv") + "\nUNION ALL\n" + _kde_sql("log_iv", "ln(iv)"), extra=SAMPLE_SQL))
 def q_kde(spark, sf_dir):
-    s = _sample(spark, sf_dir)
-    raw = S.kde(s).withColumn("series", F.lit("iv"))
-    lg = S.kde(s, log=True).withColumn("series", F.lit("log_iv"))
-    out = raw.unionByName(lg)
-    return out.select("ticker", "series", "k", F.round("x", 8).alias("x"),
-                      F.round("density", 9).alias("density"), F.round("bandwidth", 10).alias("bandwidth"))
+    out = S.kde_series(_sample(spark, sf_dir))
+    return _r(_r(out.select("ticker", "series", "k", "x", "density", "bandwidth"), ["x"]), ["density"], 9).withColumn(
+        "bandwidth", F.round("bandwidth", 10))
+
+
+@register("kde_sides", sql(_kde_sql("call", "iv", src="near_sample", where="option_type = 'call'") + "\nUNION ALL\n"
+                           + _kde_sql("put", "iv", src="near_sample", where="option_type = 'put'"), extra=SAMPLE_SQL))
+def q_kde_sides(spark, sf_dir):
+    """Near-the-money calls vs puts."""
+    out = S.kde(_near(spark, sf_dir), by=("ticker", "option_type")).withColumnRenamed("option_type", "series")
+    return _r(_r(out.select("ticker", "series", "k", "x", "density", "bandwidth"), ["x"]), ["density"], 9).withColumn(
+        "bandwidth", F.round("bandwidth", 10))
 
 
 def _two_sample_sql(src: str, label: str) -> str:
@@ -208,7 +215,7 @@ SELECT ticker, sample, n_a AS n_calls, n_b AS n_puts, round(mean_a, 8) AS mean_c
              / ((var_a / n_a) * (var_a / n_a) / (n_a - 1) + (var_b / n_b) * (var_b / n_b) / (n_b - 1)), 6) AS df
 FROM two""", extra=TWO_SQL))
 def q_welch_ttest(spark, sf_dir):
-    w = _both(spark, sf_dir, lambda s: S.welch_ttest(s).drop("p", "significant"))
+    w = _both(spark, sf_dir, lambda s: S.welch_ttest(s, with_p=False))
     return _r(_r(w, ["mean_calls", "mean_puts", "t"]), ["df"], 6)
 
 

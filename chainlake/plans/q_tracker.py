@@ -110,6 +110,34 @@ def q_ema(spark, sf_dir):
                     *[F.round(f"ema_{s}", 8).alias(f"ema_{s}") for s in tracker.EMA_SPANS])
 
 
+def _frames_sql() -> str:
+    frames = ", ".join(f"('{k}', {'NULL' if d is None else d})" for k, d in tracker.TIMEFRAMES.items())
+    a = [2.0 / (s + 1) for s in tracker.EMA_SPANS]
+    first = ", ".join(f'"close" AS e{s}' for s in tracker.EMA_SPANS)
+    step = ", ".join(f'({f(1 - al)} * r.e{s} + {f(al)} * i."close") / ({f(1 - al)} + {f(al)})' for s, al in zip(tracker.EMA_SPANS, a))
+    return f"""
+frames(timeframe, days) AS (VALUES {frames}),
+cut AS (SELECT o.contractSymbol, timeframe, o."date", o."close" FROM
+          (SELECT *, max("date") OVER (PARTITION BY contractSymbol) AS top FROM ohlc) o, frames
+        WHERE days IS NULL OR o."date" >= o.top - CAST(days AS INTEGER)),
+tf_in AS (SELECT *, row_number() OVER (PARTITION BY contractSymbol, timeframe ORDER BY "date") AS rn FROM cut),
+tf_rec AS (
+  SELECT contractSymbol, timeframe, "date", "close", rn, {first} FROM tf_in WHERE rn = 1
+  UNION ALL
+  SELECT i.contractSymbol, i.timeframe, i."date", i."close", i.rn, {step}
+  FROM tf_rec r JOIN tf_in i ON i.contractSymbol = r.contractSymbol AND i.timeframe = r.timeframe AND i.rn = r.rn + 1)"""
+
+
+@register("ema_timeframes", sql(f"""
+SELECT contractSymbol, timeframe, "date", "close", {", ".join(f"round(e{s}, 8) AS ema_{s}" for s in tracker.EMA_SPANS)}
+FROM tf_rec""", extra=OHLC_SQL + "," + _frames_sql(), recursive=True))
+def q_ema_timeframes(spark, sf_dir):
+    """The averages of all five timeframes, each begun at its first bar."""
+    e = tracker.ema_timeframes(tracker.ohlc(_t(spark, sf_dir).bronze_options()))
+    return e.select("contractSymbol", "timeframe", "date", "close",
+                    *[F.round(f"ema_{s}", 8).alias(f"ema_{s}") for s in tracker.EMA_SPANS])
+
+
 @register("oi_change", sql("""
 SELECT contractSymbol, snapshot_time, volume, openInterest, lag(openInterest) OVER w AS oi_prev,
        openInterest - lag(openInterest) OVER w AS oi_change,

@@ -4,8 +4,9 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from chainlake.functions.stats import t_two_sided
+from chainlake.functions.stats import with_t_two_sided
 from chainlake.operators import stats as S
 
 VALUES = [12.0, 15.5, 15.5, 15.5, 18.0, 21.25, 30.0, 33.0, 33.0, 90.0, 8.5, 14.0, 16.0, 17.5]
@@ -77,6 +78,29 @@ def test_kde_close_to_exact_gaussian_kde(sample):
         assert r.density == pytest.approx(exact, rel=1e-3, abs=1e-6)
 
 
+def test_kde_of_both_series_in_one_pass(spark, sample):
+    both = S.kde_series(sample, grid=40)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+    def rows(df):
+        return [v for r in sorted((r.k, r.x, r.density, r.bandwidth) for r in df.collect()) for v in r]
+    assert rows(both.where("series = 'iv'")) == pytest.approx(rows(S.kde(sample, grid=40)))
+    assert rows(both.where("series = 'log_iv'")) == pytest.approx(rows(S.kde(sample, grid=40, log=True)))
+    flat = spark.createDataFrame([("T", "call", 5.0)] * 3, sample.schema)
+    assert {r.density for r in S.kde(flat, grid=5).collect()} == {None}
+
+
+def test_ranges_of_the_rank_follow_their_parameter(spark):
+    d = spark.range(20_000).select(F.lit("T").alias("ticker"), F.col("id").cast("double").alias("iv"))
+    for cuts in (7, 1023, 4095):
+        got = S.ranked_values(d, cuts=cuts)
+        assert got.where("start <> iv + 1 OR n <> 20000").count() == 0
+        at = F.array(*[F.lit(i * 20_000 / cuts) for i in range(cuts)])
+        most = d.select(S._bucket(at, F.col("iv"), cuts).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+        assert most <= 2 * 20_000 // cuts + 2
+
+
 def test_welch_and_z(sample):
     (w,) = S.welch_ttest(sample).collect()
     calls = [v for i, v in enumerate(VALUES) if i % 2]
@@ -108,10 +132,10 @@ def test_t_p_value_known_points(spark):
     for big in (1e10, 1e12, 1e15):
         known += [(t, big, math.erfc(t / math.sqrt(2))) for t in (0.0, 0.3, 1.0, 4.0)]
     rows = spark.createDataFrame(known, "t double, df double, p double")
-    for r in rows.select("*", t_two_sided("t", "df").alias("got")).collect():
+    for r in with_t_two_sided(rows, ["t", "df"], "t", "df", "got").collect():
         assert r.got == pytest.approx(r.p, abs=1e-9), r
     none = spark.createDataFrame([(1.0, 0.0), (None, 3.0), (1.0, None), (math.nan, 3.0)], "t double, df double")
-    assert [r[0] for r in none.select(t_two_sided("t", "df")).collect()] == [None] * 4
+    assert [r.got for r in with_t_two_sided(none, ["t", "df"], "t", "df", "got").collect()] == [None] * 4
 
 
 @pytest.fixture(scope="module")

@@ -69,6 +69,44 @@ def test_timeframe_relative_to_series_max(spark):
     assert kept == [("A", d(2024, 1, 8)), ("A", d(2024, 1, 10)), ("B", d(2023, 1, 1))]
 
 
+def test_ema_of_a_long_series_spreads_over_tasks(spark):
+    """A million daily bars of one contract, with gaps, beside a short one."""
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    days = spark.range(1_000_000, numPartitions=8).where("id % 7 <> 3")
+    price = (F.lit(100.0) + (i * 7919) % 1009 + 50 * F.sin(i / 1000.0))
+    bars = days.select(F.lit("LONG").alias("contractSymbol"), F.date_add(F.lit("0001-01-01").cast("date"), i.cast("int")).alias("date"), price.alias("close"))
+    short = spark.createDataFrame([("S", dt.date(2024, 1, k + 1), float(k)) for k in range(5)], "contractSymbol string, date date, close double")
+    got = tracker.ema(bars.unionByName(short))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_task = got.where("contractSymbol = 'LONG'").groupBy(F.spark_partition_id()).agg(F.count("ema_8").alias("n")).collect()
+        assert len(per_task) > 4 and max(r.n for r in per_task) < 400_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    row = got.where("contractSymbol = 'LONG'").select(F.datediff("date", F.lit("0001-01-01").cast("date")).alias("i"), "close", "ema_8", "ema_27", "ema_200")
+    pdf = row.toPandas().sort_values("i")
+    assert len(pdf) == 857_143
+    for s in tracker.EMA_SPANS:
+        assert (pdf["close"].ewm(span=s, adjust=False).mean() - pdf[f"ema_{s}"]).abs().max() < 1e-9
+    assert got.where("contractSymbol = 'S'").count() == 5
+
+
+def test_ema_of_all_timeframes_at_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(c, dt.date(2020, 1, 1) + dt.timedelta(days=k * step), 10.0 + (k * 37) % 11 - k / 50)
+            for c, n, step in (("A", 700, 1), ("B", 3, 40), ("C", 1, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "contractSymbol string, date date, close double")
+    got = tracker.ema_timeframes(df)
+    for name, days in tracker.TIMEFRAMES.items():
+        want = sorted(map(tuple, tracker.ema_over(df, days).collect()))
+        have = sorted(map(tuple, got.where(F.col("timeframe") == name).drop("timeframe").collect()))
+        assert [w[:3] for w in want] == [h[:3] for h in have]
+        assert [v for w in want for v in w[3:]] == pytest.approx([v for h in have for v in h[3:]], rel=1e-12)
+
+
 def test_ema_timeframe_warmup(spark):
     closes = [1.0, 2.0, 4.0, 8.0, 16.0]
     days = [dt.date(2024, 1, i + 1) for i in range(5)]

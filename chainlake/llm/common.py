@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chainlake.session import checkpoint_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,6 +43,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def trimmed(c: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.trim(c, F.lit(BLANKS))
+
+
 def text_hash(c: Column) -> Column:
     """64-bit hash that tells apart rows of one id with different texts."""
     return F.xxhash64(F.coalesce(c, F.lit("\u0000")))

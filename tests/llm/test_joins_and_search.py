@@ -151,25 +151,28 @@ def test_report_odd_rows_and_many_blocks(spark, odd, nothing):
     assert dc.remove(odd, bench.limit(0)).count() == len(ODD)
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def brute_lines(rows, min_sites):
     sites, keeper = defaultdict(set), {}
     for i, t, s in rows:
         for x in (t or "").split("\n"):
-            if x.strip(" "):
-                sites[x.strip(" ")].add(s)
+            if x.strip(BLANKS):
+                sites[x.strip(BLANKS)].add(s)
                 if i is not None:
-                    keeper[x.strip(" ")] = min(i, keeper.get(x.strip(" "), i))
+                    keeper[x.strip(BLANKS)] = min(i, keeper.get(x.strip(BLANKS), i))
     out = []
     for i, t, s in rows:
         xs = (t or "").split("\n")
-        keep = [x for x in xs if len(sites[x.strip(" ")]) < min_sites or keeper.get(x.strip(" ")) == i]
+        keep = [x for x in xs if len(sites[x.strip(BLANKS)]) < min_sites or keeper.get(x.strip(BLANKS)) == i]
         out.append((i, len(xs) if t else 0, len(xs) - len(keep) if t else 0, "\n".join(keep) if t else t))
     return out
 
 
 def test_line_dedup_equals_brute_force(spark, odd, nothing):
     rng = random.Random(5)
-    lines = [f"line {i}" for i in range(12)] + ["", " "]
+    lines = [f"line {i}" for i in range(12)] + ["", " ", "line 3\r", "\tline 4\x0b", "\x0cline 5 ", "\u00a0line 6", "\r"]
     rows = [(rng.choice([None, *range(60)]), "\n".join(rng.choice(lines) for _ in range(rng.randrange(9))), rng.choice([None, *"abcdef"]))
             for _ in range(150)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -182,6 +185,20 @@ def test_line_dedup_equals_brute_force(spark, odd, nothing):
     assert ld.dedup(nothing).collect() == []
 
 
+def test_lines_that_end_in_cr_are_one_line(spark):
+    rows = [(i, "the same line" + "\r" * (i % 2) + f"\nown {i}", f"site{i}") for i in range(12)]
+    got = ld.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {0: rows[0][1]} | {i: f"own {i}" for i in range(1, 12)}
+
+
+def test_site_threshold_follows_the_sources(spark):
+    for n, want in ((1, 3), (4, 3), (8, 4), (13, 7), (20, 10), (900, 10)):
+        assert ld.site_threshold(spark.range(n * 2).select((F.col("id") % n).alias("source"))) == want
+    few = [(i, "boilerplate\ntext of its own " + "x" * i, f"s{i % 4}") for i in range(8)]
+    got = ld.dedup(spark.createDataFrame(few, "doc_id long, text string, source string"))
+    assert got.where("n_removed = 1").count() == 7
+
+
 def test_signatures_estimate_similarity():
     a = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     same = (jj.signature(a[:900]) == jj.signature(a[100:])).mean()

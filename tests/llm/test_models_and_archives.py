@@ -235,6 +235,13 @@ def test_pipeline(spark, small_dir):
     assert sum(r["n_words"] for r in mixed) == pytest.approx(sum(len((t or "").encode().split()) for t in kept.values()), rel=0.01)
 
 
+def test_documents_of_boilerplate_alone_go(spark, small_dir):
+    rows = [(i, "shared line\r\n \n\t\n", "en", f"s{i}", 20) for i in range(12)] + [(20, " \n", "en", "s1", 2), (21, None, "en", "s2", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_lines(spark, docs, small_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 20, 21]  # null and blank texts held no boilerplate
+
+
 def test_pipeline_runs_on_an_empty_table(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.llm import decontaminate, jaccard_join, line_dedup, mixing, toxicity
-from chainlake.llm.common import staged, table
+from chainlake.llm.common import staged, table, trimmed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without boilerplate lines; documents of nothing else are gone."""
     got = line_dedup.dedup(docs)
-    return got.where(~((F.col("n_removed") > 0) & (F.trim("text") == ""))).select(*docs.columns)
+    return got.where(~((F.col("n_removed") > 0) & (trimmed(F.col("text")) == ""))).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each table is computed, written to a staging folder under the shared
 checkpoint directory (which also cuts the lineage for the tables built on
-top of it), validated from the staged files, and only then moved into
+top of it), checked by the job that writes it, and only then moved into
 place.  A table whose abort-level checks fail is not published; the
 reference publishes first and asserts afterwards.
 """
@@ -91,13 +91,21 @@ def read_table(spark: SparkSession, out_dir: str, name: str) -> DataFrame | None
     return spark.read.parquet(f"{target}/{version}") if version else None
 
 
-def _stage(spark: SparkSession, df: DataFrame, name: str, run: str) -> DataFrame:
+def _stage(spark: SparkSession, df: DataFrame, name: str, run: str) -> tuple[DataFrame, int, list[str]]:
+    """Write a table to its staging folder; its rows are counted and checked
+    by the same job.  Returns it read back, with the count and failed checks."""
     path = checkpoint_path(spark, f"medallion-{run}/{name}")
+    df, seen = quality.observed(name, df)
     w = df.write.mode("overwrite")
     if PARTITIONS.get(name):
         w = w.partitionBy(*PARTITIONS[name])
     w.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), seen.get["_rows"], quality.observed_failures(name, seen)
+
+
+def _repeated(df: DataFrame, key: str) -> bool:
+    """A key occurs twice: only the key column of a staged table is read."""
+    return not df.groupBy(key).count().where("count > 1").isEmpty()
 
 
 def build(spark: SparkSession, bronze_options: DataFrame | None, bronze_price: DataFrame | None,
@@ -117,13 +125,16 @@ def build(spark: SparkSession, bronze_options: DataFrame | None, bronze_price: D
     in_place = silver_tables is not None
     tables: dict[str, DataFrame | None] = {}
     verdicts: dict[str, tuple[int | None, list[str]]] = {}
+    def stage(name: str, df: DataFrame) -> None:
+        tables[name], n, bad = _stage(spark, df, name, run)
+        verdicts[name] = (n, bad)
     if in_place:
         for name, (df, bad) in silver_tables.items():
             tables[name] = df
             verdicts[name] = (df.count() if df is not None else None, bad)
-    else:
-        tables["silver_price_daily"] = _stage(spark, silver.silver_price(bronze_price), "silver_price_daily", run)
-        tables["silver_options_latest"] = _stage(spark, silver.silver_options(bronze_options), "silver_options_latest", run)
+    else:  # one row per key by the way they are selected
+        stage("silver_price_daily", silver.silver_price(bronze_price))
+        stage("silver_options_latest", silver.silver_options(bronze_options))
     px, opts = tables["silver_price_daily"], tables["silver_options_latest"]
 
     def ranked() -> DataFrame:
@@ -135,25 +146,16 @@ def build(spark: SparkSession, bronze_options: DataFrame | None, bronze_price: D
         "gold_greeks_exposure": lambda: gold.greeks_exposure(opts),
     }
     for name, df in made.items():
-        held = in_place and any(verdicts[d][1] or tables[d] is None for d in DEPENDS[name])
-        tables[name] = None if held else _stage(spark, df(), name, run)
-    checks = {
-        "silver_price_daily": lambda: quality.dq_silver_price(px, bronze_price),
-        "silver_options_latest": lambda: quality.dq_silver_options(opts, bronze_options),
-        "gold_latest_snapshot": lambda: quality.dq_latest_snapshot(tables["gold_latest_snapshot"], opts),
-        "gold_pcr": lambda: quality.dq_pcr(tables["gold_pcr"]),
-        "gold_iv_rank": lambda: quality.dq_iv_rank(tables["gold_iv_rank"]),
-        "gold_greeks_exposure": lambda: quality.dq_greeks_exposure(tables["gold_greeks_exposure"]),
-    }
-    # validate everything from the staged files first; publishing moves them
-    for name, df in tables.items():
-        if name in verdicts:
-            bad = verdicts[name][1]
-        elif df is None:
-            verdicts[name] = (None, bad := [])
+        if in_place and any(verdicts[d][1] or tables[d] is None for d in DEPENDS[name]):
+            tables[name], verdicts[name] = None, (None, [])
         else:
-            bad = sorted(r.check for r in quality.failed(checks[name]()).select("check").collect())
-            verdicts[name] = (df.count(), bad)
+            stage(name, df())
+    latest = tables["gold_latest_snapshot"]
+    if latest is not None:
+        n, bad = verdicts["gold_latest_snapshot"]
+        bad = bad + (["rows_vs_silver"] if n != verdicts["silver_options_latest"][0] else [])
+        verdicts["gold_latest_snapshot"] = (n, bad + (["contracts_vs_silver"] if _repeated(latest, "contractSymbol") else []))
+    for name, (_, bad) in verdicts.items():
         if bad and strict:
             raise ValueError(f"{name} failed checks: {bad}")
     for name, deps in DEPENDS.items():
@@ -178,22 +180,27 @@ def build(spark: SparkSession, bronze_options: DataFrame | None, bronze_price: D
 SILVER_DIRS = {"options": "silver_options_latest", "price": "silver_price_daily"}
 
 
-def update_iv_partials(spark: SparkSession, bronze_dir: str, partials_dir: str) -> DataFrame:
-    """Keep ``gold.iv_partials`` of every Bronze batch: only batches that are
-    not in the table yet are read.  A folder per update, named by a commit, so
-    an update that died leaves nothing behind that is read."""
+def update_kept(spark: SparkSession, bronze_dir: str, kept_dir: str, reduce_rows) -> DataFrame:
+    """A table of mergeable parts (``reduce_rows`` of each Bronze batch), kept
+    beside Bronze: only batches that it does not hold yet are read.  A folder
+    per update, named by a commit, so an update that died leaves nothing
+    behind that is read."""
     from chainlake.streaming import ingest as stream
 
-    said = files.read_commit(spark, partials_dir) or {"through": -1, "folders": []}
+    said = files.read_commit(spark, kept_dir) or {"through": -1, "folders": []}
     new = stream.batches_after(spark, bronze_dir, said["through"])
     if new:
         folder = f"p-{uuid.uuid4().hex[:12]}"
-        rows = gold.iv_partials(stream.read_bronze(spark, bronze_dir, "options", after=said["through"]))
-        rows.write.parquet(f"{partials_dir}/{folder}")
+        reduce_rows(stream.read_bronze(spark, bronze_dir, "options", after=said["through"])).write.parquet(f"{kept_dir}/{folder}")
         said = {"through": new[-1], "folders": [*said["folders"], folder]}
-        files.write_commit(spark, partials_dir, said)
-    paths = [f"{partials_dir}/{f}" for f in said["folders"]]
-    return spark.read.parquet(*paths) if paths else gold.iv_partials(stream.read_bronze(spark, bronze_dir, "options"))
+        files.write_commit(spark, kept_dir, said)
+    paths = [f"{kept_dir}/{f}" for f in said["folders"]]
+    return spark.read.parquet(*paths) if paths else reduce_rows(stream.read_bronze(spark, bronze_dir, "options"))
+
+
+def update_iv_partials(spark: SparkSession, bronze_dir: str, partials_dir: str) -> DataFrame:
+    """``gold.iv_partials`` of every Bronze batch."""
+    return update_kept(spark, bronze_dir, partials_dir, gold.iv_partials)
 
 
 def run(spark: SparkSession, landing_root: str, warehouse: str, strict: bool = False,

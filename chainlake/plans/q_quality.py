@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from chainlake.operators import quality as Q
+from chainlake.operators import sketches, stats, tracker
 from chainlake.plans.catalog import register
 from chainlake.plans.oracle import sql
 from chainlake.plans.tables import Tables
@@ -126,3 +129,49 @@ SELECT ticker, iv_current * 100 AS iv_current_pct, iv_min * 100 AS iv_min_pct, i
        snapshot_time FROM gold_iv_rank""", gold=True))
 def q_iv_report(spark, sf_dir):
     return Q.iv_report(Tables(spark, sf_dir).gold_iv_rank())
+
+
+# The sketches are compared with the exact forms: an estimate within the
+# stated error of the exact count or rank is TRUE in the column ``near``.
+
+
+def _near(estimate: str, exact: str):
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(sketches.COUNT_ERROR * F.col(exact), F.lit(0.5))
+
+
+@register("health_bronze_sketch", sql("""
+SELECT ticker, TRUE AS near, max(snapshot_time) AS last_snapshot, count(*) AS total_rows FROM bronze_options_raw GROUP BY ticker"""))
+def q_health_bronze_sketch(spark, sf_dir):
+    b = Tables(spark, sf_dir).bronze_options()
+    exact = Q.health_bronze(b).select("ticker", F.col("total_snapshots").alias("exact"))
+    got = sketches.health_bronze(sketches.run_sketches(b)).join(exact, "ticker")
+    return got.select("ticker", _near("total_snapshots", "exact").alias("near"), "last_snapshot", "total_rows")
+
+
+@register("contract_summary_sketch", sql("""
+SELECT ticker, contractSymbol, CAST(expiry AS VARCHAR) AS expiry, option_type, strike, TRUE AS near,
+       round(min(lastPrice), 2) AS price_min, round(max(lastPrice), 2) AS price_max
+FROM bronze_options_raw WHERE lastPrice > 0 AND impliedVolatility > 0.01
+GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT snapshot_str) >= 3"""))
+def q_contract_summary_sketch(spark, sf_dir):
+    b = Tables(spark, sf_dir).bronze_options()
+    keys = ["ticker", "contractSymbol", "expiry", "option_type", "strike"]
+    exact = tracker.contract_summary(b).select(*keys, F.col("snapshots").alias("exact"))
+    got = sketches.contract_summary(sketches.contract_sketches(b)).join(exact, keys, "full")
+    return got.select(*keys, F.coalesce(_near("snapshots", "exact"), F.lit(False)).alias("near"), "price_min", "price_max")
+
+
+@register("qq_plot_sketch", sql("""
+SELECT ticker, j, (j - 0.5) / 200 AS p, TRUE AS near
+FROM (SELECT DISTINCT ticker FROM bronze_options_raw
+      WHERE impliedVolatility > 0.01 AND impliedVolatility < 2.0 AND hour(snapshot_time) BETWEEN 9 AND 18),
+     (SELECT CAST(unnest(range(1, 201)) AS INTEGER) AS j)"""))
+def q_qq_plot_sketch(spark, sf_dir):
+    """Sketched Q-Q points; ``near``: the exact ranks of the value hold the
+    probability, up to the stated error."""
+    b = Tables(spark, sf_dir).bronze_options()
+    pts = sketches.qq_points(sketches.iv_sketches(b))
+    ranks = stats.ranked_values(stats.iv_sample(b)).select(
+        "ticker", F.col("iv").alias("osr"), ((F.col("start") - 1) / F.col("n")).alias("lo"), ((F.col("start") - 1 + F.col("m")) / F.col("n")).alias("hi"))
+    near = (F.col("p") >= F.col("lo") - sketches.RANK_ERROR) & (F.col("p") <= F.col("hi") + sketches.RANK_ERROR)
+    return pts.join(ranks, ["ticker", "osr"], "left").select("ticker", "j", "p", F.coalesce(near, F.lit(False)).alias("near"))

@@ -48,6 +48,25 @@ def contract_history(opts: DataFrame, metric: str = "lastPrice", hours=(9, 18))
     return kept.filter(F.col(metric).isNotNull()).select(HISTORY_COLS)
 
 
+def metric_history(opts: DataFrame, metrics, hours=(9, 18)) -> DataFrame:
+    """``contract_history`` of several daily metrics at once, as rows (contract,
+    time, metric, value): the newest snapshots are found once."""
+    rows = opts.filter(market_hours("snapshot_time", *hours)).withColumn("_d", F.to_date("snapshot_time"))
+    newest = rows.groupBy(KEY, "_d").agg(F.max("snapshot_time").alias("snapshot_time"))
+    kept = rows.join(newest, [KEY, "_d", "snapshot_time"], "left_semi")
+    return kept.unpivot([KEY, "snapshot_time"], list(metrics), "metric", "value").filter(F.col("value").isNotNull())
+
+
+def all_timeframes(df: DataFrame, timeframes=None, ts: str = "snapshot_time") -> DataFrame:
+    """``last_days`` of every timeframe in one pass, with its name."""
+    newest = df.groupBy(KEY).agg(F.max(ts).alias("_top"))
+    since = F.inline(F.array(*[F.struct(F.lit(k).alias("timeframe"),
+                                        (F.col("_top") - F.make_dt_interval(F.lit(d)) if d is not None else F.lit(None).cast("timestamp_ntz")).alias("_from"))
+                               for k, d in (timeframes or TIMEFRAMES).items()]))
+    return (df.join(newest.select(KEY, since), KEY).filter(F.col("_from").isNull() | (F.col(ts) >= F.col("_from")))
+            .select("timeframe", *df.columns))
+
+
 def last_days(df: DataFrame, days: int | None, ts: str = "snapshot_time",
               by: str | None = KEY) -> DataFrame:
     """Rows at or after (newest ``ts`` of the series - ``days`` days); the

@@ -29,7 +29,7 @@ def register(key: str, oracle: str | None = None):
 def _load_all() -> None:
     # Importing the modules registers their queries.
     from chainlake.plans import (q_chain, q_ingest, q_medallion, q_pricing,  # noqa: F401
-                                 q_quality, q_stats, q_tracker)
+                                 q_quality, q_stats, q_tracker, q_sorted)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,7 +44,10 @@ def _runs(rows):
 
 
 # The landing folder of a row, as far as its name does not change by run.
-PART = F.regexp_extract("_source_file", "part=([^/]+)/", 1).alias("_source_file")
+def _part():
+    return F.regexp_extract("_source_file", "part=([^/]+)/", 1).alias("_source_file")
+
+
 OPTION_PART_SQL = """
 parts AS (SELECT *, 'r' || lpad(CAST(row_number() OVER (PARTITION BY contractSymbol, snapshot_time, snapshot_str
                                                        ORDER BY _source_file) AS VARCHAR), 4, '0') AS part
@@ -76,14 +79,14 @@ def _ingest(spark, sf_dir: str, kind: str, runs: int = 2) -> tuple[str, str]:
 SELECT {", ".join(c for c in OPTION_COLS)}, part AS _source_file FROM parts""", extra=OPTION_PART_SQL))
 def q_ingest_options(spark, sf_dir):
     _, bronze = _ingest(spark, sf_dir, "options")
-    return stream.read_bronze(spark, bronze).select(*OPTION_COLS, PART)
+    return stream.read_bronze(spark, bronze).select(*OPTION_COLS, _part())
 
 
 @register("ingest_price", sql(f"""
 SELECT {", ".join(f'"{c}"' for c in PRICE_COLS)}, ticker || '_' || snapshot_str AS _source_file FROM bronze_price_raw"""))
 def q_ingest_price(spark, sf_dir):
     _, bronze = _ingest(spark, sf_dir, "price")
-    return stream.read_bronze(spark, bronze, "price").select(*PRICE_COLS, PART)
+    return stream.read_bronze(spark, bronze, "price").select(*PRICE_COLS, _part())
 
 
 @register("ingest_manifest", sql("""
@@ -105,7 +108,7 @@ def q_manifest_dedupe(spark, sf_dir):
     that its manifest does not name.  Bronze itself is not read."""
     landing, bronze = _ingest(spark, sf_dir, "options", runs=1)
     new = ingest.new_files_only(ingest.read_landing(spark, landing, "options"), stream.read_manifest(spark, bronze))
-    return new.select(*OPTION_COLS, PART)
+    return new.select(*OPTION_COLS, _part())
 
 
 # What the quarantine query spoils, by number of the contract.
@@ -159,7 +162,7 @@ def q_stream_silver_merge(spark, sf_dir):
     for part in reversed(_runs(_rows(spark, sf_dir, "options"))):
         stream.write_landing(part, landing, by=("part",))
         stream.stream_silver_merge(spark, landing, "options", silver_dir, ckpt)
-    return stream.read_silver(spark, silver_dir, "options").select(*SILVER_COLS, PART)
+    return stream.read_silver(spark, silver_dir, "options").select(*SILVER_COLS, _part())
 
 
 @register("iv_rank_incremental", sql("SELECT * FROM gold_iv_rank", gold=True))

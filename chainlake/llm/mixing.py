@@ -9,7 +9,8 @@
    task holds a whole source.
 3. Output shards of ``shard_slots`` slots draw their sources: slot g takes the
    source that owns cell hash(g) mod N, where each source owns as many of the
-   N cells as it needs slots.  That is one multinomial draw per shard.  A
+   N cells as it needs slots.  That is one multinomial draw per shard; cells
+   are never listed, their owners are found by chunks of cells.  A
    source drawn beyond its need is cut there, and what is missing is dealt to
    further shards, so the totals meet the targets exactly.
 4. Slot j of a source is epoch j div per_epoch and a position in it; a
@@ -78,21 +79,32 @@ def permuted(i: Column, n: Column, keys: list[Column], rounds: int = ROUNDS) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i.cast("long"), step)
 
 
+def owners(draws: DataFrame, planned: DataFrame, chunk: int) -> DataFrame:
+    """Adds sid, the source that owns a draw's cell: each owns ``need`` cells
+    in turn.  The cells are cut into chunks of about the mean need; a chunk
+    lists the sources that reach into it, at most two rows a source in all, so
+    draws meet their owner in an equi-join without a table of the cells."""
+    first = F.coalesce(F.sum("need").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    spans = planned.select("sid", first.alias("first"), (first + F.col("need")).alias("end"))
+    chunk_of = lambda c: ((c - F.pmod(c, F.lit(chunk))) / chunk).cast("long")
+    reach = spans.select("*", F.explode(F.sequence(chunk_of(F.col("first")), chunk_of(F.col("end") - 1))).alias("chunk"))
+    return (draws.withColumn("chunk", chunk_of(F.col("cell"))).join(reach, "chunk")
+            .where((F.col("cell") >= F.col("first")) & (F.col("cell") < F.col("end"))).drop("chunk", "first", "end"))
+
+
 def slots_of(planned: DataFrame, seed: int = 0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(shard, sid, j, block, words): one row per slot of the output."""
     spark = planned.sparkSession
     planned = staged(planned, "mix-plan")
-    n = planned.agg(F.sum("need").alias("n")).first()["n"] or 0
-    cells = (planned.where("need > 0")
-             .withColumn("first", F.sum("need").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)))
-             .select("sid", F.explode(F.expr("sequence(coalesce(first, 0L), coalesce(first, 0L) + need - 1)")).alias("cell")))
-    draws = (spark.range(n).select(
-        (F.col("id") / shard_slots).cast("long").alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(n, 1))).alias("cell"))
-        .join(cells, "cell").groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("drawn")))
+    p = planned.where("need > 0")
+    total = p.agg(F.sum("need").alias("n"), F.count(F.lit(1)).alias("sources")).first()
+    n = total["n"] or 0
+    drawn_cell = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(n, 1)))
+    draws = spark.range(n).select((F.col("id") / shard_slots).cast("long").alias("shard"), drawn_cell.alias("cell"))
+    draws = (owners(draws, p, max(1, n // max(1, total["sources"])))
+             .groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("drawn")))
     by_shard = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     draws = draws.withColumn("first", F.coalesce(F.sum("drawn").over(by_shard), F.lit(0)))
-    p = planned.where("need > 0")
     got = staged(draws.join(p.select("sid", "need"), "sid").where("first < need")
                  .select("sid", "shard", "first", F.least("drawn", F.col("need") - F.col("first")).alias("n")), "mix-draws")
     have = got.groupBy("sid").agg(F.sum("n").alias("have"))

@@ -179,3 +179,17 @@ def test_permutation(spark):
     for n in (1, 2, 5, 64, 97):
         got = [r[0] for r in spark.range(n).select(mx.permuted(F.col("id"), F.lit(n), [F.lit(3)])).collect()]
         assert sorted(got) == list(range(n))
+
+
+def test_cells_find_their_owner_without_a_list_of_cells(spark):
+    rng = random.Random(4)
+    for needs in ([1], [5, 1, 1, 1, 90_000], [rng.choice([1, 2, 50, 4000]) for _ in range(300)]):
+        planned = spark.createDataFrame(list(enumerate(needs)), "sid long, need long")
+        n = sum(needs)
+        got = mx.owners(spark.range(n).select(F.col("id").alias("cell")), planned, max(1, n // len(needs)))
+        per = got.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("lo"), F.max("cell").alias("hi")).collect()
+        at, want = 0, []
+        for sid, need in enumerate(needs):
+            want.append((sid, need, at, at + need - 1))
+            at += need
+        assert sorted(map(tuple, per)) == want

@@ -4,17 +4,20 @@
    values, the paths of the forest's prefix tries.  Documents of one text are
    one unit; the units are written with a running number, their count and
    their smallest id.  Exact copies never meet each other again.
-2. Matching starts with whole labels and
-   shortens the prefix until a pair at the threshold is found by some tree
-   with at least the target recall.  Units below one trie node are tied to the
-   node's smallest unit by a combined aggregation, so a hot node costs a row
-   per member.
-3. The ties' connected components hold every candidate pair.  Components are
+2. The labels of each tree are sorted (range-partitioned, with the unit as the
+   last key, so that a label held by very many units is spread as well).  The
+   length of the prefix that neighbours share is the whole trie: units below a
+   node are a stretch of neighbours that share at least its depth.
+3. Matching starts with whole labels and shortens the prefix round by round,
+   until a pair at the threshold is found by some tree with at least the target
+   recall.  What earlier rounds have joined counts as one, so a round only adds
+   what its shorter prefix brings together.
+4. The joined units hold every candidate pair.  Components are
    cut into blocks of ``block`` units, and each pair of blocks is verified
    exactly in one task: shingle sets as rows of a sparse matrix, intersections
    by products over slices of the shared shingles.  A task returns the number
    of links per unit and ties that span its links, never the pairs.
-4. Components of the verified ties are the classes.
+5. Components of the verified ties are the classes.
 
 Result: per document its class id (the smallest id in the class) and its
 number of links: documents with Jaccard >= ``threshold``, copies included.
@@ -33,6 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,28 +91,94 @@ def stop_depth(threshold: float, recall: float, trees: int = TREES, depth: int =
     return d
 
 
-def units_of(docs: DataFrame, prefix: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(uid, u, nodes, n, first_id), written; one row per different text.
-    ``nodes``: the trie node at the stop depth of each tree."""
+def units_of(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(uid, u, labels, n, first_id), written; one row per different text.
+    ``labels``: one per tree, two bytes a value."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), unit_key(F.col(text_col)).alias("u"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
-            nodes = []
-            for t in b.column("text").to_pylist():
-                sig = signature(shingles(t, width))
-                nodes.append([xxhash.xxh3_64_intdigest(sig[k, :prefix].tobytes(), seed=k) - (1 << 63) for k in range(TREES)])
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("u"), pa.array(nodes, pa.list_(pa.int64()))],
-                                             names=["id", "u", "nodes"])
-    units = (d.where("u IS NOT NULL").mapInArrow(run, "id long, u binary, nodes array<long>").groupBy("u")
-             .agg(F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")))
+            labels = [[row.tobytes() for row in signature(shingles(t, width))] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("u"), pa.array(labels, pa.list_(pa.binary()))],
+                                             names=["id", "u", "labels"])
+    units = (d.where("u IS NOT NULL").mapInArrow(run, "id long, u binary, labels array<binary>").groupBy("u")
+             .agg(F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")))
     return staged(units.select(F.monotonically_increasing_id().alias("uid"), "*"), "jaccard-units")
 
 
-def ties(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: each unit below a node with the node's smallest."""
-    heads = rows.groupBy("node").agg(F.min("uid").alias("a"), F.max("uid").alias("top")).where("a < top").select("node", "a")
-    return (rows.join(heads, "node").where("uid > a").select("a", F.col("uid").alias("b")).distinct())
+def shared_prefix(labels: np.ndarray, trees: np.ndarray) -> np.ndarray:
+    """Values that each row shares with the row before, from the start; 0 for
+    the first row and across trees."""
+    same = (labels[1:] == labels[:-1]) & (trees[1:] == trees[:-1])[:, None]
+    return np.concatenate([[0], np.cumprod(same, axis=1).sum(axis=1)])
+
+
+def neighbours(units: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
+    """(a, b, shared): units that are neighbours in some sorted tree and share
+    a prefix of ``least`` values or more; the longest where they meet often."""
+    spark = units.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = (units.select("uid", F.posexplode("labels").alias("tree", "label"))
+            .repartitionByRange(tasks, "tree", "label", "uid").sortWithinPartitions("tree", "label", "uid"))
+
+    def run(batches):
+        """Ties inside the range, then its first and last row."""
+        part, first, last = TaskContext.get().partitionId(), None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            uid, tree = b.column("uid").to_numpy(), b.column("tree").to_numpy()
+            label = np.frombuffer(b"".join(b.column("label").to_pylist()), ">u2").reshape(-1, depth)
+            if last is not None:
+                uid, tree, label = np.append(last[0], uid), np.append(last[1], tree), np.vstack([last[2], label])
+            first = (uid[0], tree[0], label[0]) if first is None else first
+            last = (uid[-1], tree[-1], label[-1])
+            n = shared_prefix(label, tree)
+            at = np.flatnonzero(n >= least)
+            yield _ties(np.minimum(uid[at], uid[at - 1]), np.maximum(uid[at], uid[at - 1]), n[at])
+        if first is not None:
+            yield pa.RecordBatch.from_pylist([
+                {"end": part * 2 + k, "uid": int(u), "tree": int(t), "label": x.astype(">u2").tobytes()} for k, (u, t, x) in enumerate((first, last))],
+                schema=_TIES)
+    found = staged(rows.mapInArrow(run, "a long, b long, shared int, end long, uid long, tree int, label binary"), "jaccard-sorted")
+    # Ranges meet at their ends: two rows a task.
+    ends = sorted(found.where("end IS NOT NULL").select("end", "uid", "tree", "label").collect())
+    across = []
+    for (_, u, t, x), (_, v, w, y) in zip(ends[1::2], ends[2::2]):
+        n = int(shared_prefix(np.stack([np.frombuffer(bytes(z), ">u2") for z in (x, y)]), np.array([t, w]))[1])
+        if n >= least:
+            across.append((min(u, v), max(u, v), n))
+    ties = found.where("end IS NULL").select("a", "b", "shared").unionByName(spark.createDataFrame(across, "a long, b long, shared int"))
+    return staged(ties.groupBy("a", "b").agg(F.max("shared").alias("shared")), "jaccard-neighbours")
+
+
+_TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("end", pa.int64()), ("uid", pa.int64()),
+                   ("tree", pa.int32()), ("label", pa.binary())])
+
+
+def _ties(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    none = [pa.nulls(len(a), f.type) for f in list(_TIES)[3:]]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), *none], schema=_TIES)
+
+
+def candidates(units: DataFrame, stop: int, depth: int = DEPTH) -> DataFrame:
+    """(v, c): the units that the forest brings together, c the smallest of
+    each.  One round per prefix length, from whole labels down to ``stop``."""
+    near = neighbours(units, stop, depth)
+    joined = units.sparkSession.createDataFrame([], "v long, c long")
+    for d in range(depth, stop - 1, -1):
+        as_one = joined.select(F.col("v").alias("jv"), F.col("c").alias("jc"))
+        ties = near.where(F.col("shared") == d)
+        for end in ("a", "b"):
+            ties = ties.join(as_one, F.col(end) == F.col("jv"), "left").withColumn(end, F.coalesce("jc", end)).drop("jv", "jc")
+        ties = staged(ties.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-round")
+        if ties.isEmpty():
+            continue
+        more = components(ties).select(F.col("v").alias("mv"), F.col("c").alias("mc"))
+        moved = joined.join(more, F.col("c") == F.col("mv"), "left").select("v", F.coalesce("mc", "c").alias("c"))
+        alone = more.join(joined.select("v"), F.col("mv") == F.col("v"), "left_anti").select(F.col("mv").alias("v"), F.col("mc").alias("c"))
+        joined = staged(moved.unionByName(alone), "jaccard-candidates")
+    return joined
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,9 +279,8 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float
             recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(u, n, c, class_id, links): one row per different text with words.  c
     tells the classes apart; class_id may be null or repeated, as ids are."""
-    units = units_of(docs, stop_depth(threshold, recall), width, id_col, text_col)
-    rows = units.select("uid", F.explode("nodes").alias("node"))
-    comp = staged(components(ties(rows)), "jaccard-candidates")
+    units = units_of(docs, width, id_col, text_col)
+    comp = candidates(units, stop_depth(threshold, recall))
     found = staged(verify(docs, units, comp, threshold, width, block, id_col, text_col), "jaccard-links")
     counted = found.where("other IS NULL").groupBy(F.col("uid").alias("lu")).agg(F.sum("links").alias("links"))
     linked = found.where("other IS NOT NULL").select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"))

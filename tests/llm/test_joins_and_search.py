@@ -203,3 +203,42 @@ def test_signatures_estimate_similarity():
     a = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     same = (jj.signature(a[:900]) == jj.signature(a[100:])).mean()
     assert same == pytest.approx(0.8, abs=0.08)
+
+
+def test_sorted_neighbours_are_the_tries(spark):
+    """Stretches of neighbours that share a prefix are the nodes of the tries,
+    whatever the ranges; rounds of shorter prefixes bring the same together."""
+    rng = random.Random(9)
+    units = [(u, [np.array([rng.randrange(2) if k < 8 else rng.randrange(3) for k in range(jj.DEPTH)], ">u2").tobytes() for _ in range(4)])
+             for u in range(400)]
+    units += [(u, units[7][1]) for u in range(400, 500)]  # one label of very many units
+    d = spark.createDataFrame(units, "uid long, labels array<binary>")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            near = {(r["a"], r["b"]): r["shared"] for r in jj.neighbours(d, 8).collect()}
+            want = {}
+            for tree in range(4):
+                row = sorted((np.frombuffer(x[tree], ">u2").tolist(), u) for u, x in units)
+                for (x, u), (y, v) in zip(row, row[1:]):
+                    n = next((k for k in range(jj.DEPTH) if x[k] != y[k]), jj.DEPTH)
+                    if n >= 8:
+                        want[min(u, v), max(u, v)] = max(n, want.get((min(u, v), max(u, v)), 0))
+            assert near == want
+            got = {r["v"]: r["c"] for r in jj.candidates(d, 9).collect()}
+            parent = {u: u for u, _ in units}
+
+            def top(u):
+                while parent[u] != u:
+                    u = parent[u]
+                return u
+            node = {}
+            for u, x in units:
+                for tree in range(4):
+                    a, b = sorted((top(u), top(node.setdefault((tree, x[tree][:18]), u))))
+                    parent[b] = a
+            assert {u: got.get(u, u) for u, _ in units} == {u: top(u) for u, _ in units}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert jj.candidates(d.limit(0), 8).collect() == []

@@ -8,8 +8,9 @@ Reading: the text source is splittable and cuts the files at every magic
 Byte offsets follow from the lengths of the pieces by prefix sums: over the
 pieces of a split, and over the splits of a file.  Each piece whose header is
 whole is a candidate record; its Content-Length gives the offset of its
-successor.  Candidates that lead to the next one form runs; pointer jumping
-over the runs, from the start of the file, keeps only what is reachable, so a
+successor.  Candidates of a split that lead to the next one form runs; pointer
+jumping over the runs of all splits, from the start of the file, keeps only
+what is reachable (in log2 of the splits rounds, without a task per file), so a
 magic inside a payload starts no record.  A record that holds a magic in its
 payload consists of several pieces, which are put together again; all other
 payloads are digested in the scan.
@@ -140,12 +141,16 @@ def located(cand: DataFrame) -> DataFrame:
 
 def reachable(d: DataFrame) -> DataFrame:
     """Adds ``record``: offset of the reachable record that a piece belongs to
-    (null: none).  Rows that start a record have record = at."""
-    order = W.partitionBy("file").orderBy("at")
+    (null: none).  Rows that start a record have record = at.
+
+    Runs live inside a split, named by the offset of their first piece; the
+    jumps connect them across splits, so no task holds a file."""
+    order = W.partitionBy("file", "split").orderBy("at")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
     linked = F.col("next") == F.lead("at").over(order)
     marked = (d.withColumn("linked", F.coalesce(linked, F.lit(False)))
-              .withColumn("brk", F.when(F.lag("linked").over(order), F.lit(0)).otherwise(F.lit(1)))
-              .withColumn("run", F.sum("brk").over(order.rowsBetween(W.unboundedPreceding, 0))))
+              .withColumn("brk", ~F.coalesce(F.lag("linked").over(order), F.lit(False)))
+              .withColumn("run", F.last(F.when(F.col("brk"), F.col("at")), ignorenulls=True).over(so_far)))
     marked = staged(marked, "warc-pieces")
     # a run leaves through its last piece; where it goes is inside another run
     exits = marked.where("NOT linked AND next IS NOT NULL").select("file", F.col("run").alias("from_run"), F.col("next").alias("goal"))
@@ -170,10 +175,16 @@ def reachable(d: DataFrame) -> DataFrame:
     on = marked.join(r, (F.col("file") == F.col("f")) & (F.col("run") == F.col("r")), "left").drop("f", "r")
     start = F.when(F.col("next").isNotNull() & (F.col("at") >= F.col("entry")), F.col("at"))
     on = on.withColumn("start", start).withColumn("stop", F.when(F.col("start").isNotNull(), F.col("next")))
-    last = order.rowsBetween(W.unboundedPreceding, 0)
-    on = (on.withColumn("record", F.last("start", ignorenulls=True).over(last))
-          .withColumn("stop", F.last("stop", ignorenulls=True).over(last)))
-    return on.withColumn("record", F.when(F.col("at") < F.col("stop"), F.col("record"))).drop("linked", "brk", "run", "entry", "start")
+    on = (on.withColumn("record", F.last("start", ignorenulls=True).over(so_far))
+          .withColumn("until", F.last("stop", ignorenulls=True).over(so_far)))
+    # a record may begin in an earlier split: one row per split says which
+    ends = on.groupBy("file", "split").agg(F.max(F.when(F.col("start").isNotNull(), F.struct("start", "stop"))).alias("end"))
+    earlier = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(F.col("file").alias("f"), F.col("split").alias("s"), F.last("end", ignorenulls=True).over(earlier).alias("open"))
+    on = on.join(carry, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    on = on.withColumn("record", F.coalesce("record", "open.start")).withColumn("until", F.coalesce("until", "open.stop"))
+    return (on.withColumn("record", F.when(F.col("at") < F.col("until"), F.col("record")))
+            .drop("linked", "brk", "run", "entry", "start", "stop", "until", "f", "s", "open"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -68,6 +68,26 @@ def test_warc_round_trip(spark, tmp_path, split):
     assert through(spark, d.limit(0), f"{tmp_path}/none") == []
 
 
+def test_one_archive_in_many_splits(spark, tmp_path):
+    """Records that begin in one split and end in another, and no window over
+    the pieces of a file."""
+    rows = [(i, "http://x/", p) for i, p in enumerate((PAYLOADS + ["long " * 400 + "WARC/1.0\r\nmore " * 90]) * 4)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    old, cost = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 900)
+        spark.conf.set("spark.sql.files.openCostInBytes", 900)
+        assert through(spark, d, f"{tmp_path}/w") == brute_warc(rows)
+        pieces = warc.raw_pieces(spark, f"{tmp_path}/w")
+        assert pieces.select("split").distinct().count() > 20
+        plan = warc.reachable(warc.located(warc.candidates(pieces)))._jdf.queryExecution().optimizedPlan().toString()
+        over = [line for line in plan.splitlines() if " Window [" in line or line.strip().startswith("Window [")]
+        assert over and all("split" in line for line in over)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
 def test_warc_stops_where_the_chain_breaks(spark, tmp_path):
     rec = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {n}\r\n\r\n{b}\r\n\r\n"
     good, lost = rec.format(n=3, b="abc"), rec.format(n=2, b="zz")

@@ -112,13 +112,12 @@ def iv_from_partials(partials: DataFrame, px: DataFrame, band: float = 0.02, spo
 
 def snapshot_vs_stats(per_snapshot: DataFrame) -> DataFrame:
     """Each run's ATM IV against its ticker's history: z-score (population)
-    and position in the min..max range.  The statistics are one row per
-    ticker, joined back by broadcast -- no window over a whole ticker."""
-    stats = (per_snapshot.groupBy("ticker")
-             .agg(F.avg("atm_iv").alias("_mean"), F.stddev_pop("atm_iv").alias("_sd"),
-                  F.min("atm_iv").alias("_lo"), F.max("atm_iv").alias("_hi")))
-    x = F.col("atm_iv")
-    return per_snapshot.join(stats, "ticker").select(
+    and position in the min..max range.  The per-run table is derived once;
+    the window over a ticker's runs is over one row per run."""
+    x, w = F.col("atm_iv"), Window.partitionBy("ticker")
+    s = per_snapshot.withColumns({"_mean": F.avg(x).over(w), "_sd": F.stddev_pop(x).over(w),
+                                  "_lo": F.min(x).over(w), "_hi": F.max(x).over(w)})
+    return s.select(
         "ticker", "snapshot_str", "atm_iv",
         F.round(safe_div(x - F.col("_mean"), F.col("_sd")), 4).alias("zscore"),
         F.round(safe_div(x - F.col("_lo"), F.col("_hi") - F.col("_lo")), 4).alias("rank_in_range"))
@@ -153,13 +152,13 @@ def iv_rank(per_snapshot: DataFrame) -> DataFrame:
 def iv_change(opts: DataFrame, rank: DataFrame, iv_floor: float = 0.01, digits: int = 6) -> DataFrame:
     """Current ATM IV minus the mean call IV of each ticker's second-newest
     run (runs ordered by their newest time).  NULL without a previous run."""
-    runs = (opts.filter(F.col("impliedVolatility") > iv_floor)
-            .groupBy("ticker", "snapshot_str").agg(F.max("snapshot_time").alias("_t")))
+    iv = F.col("impliedVolatility")
+    call = F.when(F.col("option_type") == "call", iv)
+    # one scan: every run with its newest time and its calls' mean
+    runs = (opts.filter(iv > iv_floor).groupBy("ticker", "snapshot_str")
+            .agg(F.max("snapshot_time").alias("_t"), F.avg(call).alias("prev_iv")))
     w = Window.partitionBy("ticker").orderBy(F.col("_t").desc(), F.col("snapshot_str").desc())
-    prev_run = runs.withColumn("_r", F.row_number().over(w)).filter("_r = 2").select("ticker", "snapshot_str")
-    prev = (opts.filter((F.col("impliedVolatility") > iv_floor) & (F.col("option_type") == "call"))
-            .join(prev_run, ["ticker", "snapshot_str"], "left_semi")
-            .groupBy("ticker").agg(F.avg("impliedVolatility").alias("prev_iv")))
+    prev = runs.withColumn("_r", F.row_number().over(w)).filter("_r = 2").select("ticker", "prev_iv")
     out = rank.select("ticker", "iv_current").join(prev, "ticker", "left")
     p = F.col("prev_iv")
     delta = F.when(p.isNotNull() & (p != 0), F.col("iv_current") - p)

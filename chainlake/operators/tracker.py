@@ -149,8 +149,7 @@ def apply_overrides(bars: DataFrame, overrides: DataFrame, scope: str = "last")
     equi-join, never a broadcast of an unbounded log."""
     b = bars
     if scope == "last":
-        newest = b.groupBy(KEY).agg(F.max("date").alias("date"))
-        b = b.join(newest, [KEY, "date"], "left_semi")
+        b = b.groupBy(KEY).agg(F.max_by(F.struct(*b.columns), "date").alias("_b")).select("_b.*")  # one bar per contract and day
     ov = overrides.select(F.col("symbol").alias(KEY), "date", F.col("high").alias("_ovh"),
                           F.col("low").alias("_ovl"))
     j = b.join(ov, [KEY, "date"], "left")

@@ -114,8 +114,9 @@ def shared_prefix(labels: np.ndarray, trees: np.ndarray) -> np.ndarray:
 
 
 def neighbours(units: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
-    """(a, b, shared): units that are neighbours in some sorted tree and share
-    a prefix of ``least`` values or more; the longest where they meet often."""
+    """(a, b, shared): ties that span the nodes of the sorted trees, ``least``
+    values deep or more: a unit and the first of the stretch of neighbours that
+    share as many values; the longest prefix where two meet often."""
     spark = units.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (units.select("uid", F.posexplode("labels").alias("tree", "label"))
@@ -133,9 +134,7 @@ def neighbours(units: DataFrame, least: int, depth: int = DEPTH) -> DataFrame:
                 uid, tree, label = np.append(last[0], uid), np.append(last[1], tree), np.vstack([last[2], label])
             first = (uid[0], tree[0], label[0]) if first is None else first
             last = (uid[-1], tree[-1], label[-1])
-            n = shared_prefix(label, tree)
-            at = np.flatnonzero(n >= least)
-            yield _ties(np.minimum(uid[at], uid[at - 1]), np.maximum(uid[at], uid[at - 1]), n[at])
+            yield node_ties(uid, shared_prefix(label, tree), least, depth)
         if first is not None:
             yield pa.RecordBatch.from_pylist([
                 {"end": part * 2 + k, "uid": int(u), "tree": int(t), "label": x.astype(">u2").tobytes()} for k, (u, t, x) in enumerate((first, last))],
@@ -156,9 +155,19 @@ _TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()),
                    ("tree", pa.int32()), ("label", pa.binary())])
 
 
-def _ties(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def node_ties(uid: np.ndarray, shared: np.ndarray, least: int, depth: int) -> pa.RecordBatch:
+    """Ties each row that shares ``shared`` values with the row before to the
+    first row of the stretch that shares as many: a node is a star, not a
+    chain, and takes few rounds to become one component."""
+    row, head, member, found = np.arange(len(uid)), [], [], []
+    for d in range(least, depth + 1):
+        first = np.maximum.accumulate(np.where(shared < d, row, 0))
+        at = np.flatnonzero(shared == d)
+        head, member, found = [*head, uid[first[at]]], [*member, uid[at]], [*found, np.full(len(at), d)]
+    a, b = np.concatenate(head), np.concatenate(member)
     none = [pa.nulls(len(a), f.type) for f in list(_TIES)[3:]]
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), *none], schema=_TIES)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()),
+                                       pa.array(np.concatenate(found), pa.int32()), *none], schema=_TIES)
 
 
 def candidates(units: DataFrame, stop: int, depth: int = DEPTH) -> DataFrame:

@@ -8,10 +8,9 @@
    last key, so that a label held by very many units is spread as well).  The
    length of the prefix that neighbours share is the whole trie: units below a
    node are a stretch of neighbours that share at least its depth.
-3. Matching starts with whole labels and shortens the prefix round by round,
-   until a pair at the threshold is found by some tree with at least the target
-   recall.  What earlier rounds have joined counts as one, so a round only adds
-   what its shorter prefix brings together.
+3. Matching starts with whole labels and shortens the prefix until a pair at
+   the threshold is found by some tree with at least the target recall
+   (``stop_depth``); the ties of all prefixes down to there are joined at once.
 4. The joined units hold every candidate pair.  Components are
    cut into blocks of ``block`` units, and each pair of blocks is verified
    exactly in one task: shingle sets as rows of a sparse matrix, intersections
@@ -171,23 +170,9 @@ def node_ties(uid: np.ndarray, shared: np.ndarray, least: int, depth: int) -> pa
 
 
 def candidates(units: DataFrame, stop: int, depth: int = DEPTH) -> DataFrame:
-    """(v, c): the units that the forest brings together, c the smallest of
-    each.  One round per prefix length, from whole labels down to ``stop``."""
-    near = neighbours(units, stop, depth)
-    joined = units.sparkSession.createDataFrame([], "v long, c long")
-    for d in range(depth, stop - 1, -1):
-        as_one = joined.select(F.col("v").alias("jv"), F.col("c").alias("jc"))
-        ties = near.where(F.col("shared") == d)
-        for end in ("a", "b"):
-            ties = ties.join(as_one, F.col(end) == F.col("jv"), "left").withColumn(end, F.coalesce("jc", end)).drop("jv", "jc")
-        ties = staged(ties.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-round")
-        if ties.isEmpty():
-            continue
-        more = components(ties).select(F.col("v").alias("mv"), F.col("c").alias("mc"))
-        moved = joined.join(more, F.col("c") == F.col("mv"), "left").select("v", F.coalesce("mc", "c").alias("c"))
-        alone = more.join(joined.select("v"), F.col("mv") == F.col("v"), "left_anti").select(F.col("mv").alias("v"), F.col("mc").alias("c"))
-        joined = staged(moved.unionByName(alone), "jaccard-candidates")
-    return joined
+    """(v, c): the units that the forest brings together by prefixes of
+    ``stop`` values or more, c the smallest of each."""
+    return staged(components(neighbours(units, stop, depth)), "jaccard-candidates")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def test_signatures_estimate_similarity():
 
 def test_sorted_neighbours_are_the_tries(spark):
     """Stretches of neighbours that share a prefix are the nodes of the tries,
-    whatever the ranges; rounds of shorter prefixes bring the same together."""
+    whatever the ranges."""
     rng = random.Random(9)
     units = [(u, [np.array([rng.randrange(2) if k < 8 else rng.randrange(3) for k in range(jj.DEPTH)], ">u2").tobytes() for _ in range(4)])
              for u in range(400)]

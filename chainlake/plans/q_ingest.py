@@ -105,9 +105,10 @@ SELECT {", ".join(c for c in OPTION_COLS)}, part AS _source_file FROM parts
 WHERE CAST(snapshot_time AS DATE) > DATE '{RUN1_THROUGH}'""", extra=OPTION_PART_SQL))
 def q_manifest_dedupe(spark, sf_dir):
     """The landing folder holds both runs, Bronze the first: the rows of files
-    that its manifest does not name.  Bronze itself is not read."""
+    that its manifest does not name (``new_files_only``, on the table of
+    headers).  Bronze itself is not read."""
     landing, bronze = _ingest(spark, sf_dir, "options", runs=1)
-    new = ingest.new_files_only(ingest.read_landing(spark, landing, "options"), stream.read_manifest(spark, bronze))
+    new = ingest.read_landing(spark, landing, "options", stream.read_manifest(spark, bronze))
     return new.select(*OPTION_COLS, _part())
 
 

@@ -87,14 +87,20 @@ def with_lines(files: DataFrame) -> DataFrame:
 
 
 def _fields(line: Column, n: int) -> Column:
-    """A CSV line as one struct of ``n`` texts, its end marked by ``END``."""
-    return F.from_csv(F.concat(line, F.lit("," + END)), ", ".join(f"f{i} string" for i in range(n)))
+    """The fields of a CSV line as one array, its end marked by ``END``; empty
+    ones may be NULL or empty.  A line without quotes is split at its commas;
+    the parser reads the first ``n`` fields of others, once per line."""
+    closed = F.concat(line, F.lit("," + END))
+    names = [f"f{i}" for i in range(n)]
+    parsed = F.array(F.from_csv(closed, ", ".join(f"{c} string" for c in names)))
+    by_parser = F.get(F.transform(parsed, lambda s: F.array(*[s[c] for c in names])), F.lit(0))
+    return F.when(line.contains('"') | line.contains("\0"), by_parser).otherwise(F.split(closed, ","))
 
 
 def _as_array(d: DataFrame, line: Column, n: int, name: str) -> DataFrame:
-    """The fields of a line as an array; a generator, so it is parsed once."""
-    wide = d.select("*", F.inline(F.array(_fields(line, n))))
-    return wide.select(*d.columns, F.array(*[f"f{i}" for i in range(n)]).alias(name))
+    """The fields of a line as an array; a generator, so that no filter above
+    is pushed below it with a copy of the array for each field it looks at."""
+    return d.select("*", F.explode(F.array(_fields(line, n))).alias(name))
 
 
 def headers(lines: DataFrame, kind: str) -> DataFrame:
@@ -151,10 +157,11 @@ def by_header(lines: DataFrame, heads: DataFrame, kind: str) -> DataFrame:
              .when(F.col("_end").between(1, F.col("_n")), F.concat((F.col("_end") - 1).cast("string"), F.lit(" "), size))
              .when((F.col("_end") == 0) & (n_quotes % 2 == 1), "open quote").otherwise(F.concat(F.lit("more "), size)))
     d = d.withColumn("_shape", shape)
-    raw = {f.name: F.when(F.col("_shape").isNull(), F.get("_row", F.get("_at", F.lit(i)) - 1)) for i, f in enumerate(schema.fields)}
-    typed = {f.name: raw[f.name].try_cast(f.dataType) for f in schema.fields}
-    d = d.select("_source_file", F.col("value").alias("line"), "_shape", *[c.alias(n) for n, c in typed.items()],
-                 *[raw[f.name].alias(f"_raw_{f.name}") for f in schema.fields if f.dataType != T.StringType()])
+    def field(i: int) -> Column:
+        return F.nullif(F.get("_row", F.get("_at", F.lit(i)) - 1), F.lit(""))
+    raw = [F.when(F.col("_shape").isNull(), field(i)).alias(f"_raw_{f.name}") for i, f in enumerate(schema.fields)]
+    d = d.select("_source_file", F.col("value").alias("line"), F.inline(F.array(F.struct("_shape", *raw))))  # once, as above
+    d = d.select("*", *[F.col(f"_raw_{f.name}").try_cast(f.dataType).alias(f.name) for f in schema.fields])
     bad = {f.name: F.col(f"_raw_{f.name}").isNotNull() & F.col(f.name).isNull() for f in schema.fields if f.dataType != T.StringType()}
     said = [F.when(b, F.concat(F.lit(f"{n}: "), F.col(f"_raw_{n}"))) for n, b in bad.items()]
     stops = [F.col("_shape").isNotNull(), *[bad[n] for n in schemas.REQUIRED[kind] if n in bad]]
@@ -173,15 +180,17 @@ def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.size("reasons") > 0).select(*schemas.QUARANTINE.names)
 
 
-def _parsed_landing(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def _parsed_landing(spark: SparkSession, path: str, kind: str, manifest: DataFrame | None = None) -> DataFrame:
     lines = with_lines(spark.read.option("recursiveFileLookup", True).text(path))
-    return by_header(lines, headers(lines, kind), kind)
+    return by_header(lines, new_files_only(headers(lines, kind), manifest), kind)
 
 
-def read_landing(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_landing(spark: SparkSession, path: str, kind: str, manifest: DataFrame | None = None) -> DataFrame:
     """Batch read of a landing folder of CSV snapshots (``kind`` is
-    ``'price'`` or ``'options'``), by header name, typed as Bronze."""
-    return typed_bronze(_parsed_landing(spark, path, kind), kind)
+    ``'price'`` or ``'options'``), by header name, typed as Bronze.  With a
+    ``manifest``, of the ``new_files_only``: the header table is told apart,
+    a row per file, and the lines of other files are not parsed."""
+    return typed_bronze(_parsed_landing(spark, path, kind, manifest), kind)
 
 
 def read_quarantine(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -56,8 +56,11 @@ def _newest(kind: str) -> Callable[[DataFrame], DataFrame]:
 def write_landing(df: DataFrame, landing_dir: str, by: tuple[str, ...] = ()) -> None:
     """Append snapshot rows to a landing folder as headed CSV files (what the
     collector produces; used by tests and the registered ingest queries), one
-    sub-folder per value of ``by``."""
-    (df.write.mode("append").option("header", True).option("timestampNTZFormat", TS_FORMAT)
+    sub-folder per value of ``by``.  The rows of a folder are dealt together
+    first, a large folder's over several tasks; else each task would write a
+    file into each folder."""
+    dealt = df.hint("rebalance", *by) if by else df
+    (dealt.write.mode("append").option("header", True).option("timestampNTZFormat", TS_FORMAT)
      .partitionBy(*by).csv(landing_dir))
 
 

@@ -40,6 +40,54 @@ def test_columns_beyond_any_width(spark, tmp_path):
     assert ingest.read_quarantine(spark, str(tmp_path / "l"), "price").collect() == []
 
 
+def test_landing_files_grow_with_rows_not_with_tasks(spark, tmp_path):
+    """Rows of every folder in every task: a file per folder, not per task and
+    folder; of a folder that holds nearly all rows, a file per piece."""
+    rows = spark.range(0, 4000, 1, 20).select(F.col("id").cast("string").alias("v"), (F.col("id") % 8).cast("string").alias("part"))
+    stream.write_landing(rows, str(tmp_path / "l"), by=("part",))
+    found = [f for _, _, fs in os.walk(tmp_path / "l") for f in fs if f.endswith(".csv")]
+    assert len(found) == 8 and spark.read.option("header", True).csv(str(tmp_path / "l")).distinct().count() == 4000
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4096")
+        stream.write_landing(rows.withColumn("part", F.lit("one")), str(tmp_path / "m"), by=("part",))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert len([f for f in os.listdir(tmp_path / "m" / "part=one") if f.endswith(".csv")]) > 2
+
+
+ODD = ["", ",", "a", "a,b", ",a,", " a , b ", "a,,b,c", "a\\,b", "\\,", "\ta,#b", "#a,b", "a,b,c,d,e,f,g,h", "'a,b'", "é,ü 文", "a\u0002,b", "\u0002,b", "-,\u00a0"]
+QUOTED = ['"a",b', '"a,b",c', '"",b', 'a,""', '"a""b",c', '"a\\"b",c', 'a"b,c', '"open,b', 'a,"open', '\0a,b', 'a\0,"b"']
+
+
+def test_split_lines_are_as_parsed(spark):
+    """Lines split at their commas, and lines with quotes, give what the CSV
+    parser gives: the fields, and where the line ends."""
+    n = 6
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(ODD + QUOTED) if v], "i int, value string")
+    names = [f"f{i}" for i in range(n)]
+    csv = F.from_csv(F.concat("value", F.lit("," + ingest.END)), ", ".join(f"{c} string" for c in names))
+    want = {r.i: tuple(r)[1:] for r in d.select("i", F.inline(F.array(csv))).collect()}
+    got = {r.i: tuple([x or None for x in r.a] + [None] * n)[:n] for r in ingest._as_array(d, F.col("value"), n, "a").collect()}
+    assert got == want
+
+
+def test_lines_are_parsed_once_and_known_files_not(spark, tmp_path):
+    """No filter repeats the parse, and lines of files in the manifest are
+    dropped by the header table, before it."""
+    landing, bronze = str(tmp_path / "l"), str(tmp_path / "b")
+    put(landing, "a.csv", HEAD + price(ticker="old"))
+    stream.ingest_to_bronze(spark, landing, "price", bronze, str(tmp_path / "c"))
+    put(landing, "b.csv", HEAD + price(ticker="new") + price(ticker='"q,r"') + price(ticker="bad", ts="never"))
+    new = ingest.read_landing(spark, landing, "price", stream.read_manifest(spark, bronze))
+    assert sorted(r.ticker for r in new.collect()) == ["new", "q,r"]
+    assert sorted(r.ticker for r in ingest.read_landing(spark, landing, "price").collect()) == ["new", "old", "q,r"]
+    plan = new._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter " in x and ("array_position" in x or "from_csv" in x)]
+    at = {what: min(i for i, x in enumerate(plan) if what in x) for what in ("Generate explode", "LeftAnti")}
+    assert at["LeftAnti"] > at["Generate explode"]
+
+
 def test_one_file_is_read_by_several_tasks(spark, tmp_path):
     n = 20_000
     put(str(tmp_path / "l"), "big.csv", HEAD + "".join(price(close=str(i), ticker=f"T{i}") for i in range(n)))
